@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the text contracts: blank and the five ASCII controls.
-SPACE = r"[\x20\x09-\x0D]"
+SPACE = " \t\n\v\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,10 +31,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def strip_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

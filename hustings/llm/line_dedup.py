@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hustings.llm.common import ascii_lower, narrow, read, shuffle_parts, strip_space
+from hustings.llm.common import SPACE, ascii_lower, narrow, read, settled, shuffle_parts
 
 #: Shares into which the copies of one line are pre-aggregated.
 SALTS = 16
+#: Where a null id stands in the order of documents.
+NULL_PLACE = -(1 << 63)
 
 
 def line_key(line: Column) -> Column:
     """The line without outer white space, A-Z lower-cased."""
-    return ascii_lower(strip_space(line))
+    return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
 def _lines(text: str = "text") -> Column:
@@ -38,7 +40,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
     that repeat an id count as one document.
     """
     spark = docs.sparkSession
-    rows = (
+    # Used twice, and costlier to work out (every byte of text) than to keep (no text).
+    rows = settled(
         narrow(docs, id_col, text_col)
         .withColumn("text_hash", F.xxhash64("text"))
         .select("doc_id", "text_hash", F.posexplode(_lines()).alias("pos", "line"))
@@ -46,10 +49,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
         .where(F.char_length("key") >= min_chars)
         .select("doc_id", "text_hash", "pos", F.unhex(F.md5("key")).alias("key"))
     )
-    seen = rows.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"),
-        F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("last"),
-    )
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_PLACE))
+    seen = rows.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.min(place).alias("first"), F.max(place).alias("last"))
     ordered = seen.repartitionByRange(shuffle_parts(spark), "key").sortWithinPartitions("key", "first")
     stream = Window.partitionBy("key").orderBy("first")
     firsts = (
@@ -60,9 +61,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
             F.max("last").over(stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"),
         )
         .where((F.col("nth") == 1) & (F.col("first") < F.col("last")))
-        .select("key", F.col("first.doc_id").alias("owner"))
+        .select("key", F.col("first").alias("owner"))
     )
-    dropped = rows.join(firsts, "key").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+    dropped = rows.join(firsts, "key").where(place != F.col("owner"))
     words = dropped.groupBy("doc_id", "text_hash", F.shiftright("pos", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits")
     )

@@ -6,8 +6,13 @@ import importlib
 
 #: Name of a query: module of this subpackage that has its ``query``.
 MODULES = {
+    "op1_template_decontamination": "decontaminate",
+    "op2_pretoken_counts": "token_counts",
+    "op3_jpeg_media": "jpeg",
+    "op4_hyperdimensional_langid": "language_id",
     "op7_byte_prefix_shards": "sharding",
     "op8_pii_checksums": "pii",
+    "op9_super_minhash": "minhash",
     "op10_line_bitmaps": "line_dedup",
 }
 

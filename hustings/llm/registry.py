@@ -11,6 +11,7 @@ MODULES = {
     "op3_jpeg_media": "jpeg",
     "op4_hyperdimensional_langid": "language_id",
     "op5_lyndon_suffix_groups": "suffix_dedup",
+    "op6_gumbel_segmentations": "sample_encode",
     "op7_byte_prefix_shards": "sharding",
     "op8_pii_checksums": "pii",
     "op9_super_minhash": "minhash",

@@ -171,13 +171,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     of n-word shingles; a component is all that links reach, named by its least id.
 
     Equal sets are one class, represented by its least id.  Classes that share a
-    band are candidates.  A bucket is compared with its least member first, which
-    takes as many pairs as members; only where the components so found still
-    differ inside a bucket, the members of different components are compared, and
-    of those only pairs that the triangle inequality of the Jaccard distance allows
-    (the distances to the bucket's least member may differ by no more than the
-    distance of a link).  So no pair that shares a band is lost and none inside a
-    component is made.  Links are confirmed on the full sets.
+    band are candidates.  A bucket is compared with one member first, which takes as
+    many pairs as members, then once more with the member that has most shingles in
+    common with others.  Only where the components so found still differ inside a
+    bucket, members of different components are compared, if counts allow a link
+    (``_open_pairs``).  So no pair that shares a band is lost, and no group is
+    spread out into its pairs.  Links are confirmed on the full sets.
 
     Null and empty texts have no shingles and are linked with nothing; a null id is
     linked with nothing; rows that repeat an id share its component.
@@ -197,15 +196,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     stars = settled(together.where((F.col("id") != F.col("hub")) & fair).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     # Every class of a bucket may be asked for again; sets are packed once.
     sets = settled(_with_sets(texts, together.select("id"), n).dropDuplicates(["id"]))
-    checked = settled(verified(stars, sets))
     linked = F.col("common") * 100 >= F.col("either") * percent
-    first_links = checked.where(linked).select("a", "b")
-    labels = settled(components(first_links))
-    rest = _unresolved(together, checked, labels, percent)
-    links = first_links
-    if not rest.isEmpty():
-        links = links.union(verified(rest, sets).where(linked).select("a", "b"))
-        labels = settled(components(links.union(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))))
+    links = settled(verified(stars, sets).where(linked).select("a", "b"))
+    labels = settled(components(links))
+    for more in (_second_stars, _open_pairs):
+        rest = _mixed(together, labels, sets)
+        if rest is None:
+            break
+        pairs = settled(more(rest, percent).join(stars, ["a", "b"], "left_anti"))
+        found = settled(verified(pairs, sets).where(linked).select("a", "b"))
+        if not found.isEmpty():
+            labels = settled(components(found.union(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))))
+        stars = stars.union(pairs)
     # A class takes the label of its component; its own id if it has no links.
     named = classes.join(labels, "id", "left").select(*key, F.coalesce("label", "id").alias("component_id"))
     # Classes without links or copies need no join partner: they are all of their rows.
@@ -214,27 +216,70 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _unresolved(together: DataFrame, checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs that the first comparison leaves open, as (a, b), settled."""
-    distance = checked.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("common") / F.col("either")).alias("far"))
-    rows = (
-        together.join(labels, "id", "left")
-        .select("band", "id", "n", "hub", F.coalesce("label", "id").alias("label"))
-    )
-    mixed = rows.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed"), F.count("*").alias("size")).where("mixed and size > 2").select("band")
-    open_rows = settled(
-        rows.join(mixed, "band", "left_semi").join(distance, ["hub", "id"], "left")
-        # Of a member that the sizes ruled out only this is known: it is no link of the least one.
-        .select("band", "id", "n", "label", "hub", F.when(F.col("id") == F.col("hub"), 0.0).otherwise(F.col("far")).alias("far"))
-    )
-    x = open_rows.select("band", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "label", "far", "hub")))
-    y = open_rows.select("band", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "label", "far")))
-    most = 1 - percent / 100 + 1e-9
-    near = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= most, F.lit(True))
-    fair = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    done = (F.col("id_a") == F.col("hub_a")) | (F.col("id_b") == F.col("hub_a"))
-    pairs = x.join(y, "band").where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & near & fair & ~done)
-    return settled(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+#: Documents beyond which a shingle counts as common to a group.
+COMMON = 8
+
+
+def _mixed(together: DataFrame, labels: DataFrame, sets: DataFrame):
+    """What is open after the comparisons so far: buckets whose members differ in label.
+
+    Gives (rows, counts): ``rows`` (band, id, n, label, shared, common), and ``sparse``
+    (id, shingle) for shingles that more than one but fewer than ``COMMON`` of these
+    documents have.  ``shared`` counts a document's shingles that any other has,
+    ``common`` those that ``COMMON`` or more have.  None if nothing is open.
+    """
+    rows = together.join(labels, "id", "left").select("band", "id", "n", F.coalesce("label", "id").alias("label"))
+    mixed = rows.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band")
+    rows = settled(rows.join(mixed, "band", "left_semi"))
+    if rows.isEmpty():
+        return None
+
+    def unpack(batches):
+        for batch in batches:
+            held = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))], ["id", "shingle"])
+
+    shingles = sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(unpack, "id long, shingle long")
+    known = shingles.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1")
+    counted = settled(shingles.join(known, "shingle"))
+    sums = counted.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("documents") >= COMMON).alias("common"))
+    full = rows.join(sums, "id", "left").select("band", "id", "n", "label", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("common", F.lit(0)).alias("common"))
+    return settled(full), counted.where(F.col("documents") < COMMON).select("id", "shingle")
+
+
+def _may_link(percent: int, most, n_a="n_a", n_b="n_b"):
+    """Whether sets of n_a and n_b with at most ``most`` in common can be a link."""
+    return most * 100 >= (F.col(n_a) + F.col(n_b) - most) * percent
+
+
+def _second_stars(open_: tuple, percent: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's members with the one that has most in common with others."""
+    rows, _ = open_
+    best = rows.groupBy("band").agg(F.max(F.struct("common", "shared", F.negative("id").alias("minus"))).alias("best"))
+    hubs = rows.join(best, "band").where((F.col("id") == -F.col("best.minus"))).select("band", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "label", "shared")))
+    members = rows.select("band", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "label", "shared")))
+    pairs = members.join(hubs, "band").where((F.col("label_a") != F.col("label_b")) & _may_link(percent, F.least("shared_a", "shared_b")))
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _open_pairs(open_: tuple, percent: int) -> DataFrame:
+    """All pairs (a, b) of different labels that share a band and may be links.
+
+    Two documents either share a sparse shingle, or nothing but common ones.  Pairs
+    of the first kind meet at that shingle, which fewer than ``COMMON`` documents
+    have; the others meet in their band if their common shingles suffice for a link
+    (where most of a group's common shingles are in both, they have been linked to
+    the same document already).
+    """
+    rows, sparse = open_
+    facts = rows.select("id", "n", "label", "shared").distinct()
+    of = lambda df, side, *keys: df.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keys))
+    different = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
+    whole = of(rows, "a", "band").join(of(rows, "b", "band"), "band").where(different & _may_link(percent, F.least("common_a", "common_b")))
+    marked = sparse.join(facts, "id")
+    part = of(marked, "a", "shingle").join(of(marked, "b", "shingle"), "shingle").where(different & _may_link(percent, F.least("shared_a", "shared_b")))
+    return whole.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(part.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).distinct()
 
 
 def stage(spark, docs, sf_dir):

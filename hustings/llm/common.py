@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of shuffle files that only finished steps needed.
+
+    Spark removes them when the driver's objects for them are collected, which on a
+    driver with memory to spare is long after a checkpoint has made them useless.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fits_broadcast(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows; reads no more than needed."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -6,11 +6,12 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.common import read, settled
+from hustings.llm.common import read, released, settled
 
 #: A pre-token is a run of blanks with the run of other characters behind it, or a
 #: run of line feeds.  (U+2581 is how the vocabulary writes a blank.)
@@ -18,7 +19,9 @@ PRE_TOKEN = re.compile("[ ▁]*[^ ▁\n]+|[ ▁]+|\n+")
 #: Most pre-tokens whose counts every task gets; longer ones than HEAD_CHARS never.
 HEAD_ROWS, HEAD_CHARS = 50_000, 40
 #: Different pre-tokens that a task holds before it hands their counts on.
-FLUSH = 200_000
+FLUSH = 800_000
+#: (document, pre-token) pairs that a task holds before it hands them on, token by token.
+BLOCK = 600_000
 
 
 @lru_cache(maxsize=2)
@@ -84,59 +87,87 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     """doc_id, n_bytes, n_tokens, over_limit of every text (null: empty, no tokens).
 
     Each different pre-token is encoded once.  The ``HEAD_ROWS`` most frequent ones
-    (a bounded table) go to every task, which adds their share up on the spot; the
-    rows of all other pre-tokens, none of which is frequent, meet their counts in a
+    (a bounded table) go to every task, which adds their share up on the spot.  Of all
+    others, none of which is frequent, a task hands on the documents they are in, a
+    row for each pre-token of a block of documents, and these meet their counts in a
     join.  Repeated rows count one by one; an empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = settled(piece_table(docs, model_file, text_col))
-    top = pieces.where(F.length("token") <= HEAD_CHARS).orderBy(F.desc("n"), "token").limit(HEAD_ROWS).collect()
-    head = spark.sparkContext.broadcast({r.token: r.n_pieces for r in top})
+    released(spark)
+    head = spark.sparkContext.broadcast({r.token: r.n_pieces for r in _head(pieces).collect()})
 
     def per_document(batches):
-        known = head.value
+        known, codes, rows, counts, base = head.value, {}, [], [], None
+        held_codes: list[int] = []
+
+        def flush():
+            """A row for each pre-token of the block: the documents it is in, and how often."""
+            order = np.argsort(np.array(held_codes, np.int32), kind="stable")
+            offsets = pa.array(np.searchsorted(np.array(held_codes, np.int32)[order], np.arange(len(codes) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, np.int32)[order])) for x in (rows, counts)]
+            n = len(codes)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(codes), pa.string()), pa.array([base] * n, pa.int64()), *lists, *(pa.nulls(n, pa.int64()) for _ in range(4))],
+                ["token", "base", "rows", "counts", "row", "doc_id", "n_bytes", "known"],
+            )
+
         for batch in batches:
-            sums, sizes, tokens, counts = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                total, before = 0, len(tokens)
+            numbers = batch.column(1).to_pylist()
+            sums = []
+            for number, text in zip(numbers, batch.column(0).to_pylist(), strict=True):
+                total = 0
+                base = number if base is None else base
                 for token, n in Counter(pre_tokens(text)).items():
-                    if (pieces_of := known.get(token)) is not None:
-                        total += n * pieces_of
+                    if (of := known.get(token)) is not None:
+                        total += n * of
                     else:
-                        tokens.append(token)
+                        held_codes.append(codes.setdefault(token, len(codes)))
+                        rows.append(number - base)
                         counts.append(n)
                 sums.append(total)
-                sizes.append(len(tokens) - before)
-            offsets = pa.array([0, *_running(sizes)], pa.int32())
-            rest = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(counts, pa.int32())], ["token", "n"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sums, pa.int64()), pa.ListArray.from_arrays(offsets, rest)], ["row", "doc_id", "n_bytes", "known", "rest"])
+                if len(rows) > BLOCK:
+                    yield flush()
+                    codes.clear()
+                    for x in (rows, counts, held_codes):
+                        x.clear()
+                    base = None
+            n, nothing = batch.num_rows, pa.array([[]] * batch.num_rows, pa.list_(pa.int32()))
+            # One more row for each document with what is known of it already; its token is
+            # no pre-token (a line feed and more) and differs by row.
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f"\n{x}" for x in numbers], pa.string()), pa.nulls(n, pa.int64()), nothing, nothing, *batch.columns[1:], pa.array(sums, pa.int64())],
+                ["token", "base", "rows", "counts", "row", "doc_id", "n_bytes", "known"],
+            )
+        if rows:
+            yield flush()
 
     texts = docs.select(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
     ).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    rows = texts.mapInArrow(per_document, "row long, doc_id long, n_bytes long, known long, rest array<struct<token:string,n:int>>")
-    # Known sums ride on one more row for each document, so that one grouping does for
-    # both.  Its key is no pre-token (a line feed and more) and differs by row.
-    own = F.struct(F.concat(F.lit("\n"), F.col("row").cast("string")).alias("token"), F.lit(0).alias("n"))
-    parts = rows.select("row", "doc_id", "n_bytes", "known", F.posexplode(F.concat(F.array(own), "rest")).alias("nth", "r")).select(
-        "row", "doc_id", "n_bytes", "r.*", F.when(F.col("nth") == 0, F.col("known")).otherwise(F.lit(0)).alias("known")
-    )
-    counted = parts.join(pieces.select("token", "n_pieces"), "token", "left")
-    summed = counted.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_bytes").alias("n_bytes"),
-        F.sum(F.col("known") + F.coalesce(F.col("n") * F.col("n_pieces"), F.lit(0))).alias("n_tokens"),
-    )
+    kept = texts.mapInArrow(per_document, "token string, base long, rows array<int>, counts array<int>, row long, doc_id long, n_bytes long, known long")
+    counted = kept.join(pieces.select("token", "n_pieces"), "token", "left")
+    own = F.array(F.struct(F.col("row").alias("row"), F.col("known").alias("n")))
+    others = F.zip_with("rows", "counts", lambda r, c: F.struct((F.col("base") + r).alias("row"), (c * F.col("n_pieces")).cast("long").alias("n")))
+    parts = counted.select("doc_id", "n_bytes", F.explode(F.when(F.col("row").isNotNull(), own).otherwise(others)).alias("p"))
+    summed = parts.groupBy("p.row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("p.n").alias("n_tokens"))
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _running(sizes: list[int]):
-    total = 0
-    for n in sizes:
-        total += n
-        yield total
+def _head(pieces: DataFrame) -> DataFrame:
+    """The most frequent pre-tokens, ``HEAD_ROWS`` at most, by a threshold on the frequency."""
+    short = pieces.where(F.length("token") <= HEAD_CHARS)
+    # Frequencies in steps of an eighth of an octave: a few hundred rows.
+    step = F.floor(F.log2("n") * 8)
+    room, least = HEAD_ROWS, None
+    for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    return short.where(step >= least) if least is not None else short.limit(0)
 
 
 def query(spark, sf_dir):

@@ -18,7 +18,7 @@ def rank_votes(rows: DataFrame, contest: str = "contest", votes: str = "votes",
 def percent(part: Column, whole: Column) -> Column:
     """Two decimals, half up, null when the whole is nothing.  Exact decimals."""
     ratio = part.cast("decimal(20,0)") * 100 / F.when(whole != 0, whole).cast("decimal(20,0)")
-    return F.round(ratio, 2).cast("decimal(20,2)")
+    return F.round(ratio, 2).cast("double")
 
 
 def contest_results(rows: DataFrame, contest: str = "contest") -> DataFrame:
@@ -31,7 +31,7 @@ def contest_results(rows: DataFrame, contest: str = "contest") -> DataFrame:
     """
     name = F.upper(F.trim("name"))
     kinds = rows.withColumn("kind", F.when(name == TOTAL, TOTAL).when(name == NOTA, NOTA).otherwise("REAL"))
-    order = Window.partitionBy(contest, "kind").orderBy(F.desc_nulls_last("votes"), F.asc("pos"))
+    order = Window.partitionBy(contest, "kind").orderBy(F.desc_nulls_last("votes"), "pos", "name", "party")
     ranked = kinds.repartition(contest).withColumn("rank", F.row_number().over(order))
 
     def place(n: int, c: str) -> Column:

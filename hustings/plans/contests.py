@@ -30,7 +30,7 @@ QUERIES = {"a1_contest_results": a1_contest_results}
 
 ORACLES = {
     "a1_contest_results": f"""WITH {VOTES},
-r AS (SELECT *, row_number() OVER (PARTITION BY contest, name = 'NOTA' ORDER BY votes DESC NULLS LAST, pos) AS rank FROM votes_),
+r AS (SELECT *, row_number() OVER (PARTITION BY contest, name = 'NOTA' ORDER BY votes DESC NULLS LAST, pos, name, party) AS rank FROM votes_),
 g AS (SELECT contest,
   max(CASE WHEN name <> 'NOTA' AND rank = 1 THEN name END) AS winner_name,
   max(CASE WHEN name <> 'NOTA' AND rank = 1 THEN party END) AS winner_party,
@@ -43,7 +43,7 @@ g AS (SELECT contest,
   count(*) FILTER (WHERE name <> 'NOTA') AS candidate_count, count(*) AS row_count
   FROM r GROUP BY contest)
 SELECT *, winner_votes - runner_up_votes AS margin,
-  CAST(floor((winner_votes - runner_up_votes) * 10000::DECIMAL(20,0) / nullif(polled, 0) + 0.5) / 100 AS DECIMAL(20,2)) AS margin_percent,
+  CAST(floor((winner_votes - runner_up_votes) * 10000::DECIMAL(20,0) / nullif(polled, 0) + 0.5) / 100 AS DOUBLE) AS margin_percent,
   CASE WHEN row_count < 2 THEN 'fewer than 2 rows' WHEN candidate_count < 2 THEN 'fewer than 2 candidates' END AS problem
 FROM g"""
 }

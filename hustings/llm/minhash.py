@@ -174,8 +174,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     band are candidates.  A bucket is compared with one member first, which takes as
     many pairs as members, then once more with the member that has most shingles in
     common with others.  Only where the components so found still differ inside a
-    bucket, members of different components are compared, if counts allow a link
-    (``_open_pairs``).  So no pair that shares a band is lost, and no group is
+    bucket, members of different components are compared, if an upper bound of what
+    they have in common allows a link (``_mixed``).  So no pair that shares a band is lost, and no group is
     spread out into its pairs.  Links are confirmed on the full sets.
 
     Null and empty texts have no shingles and are linked with nothing; a null id is
@@ -216,17 +216,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-#: Documents beyond which a shingle counts as common to a group.
-COMMON = 8
+#: Parts of a profile, and the number of documents from which a shingle is common.
+PARTS, COMMON = 32, 64
 
 
 def _mixed(together: DataFrame, labels: DataFrame, sets: DataFrame):
     """What is open after the comparisons so far: buckets whose members differ in label.
 
-    Gives (rows, counts): ``rows`` (band, id, n, label, shared, common), and ``sparse``
-    (id, shingle) for shingles that more than one but fewer than ``COMMON`` of these
-    documents have.  ``shared`` counts a document's shingles that any other has,
-    ``common`` those that ``COMMON`` or more have.  None if nothing is open.
+    Gives (band, id, n, label, profile).  A profile counts, by hash and by whether they
+    are common, the shingles of a document that any other one here has.  Shingles
+    that two documents share fall into the same parts of both profiles, so the sum of
+    the lesser counts is an upper bound of their intersection, and a close one.  None
+    if nothing is open.
     """
     rows = together.join(labels, "id", "left").select("band", "id", "n", F.coalesce("label", "id").alias("label"))
     mixed = rows.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band")
@@ -242,44 +243,37 @@ def _mixed(together: DataFrame, labels: DataFrame, sets: DataFrame):
 
     shingles = sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(unpack, "id long, shingle long")
     known = shingles.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1")
-    counted = settled(shingles.join(known, "shingle"))
-    sums = counted.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("documents") >= COMMON).alias("common"))
-    full = rows.join(sums, "id", "left").select("band", "id", "n", "label", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("common", F.lit(0)).alias("common"))
-    return settled(full), counted.where(F.col("documents") < COMMON).select("id", "shingle")
+    part = F.pmod(F.shiftright("shingle", 20), F.lit(PARTS)) + F.when(F.col("documents") >= COMMON, PARTS).otherwise(0)
+    marked = shingles.join(known, "shingle").select("id", part.cast("int").alias("part"))
+    profiles = marked.groupBy("id").agg(F.array(*(F.count_if(F.col("part") == k).cast("int") for k in range(2 * PARTS))).alias("profile"))
+    return settled(rows.join(profiles, "id"))
 
 
-def _may_link(percent: int, most, n_a="n_a", n_b="n_b"):
-    """Whether sets of n_a and n_b with at most ``most`` in common can be a link."""
-    return most * 100 >= (F.col(n_a) + F.col(n_b) - most) * percent
+def _may_link(percent: int):
+    """Whether sizes, then profiles, leave room for a link of the sides _a and _b."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    common = F.aggregate(F.zip_with("profile_a", "profile_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (common * 100 >= (n_a + n_b - common) * percent)
 
 
-def _second_stars(open_: tuple, percent: int) -> DataFrame:
+def _sides(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "label", "profile")))
+
+
+def _second_stars(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each bucket's members with the one that has most in common with others."""
-    rows, _ = open_
-    best = rows.groupBy("band").agg(F.max(F.struct("common", "shared", F.negative("id").alias("minus"))).alias("best"))
-    hubs = rows.join(best, "band").where((F.col("id") == -F.col("best.minus"))).select("band", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "label", "shared")))
-    members = rows.select("band", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "label", "shared")))
-    pairs = members.join(hubs, "band").where((F.col("label_a") != F.col("label_b")) & _may_link(percent, F.least("shared_a", "shared_b")))
+    shared = F.aggregate("profile", F.lit(0), lambda total, x: total + x)
+    best = rows.groupBy("band").agg(F.max(F.struct(shared.alias("shared"), F.negative("id").alias("minus"))).alias("best"))
+    hubs = rows.join(best, "band").where(F.col("id") == -F.col("best.minus"))
+    pairs = _sides(rows, "b").join(_sides(hubs, "a"), "band").where((F.col("label_a") != F.col("label_b")) & _may_link(percent))
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def _open_pairs(open_: tuple, percent: int) -> DataFrame:
-    """All pairs (a, b) of different labels that share a band and may be links.
-
-    Two documents either share a sparse shingle, or nothing but common ones.  Pairs
-    of the first kind meet at that shingle, which fewer than ``COMMON`` documents
-    have; the others meet in their band if their common shingles suffice for a link
-    (where most of a group's common shingles are in both, they have been linked to
-    the same document already).
-    """
-    rows, sparse = open_
-    facts = rows.select("id", "n", "label", "shared").distinct()
-    of = lambda df, side, *keys: df.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keys))
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that share a band and whose profiles leave room for a link."""
     different = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
-    whole = of(rows, "a", "band").join(of(rows, "b", "band"), "band").where(different & _may_link(percent, F.least("common_a", "common_b")))
-    marked = sparse.join(facts, "id")
-    part = of(marked, "a", "shingle").join(of(marked, "b", "shingle"), "shingle").where(different & _may_link(percent, F.least("shared_a", "shared_b")))
-    return whole.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(part.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).distinct()
+    pairs = _sides(rows, "a").join(_sides(rows, "b"), "band").where(different & _may_link(percent))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def stage(spark, docs, sf_dir):

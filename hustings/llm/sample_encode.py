@@ -18,11 +18,11 @@ from hustings.llm.token_counts import pre_tokens, processor
 #: Samples for each text.
 SAMPLES = 2
 #: Edges of the lattices that a worker keeps for pre-tokens it may see again.
-MOST_EDGES = 4_000_000
+MOST_EDGES = 2_000_000
 #: Log-shares further apart than this can't be told from nothing in doubles.
 ROUNDING = 60.0
 #: Bytes of text that are sampled side by side.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 class Trie:
@@ -88,11 +88,6 @@ class Lattice:
         self.trie = Trie(pieces)
         self.least = min(w for _, w in pieces.values())
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.surface = [b""] * n
-        for piece, (i, _) in pieces.items():
-            self.surface[i] = piece.replace("▁", " ").encode()
-        for value, i in self.bytes.items():
-            self.surface[i] = bytes([value])
         self._room(MOST_EDGES)
 
     def _room(self, edges: int):
@@ -186,6 +181,19 @@ class Lattice:
         self.start.update(zip(tokens, (base + stop - sizes).tolist(), strict=True))
 
 
+@lru_cache(maxsize=1)
+def surfaces(model_file: str) -> list[bytes]:
+    """What each piece spells: a blank for U+2581, a byte for a byte piece, nothing for control pieces."""
+    sp = processor(model_file)
+
+    def spell(i: int) -> bytes:
+        if sp.is_byte(i):
+            return bytes([int(sp.id_to_piece(i)[3:5], 16)])
+        return b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace("▁", " ").encode()
+
+    return [spell(i) for i in range(sp.get_piece_size())]
+
+
 @lru_cache(maxsize=1)
 def lattice(model_file: str) -> Lattice:
     return Lattice(model_file)
@@ -319,21 +327,29 @@ def _other_edge(table, state, left_out, u):
     return own[min(int(np.searchsorted(np.cumsum(weights), u * weights.sum())), len(own) - 1)]
 
 
-SCHEMA = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, ids binary"
+def _log_inclusion(above: float) -> float:
+    """log(1 - exp(-exp(above))), also where that is too small for a double."""
+    return above if above < -30 else math.log(-math.expm1(-math.exp(min(above, 30.0))))
 
 
-def sample_encodings(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+SCHEMA = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, log_inclusion double, inclusion double, ids binary"
+
+
+def sample_encodings(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Up to ``k`` different segmentations of every whole text, without replacement.
 
     A row for each: ``rank`` by perturbed log-probability, ``ids`` (32-bit, little
-    endian), ``inclusion``, the probability that the segmentation's perturbed value
-    exceeds that of the next one that was not taken (1 if all were taken).  The draws
+    endian), ``inclusion`` (and its logarithm, as long texts have tiny ones), the
+    probability that the segmentation's perturbed value exceeds that of the next one
+    that was not taken (1 if all were taken).  The draws
     depend on the row's id and ``seed`` alone, so equal rows have equal samples and a
     task that runs again gives the same ones.
 
     A null or empty text has one segmentation, of no pieces.  A text with fewer than
-    ``k`` segmentations gives them all.
+    ``k`` segmentations gives them all.  ``with_text`` adds ``text``, what the ids
+    decode to, without a second pass through Python (see ``decode``).
     """
+    schema = f"{SCHEMA}, text string" if with_text else SCHEMA
 
     def sample(batches):
         table = lattice(model_file)
@@ -345,34 +361,41 @@ def sample_encodings(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: i
                 rows: list[tuple] = []
                 for doc, (found, after) in zip(ids[part], top_k(texts[part], keys[part], table, k), strict=True):
                     for rank, (pieces, log, value) in enumerate(found):
-                        share = 1.0 if after == -math.inf else -math.expm1(-math.exp(min(log - after, 700.0)))
-                        rows.append((doc, rank, len(pieces), log, value, share, pieces.astype("<i4").tobytes()))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary()]
-                columns = zip(*rows, strict=True) if rows else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+                        share = _log_inclusion(log - after)
+                        rows.append((doc, rank, len(pieces), log, value, share, math.exp(share), pieces.astype("<i4").tobytes()))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 4, pa.binary()]
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)]
+                if with_text:
+                    arrays.append(pa.array([spell(surfaces(model_file), r[-1]) for r in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
     rows = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(sample, SCHEMA)
+    return rows.mapInArrow(sample, schema)
+
+
+def spell(surface: list[bytes], ids: bytes) -> str:
+    """The text of packed ids, without the blank that the encoder puts in front."""
+    return b"".join(map(surface.__getitem__, np.frombuffer(ids, "<i4").tolist()))[1:].decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
-    """``encoded`` with ``text``, what its ids spell (the encoder's own first blank taken off)."""
+    """``encoded`` with ``text``, what its ids spell (a null or empty array: the empty text)."""
     names = encoded.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
-    def spell(batches):
-        surface = lattice(model_file).surface
+    def run(batches):
+        surface = surfaces(model_file)
         for batch in batches:
-            texts = [b"".join(map(surface.__getitem__, np.frombuffer(x, "<i4").tolist()))[1:].decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            texts = [spell(surface, x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
 
-    return encoded.mapInArrow(spell, f"{schema}, text string")
+    return encoded.mapInArrow(run, f"{schema}, text string")
 
 
 def digest(docs: DataFrame, model_file: str) -> DataFrame:
     """Digests of the samples of each document and of what they decode to."""
-    found = decode(sample_encodings(docs, model_file), model_file)
-    return found.select("doc_id", "rank", "n_pieces", "log_prob", "inclusion", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("text_sha256"))
+    found = sample_encodings(docs, model_file, with_text=True)
+    return found.select("doc_id", "rank", "n_pieces", "log_prob", "log_inclusion", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def _model() -> str:

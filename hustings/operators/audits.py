@@ -70,7 +70,7 @@ def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
 
 def coverage(df: DataFrame, filled: dict[str, Column]) -> DataFrame:
     """Share of rows for which each condition holds, four decimals."""
-    share = lambda c: F.round(F.count_if(c).cast("decimal(20,0)") / F.nullif(F.count("*"), F.lit(0)), 4).cast("decimal(10,4)")
+    share = lambda c: F.round(F.count_if(c).cast("decimal(20,0)") / F.nullif(F.count("*"), F.lit(0)), 4).cast("double")
     return df.agg(F.count("*").alias("total"), *(share(c).alias(k) for k, c in filled.items()))
 
 
@@ -80,7 +80,7 @@ def value_audit(df: DataFrame, c: str = "profession", missing: str = "Not Found"
     label = F.when(value == "", "missing").when(value == missing, "not_found").otherwise("verified")
     counts = df.groupBy(label.alias("label")).agg(F.count("*").alias("rows"))
     whole = F.sum("rows").over(Window.partitionBy())  # three rows at most
-    return counts.withColumn("percent", F.round(F.col("rows").cast("decimal(20,0)") * 100 / whole, 2).cast("decimal(10,2)"))
+    return counts.withColumn("percent", F.round(F.col("rows").cast("decimal(20,0)") * 100 / whole, 2).cast("double"))
 
 
 def extraction_audit(df: DataFrame, failures: DataFrame) -> DataFrame:

@@ -79,20 +79,13 @@ def relevance(items: DataFrame, cands: DataFrame) -> DataFrame:
     return joined.withColumn("kind", kind).drop("__n", "__c", "__a", "__known")
 
 
-def discover(items: DataFrame, cands: DataFrame, most: int = 1000) -> DataFrame:
-    """J21 the other way: candidates whose name words stand in an article, by a join on words.
+def discover(items: DataFrame, cands: DataFrame) -> DataFrame:
+    """J21 the other way: candidates of whose name a word of four letters or more stands in an article.
 
-    A word of more than ``most`` candidates leads nowhere by itself and is not joined on;
-    candidates of which that is every word are matched by all their words at once.
+    Both sides are spread out by word and joined; what a common word brings is part of
+    the result, and its share of the join is split up at run time.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
-    own = cands.select("candidate_id", words.alias("words")).where("size(words) > 0")
-    spread = own.select("candidate_id", F.explode("words").alias("word"))
-    counts = spread.groupBy("word").agg(F.count("*").alias("n"))
-    rare = spread.join(counts.where(F.col("n") <= most), "word").select("candidate_id", "word")
-    common = own.join(rare.select("candidate_id").distinct(), "candidate_id", "left_anti").select("candidate_id", F.array_sort("words").alias("all"))
-    text = items.select("item_id", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "snippet")), "[^a-z0-9_]+")).alias("text"))
-    hits = text.select("item_id", F.explode("text").alias("word")).join(rare, "word").select("item_id", "candidate_id")
-    first = common.select("candidate_id", "all", F.get("all", F.lit(0)).alias("word"))
-    more = text.select("item_id", "text", F.explode("text").alias("word")).join(first, "word").where(F.size(F.array_except("all", "text")) == 0).select("item_id", "candidate_id")
-    return hits.union(more).distinct()
+    own = cands.select("candidate_id", F.explode(words).alias("word"))
+    text = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "snippet")), "[^a-z0-9_]+"))
+    return items.select("item_id", F.explode(text).alias("word")).join(own, "word").select("item_id", "candidate_id").distinct()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.common import read, released, settled
+from hustings.llm.common import read, shuffle_parts
 
 #: A pre-token is a run of blanks with the run of other characters behind it, or a
 #: run of line feeds.  (U+2581 is how the vocabulary writes a blank.)
@@ -20,8 +20,12 @@ PRE_TOKEN = re.compile("[ ▁]*[^ ▁\n]+|[ ▁]+|\n+")
 HEAD_ROWS, HEAD_CHARS = 50_000, 40
 #: Different pre-tokens that a task holds before it hands their counts on.
 FLUSH = 800_000
+#: Occurrences in a task from which a pre-token may be one of the most frequent ones.
+OFTEN = 8
 #: (document, pre-token) pairs that a task holds before it hands them on, token by token.
-BLOCK = 600_000
+BLOCK = 1_000_000
+#: Largest count that fits a packed place.
+MOST_COUNT = (1 << 24) - 1
 
 
 @lru_cache(maxsize=2)
@@ -54,11 +58,13 @@ def count_pieces(sp, tokens: list[str]) -> list[int]:
     return [(len(ids) or 1) if b else len(ids) - 2 for ids, b in zip(got, blank, strict=True)]
 
 
-def _frequencies(batches):
+def _often(batches):
+    """Pre-tokens that are frequent in a task, with their counts there."""
     counts: Counter[str] = Counter()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+        found = [(t, n) for t, n in counts.items() if n >= OFTEN and len(t) <= HEAD_CHARS]
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["token", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -69,107 +75,118 @@ def _frequencies(batches):
     yield out()
 
 
-def piece_table(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
-    """(token, n, n_pieces) of each different pre-token of all texts, encoded once."""
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    distinct = texts.mapInArrow(_frequencies, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
-    def encode(batches):
-        sp = processor(model_file)
-        for batch in batches:
-            pieces = count_pieces(sp, batch.column(0).to_pylist()) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.int32())], ["token", "n", "n_pieces"])
+def frequent_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """token, n: pre-tokens that are frequent in all texts, ``HEAD_ROWS`` at most.
 
-    return distinct.mapInArrow(encode, "token string, n long, n_pieces int")
+    Which ones these are decides how much is joined, never what comes out.
+    """
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counted = texts.mapInArrow(_often, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return counted.orderBy(F.desc("n"), "token").limit(HEAD_ROWS)
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every text (null: empty, no tokens).
 
-    Each different pre-token is encoded once.  The ``HEAD_ROWS`` most frequent ones
-    (a bounded table) go to every task, which adds their share up on the spot.  Of all
-    others, none of which is frequent, a task hands on the documents they are in, a
-    row for each pre-token of a block of documents, and these meet their counts in a
-    join.  Repeated rows count one by one; an empty table gives no rows.
+    Each different pre-token is encoded once.  Frequent ones (``HEAD_ROWS`` at most)
+    are encoded first and go to every task, which adds their share up on the spot.
+    Of all others a task hands on the documents they are in, a row for each pre-token
+    of a block of documents.  Dealt and sorted by pre-token, all that belongs to one
+    meets in one place, is encoded there once, and goes back to its documents as a
+    product of counts.  Repeated rows count one by one; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = settled(piece_table(docs, model_file, text_col))
-    released(spark)
-    head = spark.sparkContext.broadcast({r.token: r.n_pieces for r in _head(pieces).collect()})
+    often = [r.token for r in frequent_tokens(docs, text_col).select("token").collect()]
+    head = spark.sparkContext.broadcast(dict(zip(often, count_pieces(processor(model_file), often), strict=True)))
 
     def per_document(batches):
-        known, codes, rows, counts, base = head.value, {}, [], [], None
-        held_codes: list[int] = []
+        known, codes, held, places, base = head.value, {}, [], [], None
 
         def flush():
-            """A row for each pre-token of the block: the documents it is in, and how often."""
-            order = np.argsort(np.array(held_codes, np.int32), kind="stable")
-            offsets = pa.array(np.searchsorted(np.array(held_codes, np.int32)[order], np.arange(len(codes) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, np.int32)[order])) for x in (rows, counts)]
-            n = len(codes)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(codes), pa.string()), pa.array([base] * n, pa.int64()), *lists, *(pa.nulls(n, pa.int64()) for _ in range(4))],
-                ["token", "base", "rows", "counts", "row", "doc_id", "n_bytes", "known"],
-            )
+            """A row for each pre-token of the block: places (row less base) << 24 | count."""
+            code = np.array(held, np.int32)
+            order = np.argsort(code, kind="stable")
+            offsets = np.searchsorted(code[order], np.arange(len(codes) + 1)).astype(np.int32)
+            packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(places, np.int64)[order]))
+            return pa.RecordBatch.from_arrays([pa.array(list(codes), pa.string()), pa.array([base] * len(codes), pa.int64()), packed], ["token", "base", "packed"])
 
         for batch in batches:
-            numbers = batch.column(1).to_pylist()
-            sums = []
-            for number, text in zip(numbers, batch.column(0).to_pylist(), strict=True):
+            own = []
+            for number, doc, size, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 0)), strict=True):
                 total = 0
                 base = number if base is None else base
                 for token, n in Counter(pre_tokens(text)).items():
                     if (of := known.get(token)) is not None:
                         total += n * of
                     else:
-                        held_codes.append(codes.setdefault(token, len(codes)))
-                        rows.append(number - base)
-                        counts.append(n)
-                sums.append(total)
-                if len(rows) > BLOCK:
+                        held.append(codes.setdefault(token, len(codes)))
+                        places.append((number - base) << 24 | min(n, MOST_COUNT))
+                        while n > MOST_COUNT:
+                            n -= MOST_COUNT
+                            held.append(codes[token])
+                            places.append((number - base) << 24 | min(n, MOST_COUNT))
+                own.append([total, doc, size])
+                if len(held) > BLOCK:
                     yield flush()
                     codes.clear()
-                    for x in (rows, counts, held_codes):
-                        x.clear()
+                    held.clear()
+                    places.clear()
                     base = None
-            n, nothing = batch.num_rows, pa.array([[]] * batch.num_rows, pa.list_(pa.int32()))
             # One more row for each document with what is known of it already; its token is
             # no pre-token (a line feed and more) and differs by row.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f"\n{x}" for x in numbers], pa.string()), pa.nulls(n, pa.int64()), nothing, nothing, *batch.columns[1:], pa.array(sums, pa.int64())],
-                ["token", "base", "rows", "counts", "row", "doc_id", "n_bytes", "known"],
-            )
-        if rows:
+            numbers = batch.column(1)
+            names = pa.array([f"\n{x}" for x in numbers.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([names, numbers, pa.array(own, pa.list_(pa.int64()))], ["token", "base", "packed"])
+        if held:
             yield flush()
 
+    def weigh(batches):
+        """row, n, doc_id, n_bytes of the places of sorted pre-tokens; one count for each pre-token."""
+        sp, last, pieces = processor(model_file), None, 0
+        for batch in batches:
+            tokens = batch.column(0).to_pylist()
+            fresh = [t for t in dict.fromkeys(tokens) if t != last and not (t[0] == "\n" and t[1:2].isdigit())]
+            counts = dict(zip(fresh, count_pieces(sp, fresh), strict=True)) if fresh else {}
+            if last is not None:
+                counts.setdefault(last, pieces)
+            own = [t not in counts for t in tokens]
+            rows, ns, docs_, sizes = [], [], [], []
+            lists = batch.column(2)
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for t, mine, b, x, y in zip(tokens, own, batch.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if mine:
+                    total, doc, size = lists.values[x : x + 3].to_pylist()
+                    rows.append(np.array([b]))
+                    ns.append(np.array([total]))
+                    docs_.append((len(rows) - 1, doc, size))
+                else:
+                    part = flat[x:y].astype(np.int64)
+                    rows.append((part >> 24) + b)
+                    ns.append((part & MOST_COUNT) * counts[t])
+            if tokens and tokens[-1] in counts:
+                last, pieces = tokens[-1], counts[tokens[-1]]
+            starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(int)
+            doc_ids, n_bytes = [None] * int(starts[-1]), [None] * int(starts[-1])
+            for k, doc, size in docs_:
+                doc_ids[starts[k]], n_bytes[starts[k]] = doc, size
+            join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(join(rows)), pa.array(join(ns)), pa.array(doc_ids, pa.int64()), pa.array(n_bytes, pa.int64())], ["row", "n", "doc_id", "n_bytes"])
+
     texts = docs.select(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
     ).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    kept = texts.mapInArrow(per_document, "token string, base long, rows array<int>, counts array<int>, row long, doc_id long, n_bytes long, known long")
-    counted = kept.join(pieces.select("token", "n_pieces"), "token", "left")
-    own = F.array(F.struct(F.col("row").alias("row"), F.col("known").alias("n")))
-    others = F.zip_with("rows", "counts", lambda r, c: F.struct((F.col("base") + r).alias("row"), (c * F.col("n_pieces")).cast("long").alias("n")))
-    parts = counted.select("doc_id", "n_bytes", F.explode(F.when(F.col("row").isNotNull(), own).otherwise(others)).alias("p"))
-    summed = parts.groupBy("p.row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("p.n").alias("n_tokens"))
+    kept = texts.mapInArrow(per_document, "token string, base long, packed array<long>")
+    sorted_ = kept.repartition(shuffle_parts(spark), "token").sortWithinPartitions("token")
+    summed = (
+        sorted_.mapInArrow(weigh, "row long, n long, doc_id long, n_bytes long")
+        .groupBy("row")
+        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    )
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _head(pieces: DataFrame) -> DataFrame:
-    """The most frequent pre-tokens, ``HEAD_ROWS`` at most, by a threshold on the frequency."""
-    short = pieces.where(F.length("token") <= HEAD_CHARS)
-    # Frequencies in steps of an eighth of an octave: a few hundred rows.
-    step = F.floor(F.log2("n") * 8)
-    room, least = HEAD_ROWS, None
-    for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["step"]
-    return short.where(step >= least) if least is not None else short.limit(0)
-
-
 def query(spark, sf_dir):
     import public_tokenizers
 

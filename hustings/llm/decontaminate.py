@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,82 +35,158 @@ def _tokens(c: Column) -> Column:
 
 
 def templates(docs: DataFrame) -> DataFrame:
-    """Adds ``raw``, the words of ``text``, and ``form``, the same with typed slots for names,
-    units and numbers.  Words are lower-cased; punctuation and spacing don't count."""
+    """Adds ``raw``, the words of ``text``, and the same words in each of ``READINGS``, with typed
+    slots.  Words are lower-cased; punctuation and spacing don't count.
+
+    ``form`` has slots for names, units and numbers.  ``plain`` doesn't look at letter case: it
+    has slots for units and numbers only, so that a text in other case reads the same.
+    """
     marked = F.lower(F.regexp_replace(F.regexp_replace("text", _NAME, f"{NAME}$0"), _UNIT, f"{UNIT}$0"))
+    low = F.regexp_replace(F.lower(F.upper("text")), _UNIT, f"{UNIT}$0")
     form = F.regexp_replace(F.regexp_replace("marked", rf"([{NAME}{UNIT}])[\p{{L}}\p{{N}}]++", "$1"), "[0-9]++", NUMBER)
-    return docs.withColumn("marked", marked).withColumn("raw", _tokens(F.col("marked"))).withColumn("form", _tokens(form)).drop("marked", "text")
+    plain = F.regexp_replace(F.regexp_replace(low, rf"({UNIT})[\p{{L}}\p{{N}}]++", "$1"), "[0-9]++", NUMBER)
+    return (
+        docs.withColumn("marked", marked)
+        .withColumn("raw", _tokens(F.replace("marked", F.lit(NAME), F.lit(""))))
+        .withColumn("form", _tokens(form))
+        .withColumn("plain", _tokens(plain))
+        .drop("marked", "text")
+    )
+
+
+#: How a text is read; ``form`` comes first, it has a say in the others.
+READINGS = ("form", "plain")
 
 
 def _places(size: Column) -> Column:
     return F.when(size >= WINDOW, F.sequence(F.lit(0), size - WINDOW)).otherwise(F.array().cast("array<int>"))
 
 
-def _window_hashes() -> Column:
-    return F.transform(_places(F.size("form")), lambda i: F.xxhash64(*(F.get("form", i + k) for k in range(WINDOW))))
+def _own_places(reading: str) -> Column:
+    """Places of the windows of a reading that differ from those of ``form``."""
+    n = F.size(reading)
+    if reading == "form":
+        return _places(n)
+    other = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(reading, i) != F.get("form", i))
+    near = F.array_distinct(F.flatten(F.transform(other, lambda i: F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), F.least(i, n - WINDOW)))))
+    return F.when((n >= WINDOW) & (n == F.size("form")), near).otherwise(_places(n))
+
+
+def _window_hash(reading: str, place: str) -> str:
+    return f"xxhash64({', '.join(f'get({reading}, {place} + {k})' for k in range(WINDOW))})"
 
 
 def _is_slot(word: Column) -> Column:
     return word.rlike(f"[{NAME}{UNIT}{NUMBER}]")
 
 
+def _at(words: str, place: str = "place") -> Column:
+    return F.slice(words, F.col(place) + 1, WINDOW)
+
+
+def _usable(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: ~_is_slot(w))) >= LITERALS
+
+
 def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """hash, item, place, raw, form, n_windows of each window with enough words in it."""
-    rows = templates(narrow(items, item_col, text_col).withColumnRenamed("doc_id", "item")).withColumn("hashes", _window_hashes())
-    spread = rows.select("item", "raw", "form", F.posexplode("hashes").alias("place", "hash")).select(
-        "item", "place", "hash", F.slice("raw", F.col("place") + 1, WINDOW).alias("raw"), F.slice("form", F.col("place") + 1, WINDOW).alias("form")
+    """hash, item, place, kind, raw, form, usable, n_windows of each window with enough words in it.
+
+    ``kind`` is the place of its reading in ``READINGS``, ``form`` its words there;
+    ``usable`` has a bit for each reading in which this place has enough words, and
+    ``n_windows`` the count of such places, by reading.
+    """
+    rows = templates(narrow(items, item_col, text_col).withColumnRenamed("doc_id", "item"))
+    for r in READINGS:
+        rows = rows.withColumn(f"{r}_places", _own_places(r))
+    parts = []
+    for kind, r in enumerate(READINGS):
+        at = rows.select("item", "raw", *READINGS, F.explode(f"{r}_places").alias("place"))
+        usable = [_usable(_at(x)) for x in READINGS]
+        bits = sum((F.when(u, F.lit(1 << i)).otherwise(F.lit(0)) for i, u in enumerate(usable)), F.lit(0))
+        parts.append(
+            at.select("item", "place", F.lit(kind).alias("kind"), F.expr(_window_hash(r, "place")).alias("hash"), _at("raw").alias("raw"), _at(r).alias("form"), bits.alias("usable"))
+        )
+    spread = functools.reduce(DataFrame.unionByName, parts)
+    counts = spread.groupBy("item").agg(
+        F.array(*(F.countDistinct(F.when(F.col("usable").bitwiseAND(F.lit(1 << i)) > 0, F.col("place"))) for i in range(len(READINGS)))).alias("n_windows")
     )
-    usable = spread.where(F.size(F.filter("form", lambda w: ~_is_slot(w))) >= LITERALS)
-    counts = usable.groupBy("item").agg(F.countDistinct("place").alias("n_windows"))
-    return usable.join(counts, "item").dropDuplicates(["item", "place", "hash"])
+    return spread.where(_usable(F.col("form"))).join(counts, "item").dropDuplicates(["item", "place", "kind", "hash"])
+
+
+def _one_to_one(slots: Column) -> Column:
+    n = F.size(slots)
+    return (F.size(F.array_distinct(F.transform(slots, lambda s: s["theirs"]))) == n) & (F.size(F.array_distinct(F.transform(slots, lambda s: s["ours"]))) == n)
 
 
 def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, n_found, coverage, n_slots of documents that hold an item.
 
-    Windows of ``WINDOW`` template words are joined by hash and then by the words.
-    Windows at one distance (place in the document less place in the item) are one
-    reading of the item; its slots must map one to one: a name, unit or number of the
-    item stands for the same thing throughout, and different ones for different
-    things.  Readings in which they don't are left out; what is left must cover
-    the share ``coverage`` of the item's windows.
+    Windows of ``WINDOW`` words are joined by hash and then by the words, in each of
+    ``READINGS``.  Windows at one distance (place in the document less place in the
+    item) belong together; their slots must map one to one: a name, unit or number
+    of the item stands for the same thing throughout, and different ones for
+    different things.  Where the slots of ``form`` don't, the distance is left out;
+    where only those of another reading don't, this reading is.  Places that are left
+    are united, and must cover the share ``coverage`` of the item's windows in one of
+    the readings (the figures are those of the reading that is covered best).  Names
+    changed in a text that has lost its letter case can't be seen as names.
 
     Null, empty and short texts match nothing, nor do items of fewer than
     ``WINDOW`` words.  Rows that repeat a document give one row for each item.
     """
     windows = benchmark_windows(items)
-    rows = templates(narrow(docs, id_col, text_col)).withColumn("hashes", _window_hashes())
+    rows = templates(narrow(docs, id_col, text_col))
     small = fits_broadcast(windows, MOST_WINDOWS)
     if small:
         known = sorted({r.hash for r in windows.select("hash").distinct().collect()})
         inside = ",".join(f"{h}L" if h != -(1 << 63) else "bigint('-9223372036854775808')" for h in known) or "null"
-        rows = rows.withColumn("at", F.expr(f"filter(transform(hashes, (h, i) -> if(h IN ({inside}), i, -1)), i -> i >= 0)"))
-    else:
-        rows = rows.withColumn("at", F.transform("hashes", lambda h, i: i))
-    found = rows.select(
-        "doc_id",
-        F.explode(F.transform("at", lambda i: F.struct(F.get("hashes", i).alias("hash"), i.alias("place"), F.slice("raw", i + 1, WINDOW).alias("raw"), F.slice("form", i + 1, WINDOW).alias("form")))).alias("w"),
-    ).select("doc_id", "w.*")
-    theirs = windows.select("hash", "item", F.col("place").alias("item_place"), F.col("raw").alias("item_raw"), F.col("form").alias("item_form"), "n_windows")
+    for r in READINGS:
+        rows = rows.withColumn(f"{r}_at", _own_places(r))
+        if small:
+            rows = rows.withColumn(f"{r}_at", F.expr(f"filter({r}_at, p -> {_window_hash(r, 'p')} IN ({inside}))"))
+
+    def held(kind: int, r: str) -> Column:
+        return F.transform(f"{r}_at", lambda p: F.struct(
+            F.xxhash64(*(F.get(r, p + k) for k in range(WINDOW))).alias("hash"), F.lit(kind).alias("our_kind"), p.alias("place"),
+            F.slice("raw", p + 1, WINDOW).alias("raw"), F.slice(r, p + 1, WINDOW).alias("form"),
+        ))
+
+    found = rows.select("doc_id", F.explode(F.concat(*(held(k, r) for k, r in enumerate(READINGS)))).alias("w")).select("doc_id", "w.*")
+    theirs = windows.select(
+        "hash", "item", F.col("kind").alias("item_kind"), F.col("place").alias("item_place"), "usable", F.col("raw").alias("item_raw"), F.col("form").alias("item_form"), "n_windows"
+    )
     hits = found.join(F.broadcast(theirs) if small else theirs, "hash").where(F.col("form") == F.col("item_form"))
     # Pairs of what fills a slot in the item and in the document.
     filled = F.filter(F.arrays_zip(F.col("item_raw").alias("theirs"), F.col("raw").alias("ours"), F.col("form").alias("form")), lambda z: _is_slot(z["form"]))
     slots = F.transform(filled, lambda z: F.struct(z["theirs"].alias("theirs"), z["ours"].alias("ours")))
-    readings = (
-        hits.select("doc_id", "item", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), slots.alias("slots"))
-        .groupBy("doc_id", "item", "shift")
-        .agg(F.first("n_windows").alias("n_windows"), F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    )
-    one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: s["theirs"]))) == F.size("slots")) & (
-        F.size(F.array_distinct(F.transform("slots", lambda s: s["ours"]))) == F.size("slots")
-    )
-    covered = (
-        readings.where(one_to_one)
+    apart = hits.select(
+        "doc_id", "item", "n_windows", F.struct("item_place", "usable").alias("at"), (F.col("place") - F.col("item_place")).alias("shift"), slots.alias("slots"),
+        F.greatest("our_kind", "item_kind").alias("kind"),
+    )
+    aggs = []
+    for k in range(len(READINGS)):
+        mine = F.col("kind") == k
+        aggs += [F.collect_set(F.when(mine, F.col("at"))).alias(f"places_{k}"), F.array_distinct(F.flatten(F.collect_set(F.when(mine, F.col("slots"))))).alias(f"slots_{k}")]
+    readings = apart.groupBy("doc_id", "item", "shift").agg(F.first("n_windows").alias("n_windows"), *aggs).where(_one_to_one(F.col("slots_0")))
+    places, filling = F.col("places_0"), F.col("slots_0")
+    for k in range(1, len(READINGS)):
+        fits = _one_to_one(F.array_union("slots_0", f"slots_{k}"))
+        places = F.when(fits, F.array_union(places, F.col(f"places_{k}"))).otherwise(places)
+        filling = F.when(fits, F.array_union(filling, F.col(f"slots_{k}"))).otherwise(filling)
+    united = (
+        readings.select("doc_id", "item", "n_windows", places.alias("places"), F.size(filling).alias("n_slots"))
         .groupBy("doc_id", "item")
-        .agg(F.first("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_found"), F.max(F.size("slots")).alias("n_slots"))
+        .agg(F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max("n_slots").alias("n_slots"))
     )
-    return covered.where(F.col("n_found") >= F.col("n_windows") * coverage).select(
-        "doc_id", F.col("item").alias("item_id"), "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "n_slots"
+
+    def share(i: int) -> Column:
+        total = F.get("n_windows", F.lit(i))
+        n_found = F.size(F.filter("places", lambda p: p["usable"].bitwiseAND(F.lit(1 << i)) > 0)).cast("long")
+        return F.struct(F.when(total > 0, n_found / total).otherwise(F.lit(0.0)).alias("coverage"), n_found.alias("n_found"), total.alias("n_windows"))
+
+    best = united.select("doc_id", F.col("item").alias("item_id"), F.array_max(F.array(*map(share, range(len(READINGS))))).alias("best"), "n_slots")
+    return best.where((F.col("best.n_found") > 0) & (F.col("best.n_found") >= F.col("best.n_windows") * coverage)).select(
+        "doc_id", "item_id", "best.n_windows", "best.n_found", "best.coverage", "n_slots"
     )
 
 

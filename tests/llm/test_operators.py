@@ -294,6 +294,22 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.matches(empty, items).count() == 0 and decontaminate.matches(docs, empty.select("doc_id", "text").withColumnRenamed("doc_id", "item_id")).count() == 0
 
 
+def test_decontamination_in_other_letter_case(spark, monkeypatch):
+    item = "A train leaves Paris at 9 and drives 120 km to Lyon while Anna and Bert leave Nancy for Metz at 10 and meet Carla on the way"
+    town = "Quiet Anna and Old Bert met Carla in Metz and Nancy near Lyon by Straße"
+    items = spark.createDataFrame([(1, item), (2, town), (3, "THE RIVER RUNS ALONG THE OLD WALL OF THE TOWN")], "item_id long, text string")
+    texts = [
+        (1, "So " + item.upper() + " indeed"), (2, "so " + item.lower()), (3, "BEFORE IT " + town.upper()), (4, town.lower().swapcase()), (5, "It says the river runs along the old wall of the town."),
+        (6, "ANOTHER TEXT IN UPPER CASE THAT HOLDS NONE OF THEM AT ALL"), (7, item.replace("120", "75").upper()), (8, item.replace("120", "9").upper()),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (7, 1)]
+    assert rows(decontaminate.matches(docs, items), "doc_id", "item_id") == want
+    assert {r.coverage for r in decontaminate.matches(docs, items).collect()} == {1.0}
+    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", 0)
+    assert rows(decontaminate.matches(docs, items), "doc_id", "item_id") == want
+
+
 def test_decontamination_by_shuffle_gives_the_same(spark, docs, monkeypatch):
     items = spark.createDataFrame([(1, PASSAGE), (2, LINE)], "item_id long, text string")
     want = rows(decontaminate.matches(docs, items), "doc_id", "item_id", "n_found")

@@ -17,6 +17,8 @@ COVERAGE = 0.5
 MOST_WINDOWS = 100_000
 #: Private-use characters that mark the type of a slot.
 NAME, UNIT, NUMBER = "\ue000", "\ue001", "\ue002"
+#: Marks a capitalised word that may be a name or only begins a sentence.
+START = "\ue003"
 #: Units that count as slots behind a number (fixed values).
 UNITS = (
     "mm", "cm", "m", "km", "g", "kg", "mg", "l", "ml", "s", "min", "h", "ms", "inch", "inches", "feet", "foot", "yards", "miles", "mile",
@@ -24,10 +26,11 @@ UNITS = (
     "dollars", "euros", "cents", "percent", "degrees",
 )
 
-#: A capitalised word behind a word or comma, so not at the start of a sentence.
-_NAME = r"(?<=[\p{L}\p{N},;:] )\p{Lu}[\p{L}'-]*+"
+#: A capitalised word; behind a word or comma, so not at the start of a sentence, it is a name.
+_CAPITAL = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})[\p{L}'-]*+"
+_NAME = rf"{START}(?<=[\p{{L}}\p{{N}},;:] {START})"
 _UNIT = rf"(?<=[0-9] |[0-9])(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{N}}])"
-_GAP = rf"[^\p{{L}}\p{{N}}{NAME}{UNIT}{NUMBER}]++"
+_GAP = rf"[^\p{{L}}\p{{N}}{NAME}{UNIT}{NUMBER}{START}]++"
 
 
 def _tokens(c: Column) -> Column:
@@ -38,24 +41,29 @@ def templates(docs: DataFrame) -> DataFrame:
     """Adds ``raw``, the words of ``text``, and the same words in each of ``READINGS``, with typed
     slots.  Words are lower-cased; punctuation and spacing don't count.
 
-    ``form`` has slots for names, units and numbers.  ``plain`` doesn't look at letter case: it
-    has slots for units and numbers only, so that a text in other case reads the same.
+    ``form`` has slots for names, units and numbers.  ``start`` has them also for capitalised
+    words at the start of a sentence, line or quotation, which may be names.  ``plain`` doesn't
+    look at letter case: it has slots for units and numbers only, so that a text in other case
+    reads the same.
     """
-    marked = F.lower(F.regexp_replace(F.regexp_replace("text", _NAME, f"{NAME}$0"), _UNIT, f"{UNIT}$0"))
+    names = F.regexp_replace(F.regexp_replace("text", _CAPITAL, f"{START}$0"), _NAME, NAME)
+    marked = F.lower(F.regexp_replace(names, _UNIT, f"{UNIT}$0"))
     low = F.regexp_replace(F.lower(F.upper("text")), _UNIT, f"{UNIT}$0")
-    form = F.regexp_replace(F.regexp_replace("marked", rf"([{NAME}{UNIT}])[\p{{L}}\p{{N}}]++", "$1"), "[0-9]++", NUMBER)
+    slots = F.regexp_replace(F.regexp_replace("marked", rf"([{NAME}{UNIT}])[\p{{L}}\p{{N}}]++", "$1"), "[0-9]++", NUMBER)
     plain = F.regexp_replace(F.regexp_replace(low, rf"({UNIT})[\p{{L}}\p{{N}}]++", "$1"), "[0-9]++", NUMBER)
     return (
         docs.withColumn("marked", marked)
-        .withColumn("raw", _tokens(F.replace("marked", F.lit(NAME), F.lit(""))))
-        .withColumn("form", _tokens(form))
+        .withColumn("raw", _tokens(F.replace(F.replace("marked", F.lit(NAME), F.lit("")), F.lit(START), F.lit(""))))
+        .withColumn("slots", slots)
+        .withColumn("form", _tokens(F.replace("slots", F.lit(START), F.lit(""))))
+        .withColumn("start", _tokens(F.regexp_replace("slots", rf"{START}[\p{{L}}\p{{N}}{NUMBER}{UNIT}]++", NAME)))
         .withColumn("plain", _tokens(plain))
-        .drop("marked", "text")
+        .drop("marked", "slots", "text")
     )
 
 
 #: How a text is read; ``form`` comes first, it has a say in the others.
-READINGS = ("form", "plain")
+READINGS = ("form", "start", "plain")
 
 
 def _places(size: Column) -> Column:

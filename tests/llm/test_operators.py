@@ -310,6 +310,19 @@ def test_decontamination_in_other_letter_case(spark, monkeypatch):
     assert rows(decontaminate.matches(docs, items), "doc_id", "item_id") == want
 
 
+def test_decontamination_names_that_start_sentences(spark):
+    item = "Sarah buys 4 pens. Sarah sells 2 pens. Sarah keeps the rest."
+    two = "Tom has 5 apples more than Ann. Tom gives 3 of his apples to Ann.\nHow many more apples has Tom now? The answer is a number."
+    items = spark.createDataFrame([(1, item), (2, two)], "item_id long, text string")
+    texts = [
+        (1, item.replace("Sarah", "Emma")), (2, 'They ask: "' + item.replace("Sarah", "Emma") + '"'), (3, "So " + item.replace("Sarah", "Emma").replace("4", "9")),
+        (4, two.replace("Tom", "Bob").replace("Ann", "Eve")), (5, two.replace("Tom", "Bob").replace("The answer", "An answer")), (6, "the answer is a number, the rest is not."),
+        (7, "Sarah buys 4 pens. Emma sells 2 pens. Ann keeps the rest."),
+    ]
+    got = rows(decontaminate.matches(spark.createDataFrame(texts, "doc_id long, text string"), items), "doc_id", "item_id")
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
+
+
 def test_decontamination_by_shuffle_gives_the_same(spark, docs, monkeypatch):
     items = spark.createDataFrame([(1, PASSAGE), (2, LINE)], "item_id long, text string")
     want = rows(decontaminate.matches(docs, items), "doc_id", "item_id", "n_found")

@@ -129,6 +129,9 @@ def _one_to_one(slots: Column) -> Column:
 def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, n_found, coverage, n_slots of documents that hold an item.
 
+    A document is an id with its text: rows without an id, or of one id, are apart where
+    their texts differ.
+
     Windows of ``WINDOW`` words are joined by hash and then by the words, in each of
     ``READINGS``.  Windows at one distance (place in the document less place in the
     item) belong together; their slots must map one to one: a name, unit or number
@@ -142,8 +145,17 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_co
     Null, empty and short texts match nothing, nor do items of fewer than
     ``WINDOW`` words.  Rows that repeat a document give one row for each item.
     """
+    return _matches(docs, items, coverage, id_col, text_col).drop("text_key")
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``matches`` returns, and ``text_key``, which tells texts of one id apart."""
     windows = benchmark_windows(items)
-    rows = templates(narrow(docs, id_col, text_col))
+    rows = templates(narrow(docs, id_col, text_col).withColumn("text_key", _text_key(F.col("text"))))
     small = fits_broadcast(windows, MOST_WINDOWS)
     if small:
         known = sorted({r.hash for r in windows.select("hash").distinct().collect()})
@@ -159,7 +171,7 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_co
             F.slice("raw", p + 1, WINDOW).alias("raw"), F.slice(r, p + 1, WINDOW).alias("form"),
         ))
 
-    found = rows.select("doc_id", F.explode(F.concat(*(held(k, r) for k, r in enumerate(READINGS)))).alias("w")).select("doc_id", "w.*")
+    found = rows.select("doc_id", "text_key", F.explode(F.concat(*(held(k, r) for k, r in enumerate(READINGS)))).alias("w")).select("doc_id", "text_key", "w.*")
     theirs = windows.select(
         "hash", "item", F.col("kind").alias("item_kind"), F.col("place").alias("item_place"), "usable", F.col("raw").alias("item_raw"), F.col("form").alias("item_form"), "n_windows"
     )
@@ -168,22 +180,22 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_co
     filled = F.filter(F.arrays_zip(F.col("item_raw").alias("theirs"), F.col("raw").alias("ours"), F.col("form").alias("form")), lambda z: _is_slot(z["form"]))
     slots = F.transform(filled, lambda z: F.struct(z["theirs"].alias("theirs"), z["ours"].alias("ours")))
     apart = hits.select(
-        "doc_id", "item", "n_windows", F.struct("item_place", "usable").alias("at"), (F.col("place") - F.col("item_place")).alias("shift"), slots.alias("slots"),
+        "doc_id", "text_key", "item", "n_windows", F.struct("item_place", "usable").alias("at"), (F.col("place") - F.col("item_place")).alias("shift"), slots.alias("slots"),
         F.greatest("our_kind", "item_kind").alias("kind"),
     )
     aggs = []
     for k in range(len(READINGS)):
         mine = F.col("kind") == k
         aggs += [F.collect_set(F.when(mine, F.col("at"))).alias(f"places_{k}"), F.array_distinct(F.flatten(F.collect_set(F.when(mine, F.col("slots"))))).alias(f"slots_{k}")]
-    readings = apart.groupBy("doc_id", "item", "shift").agg(F.first("n_windows").alias("n_windows"), *aggs).where(_one_to_one(F.col("slots_0")))
+    readings = apart.groupBy("doc_id", "text_key", "item", "shift").agg(F.first("n_windows").alias("n_windows"), *aggs).where(_one_to_one(F.col("slots_0")))
     places, filling = F.col("places_0"), F.col("slots_0")
     for k in range(1, len(READINGS)):
         fits = _one_to_one(F.array_union("slots_0", f"slots_{k}"))
         places = F.when(fits, F.array_union(places, F.col(f"places_{k}"))).otherwise(places)
         filling = F.when(fits, F.array_union(filling, F.col(f"slots_{k}"))).otherwise(filling)
     united = (
-        readings.select("doc_id", "item", "n_windows", places.alias("places"), F.size(filling).alias("n_slots"))
-        .groupBy("doc_id", "item")
+        readings.select("doc_id", "text_key", "item", "n_windows", places.alias("places"), F.size(filling).alias("n_slots"))
+        .groupBy("doc_id", "text_key", "item")
         .agg(F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max("n_slots").alias("n_slots"))
     )
 
@@ -192,16 +204,17 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_co
         n_found = F.size(F.filter("places", lambda p: p["usable"].bitwiseAND(F.lit(1 << i)) > 0)).cast("long")
         return F.struct(F.when(total > 0, n_found / total).otherwise(F.lit(0.0)).alias("coverage"), n_found.alias("n_found"), total.alias("n_windows"))
 
-    best = united.select("doc_id", F.col("item").alias("item_id"), F.array_max(F.array(*map(share, range(len(READINGS))))).alias("best"), "n_slots")
+    best = united.select("doc_id", "text_key", F.col("item").alias("item_id"), F.array_max(F.array(*map(share, range(len(READINGS))))).alias("best"), "n_slots")
     return best.where((F.col("best.n_found") > 0) & (F.col("best.n_found") >= F.col("best.n_windows") * coverage)).select(
-        "doc_id", "item_id", "best.n_windows", "best.n_found", "best.coverage", "n_slots"
+        "doc_id", "item_id", "best.n_windows", "best.n_found", "best.coverage", "n_slots", "text_key"
     )
 
 
 def stage(spark, docs, sf_dir):
-    """Documents that hold a benchmark item go."""
-    leaked = matches(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go; other texts of the same id, or without one, stay."""
+    leaked = _matches(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_key(F.col("text")) == F.col("__key"))
+    return docs.join(leaked, same, "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir):

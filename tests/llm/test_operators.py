@@ -323,6 +323,21 @@ def test_decontamination_names_that_start_sentences(spark):
     assert got == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
 
 
+def test_decontamination_keeps_texts_of_one_id_apart(spark, tmp_path):
+    item = "a train leaves Paris at 9 and drives far to Lyon while another leaves Lyon at 10 and meets it there"
+    half, rest = item[:44], item[44:]
+    texts = [
+        (None, "So " + item), (None, "So " + item.replace("Lyon", "Milan")), (None, "a clean text without an id that stays"), (None, None),
+        (7, "So " + item), (7, "another text of the same id stays"), (8, "So " + half), (8, " ".join(["So"] + ["word"] * len(half.split())) + rest),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert rows(decontaminate.matches(docs, items), "doc_id", "n_slots") == [(7, 4), (None, 4), (None, 4)]
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = [(i, t) for i, t in texts if i == 8 or not t or "train" not in t]
+    assert rows(decontaminate.stage(spark, docs, str(tmp_path)), "doc_id", "text") == sorted(kept, key=repr)
+
+
 def test_decontamination_by_shuffle_gives_the_same(spark, docs, monkeypatch):
     items = spark.createDataFrame([(1, PASSAGE), (2, LINE)], "item_id long, text string")
     want = rows(decontaminate.matches(docs, items), "doc_id", "item_id", "n_found")

@@ -136,7 +136,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
 
 def stage(spark, docs, sf_dir):
-    """Keep the documents in which a language is found; texts without letters go."""
+    """Keep the documents in which a language is found; texts without letters go.
+
+    Rejection means no letters and nothing else: score and margin reject no text, so
+    symbols and digits with one stray letter stay, as some language.
+    """
     model = collect_model(prototypes(docs.where(~held_out(F.col("doc_id")))))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = predict(docs, model, "doc_id", "text", *others, with_text=True)

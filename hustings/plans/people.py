@@ -75,7 +75,8 @@ def n14_plain_text(spark, sf_dir):
 
 def n29_contacts(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    return docs.select("doc_id", C.extract_socials("text", ("email",))["email"].alias("email")).where("email is not null")
+    found = docs.select("doc_id", C.extract_socials("text").alias("links")).where(F.size("links") > 0)
+    return found.select("doc_id", *(F.col("links")[p].alias(p) for p in C.SOCIAL))
 
 
 def j1_ground_truth(spark, sf_dir):

@@ -159,6 +159,10 @@ def w8_listing(spark, sf_dir):
     return audits.list_sort(people(spark, sf_dir), "cases", limit=25).select("id", "name", "criminal_cases")
 
 
+def w8_whole_listing(spark, sf_dir):
+    return audits.list_sort(people(spark, sf_dir), "cases").select("id", "name", "criminal_cases")
+
+
 def n33_cards(spark, sf_dir):
     return audits.card_facts(people(spark, sf_dir)).select("id", "primary_ministry", "other_ministries", "dob_pending", "has_cases", "clean")
 
@@ -175,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         n_names, n_counts, n20_search_terms, n19_safe_links, n15_canonical_links, n14_plain_text, n29_contacts, j1_ground_truth, j2_link_results, j4_unmatched,
-        j16_missing_files, j17_districts, a13_district_members, f1_search, f2_facets, f3_any_field, f5_shard, w8_listing, n33_cards, a12_parties, a6_integrity,
+        j16_missing_files, j17_districts, a13_district_members, f1_search, f2_facets, f3_any_field, f5_shard, w8_listing, w8_whole_listing, n33_cards, a12_parties, a6_integrity,
     )
 }
 
@@ -207,6 +211,7 @@ UNION ALL SELECT 'candidate', CAST(id AS VARCHAR), 'no contest' FROM people WHER
     "f3_any_field": f"WITH {PEOPLE} SELECT id FROM people WHERE ministry = 'Ministry 2'",
     "f5_shard": f"WITH {PEOPLE} SELECT id FROM people WHERE (id - 1) % 7 = 2",
     "w8_listing": f"WITH {PEOPLE} SELECT id, name, criminal_cases FROM people ORDER BY {LEAD} DESC, id LIMIT 25",
+    "w8_whole_listing": f"WITH {PEOPLE} SELECT id, name, criminal_cases FROM people ORDER BY {LEAD} DESC, id",
     "n33_cards": f"""WITH {PEOPLE} SELECT id, ministry AS primary_ministry, CAST(0 AS INTEGER) AS other_ministries, dob LIKE 'Age:%' AS dob_pending,
   {LEAD} > 0 AS has_cases, {LEAD} = 0 AS clean FROM people""",
     "a12_parties": f"WITH {PEOPLE} SELECT party, count(*) AS seats, min(id) AS first_id, max(id) AS last_id FROM people GROUP BY party",

@@ -28,6 +28,15 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *ext
     )
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """One column ``row`` with all columns inside, so that none clashes with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and leave every other letter as it is."""
     return F.translate(c, UPPER, LOWER)

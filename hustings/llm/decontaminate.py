@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.common import fits_broadcast, narrow, read
+from hustings.llm.common import boxed, fits_broadcast, narrow, read, settled, unboxed
 
 #: Words to a window, and the fewest of them that are words and not slots.
 WINDOW, LITERALS = 5, 3
@@ -27,38 +27,36 @@ UNITS = (
 )
 
 #: A capitalised word; behind a word or comma, so not at the start of a sentence, it is a name.
-_CAPITAL = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})[\p{L}'-]*+"
+_CAPITAL = rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}{UNIT}]\p{{Lu}})[\p{{L}}'-]*+"
 _NAME = rf"{START}(?<=[\p{{L}}\p{{N}},;:] {START})"
-_UNIT = rf"(?<=[0-9] |[0-9])(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{N}}])"
-_GAP = rf"[^\p{{L}}\p{{N}}{NAME}{UNIT}{NUMBER}{START}]++"
-
-
-def _tokens(c: Column) -> Column:
-    return F.array_remove(F.split(c, _GAP), "")
+_UNIT = rf"([0-9] ?)((?iu:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}))(?![\p{{L}}\p{{N}}])"
+_GAP = rf"[^\p{{L}}\p{{N}}{NAME}{UNIT}{START}]++"
+_WORD = rf"[\p{{L}}\p{{N}}{NUMBER}]++"
 
 
 def templates(docs: DataFrame) -> DataFrame:
     """Adds ``raw``, the words of ``text``, and the same words in each of ``READINGS``, with typed
-    slots.  Words are lower-cased; punctuation and spacing don't count.
+    slots.  Words are lower-cased; punctuation and spacing don't count.  All four have one
+    length; a text without words has one empty word.
 
     ``form`` has slots for names, units and numbers.  ``start`` has them also for capitalised
     words at the start of a sentence, line or quotation, which may be names.  ``plain`` doesn't
     look at letter case: it has slots for units and numbers only, so that a text in other case
     reads the same.
     """
-    names = F.regexp_replace(F.regexp_replace("text", _CAPITAL, f"{START}$0"), _NAME, NAME)
-    marked = F.lower(F.regexp_replace(names, _UNIT, f"{UNIT}$0"))
-    low = F.regexp_replace(F.lower(F.upper("text")), _UNIT, f"{UNIT}$0")
-    slots = F.regexp_replace(F.regexp_replace("marked", rf"([{NAME}{UNIT}])[\p{{L}}\p{{N}}]++", "$1"), "[0-9]++", NUMBER)
-    plain = F.regexp_replace(F.regexp_replace(low, rf"({UNIT})[\p{{L}}\p{{N}}]++", "$1"), "[0-9]++", NUMBER)
+    names = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", _UNIT, f"$1{UNIT}$2"), _CAPITAL, f"{START}$0"), _NAME, NAME)
+    without = lambda c, *marks: functools.reduce(lambda x, m: F.replace(x, F.lit(m), F.lit("")), marks, c)
+    words = lambda c: F.split(c, " ")
+    marked, slots, named = F.col("marked"), F.col("slots"), F.col("named")
     return (
-        docs.withColumn("marked", marked)
-        .withColumn("raw", _tokens(F.replace(F.replace("marked", F.lit(NAME), F.lit("")), F.lit(START), F.lit(""))))
-        .withColumn("slots", slots)
-        .withColumn("form", _tokens(F.replace("slots", F.lit(START), F.lit(""))))
-        .withColumn("start", _tokens(F.regexp_replace("slots", rf"{START}[\p{{L}}\p{{N}}{NUMBER}{UNIT}]++", NAME)))
-        .withColumn("plain", _tokens(plain))
-        .drop("marked", "slots", "text")
+        docs.withColumn("marked", F.trim(F.regexp_replace(F.lower(F.upper(names)), _GAP, " ")))
+        .withColumn("slots", F.regexp_replace(F.regexp_replace("marked", "[0-9]++", NUMBER), rf"{UNIT}\p{{L}}++", UNIT))
+        .withColumn("named", F.regexp_replace("slots", f"{NAME}{_WORD}", NAME))
+        .withColumn("raw", words(without(marked, NAME, UNIT, START)))
+        .withColumn("form", words(without(named, START)))
+        .withColumn("start", words(F.regexp_replace(named, rf"{START}(?:{_WORD}|{UNIT})++", NAME)))
+        .withColumn("plain", words(without(slots, NAME, START)))
+        .drop("marked", "slots", "named", "text")
     )
 
 
@@ -66,55 +64,66 @@ def templates(docs: DataFrame) -> DataFrame:
 READINGS = ("form", "start", "plain")
 
 
-def _places(size: Column) -> Column:
-    return F.when(size >= WINDOW, F.sequence(F.lit(0), size - WINDOW)).otherwise(F.array().cast("array<int>"))
+def _at(words: Column | str) -> Column:
+    """The window of ``words`` at ``place``."""
+    return F.slice(words, F.col("place") + 1, WINDOW)
 
 
-def _own_places(reading: str) -> Column:
-    """Places of the windows of a reading that differ from those of ``form``."""
-    n = F.size(reading)
-    if reading == "form":
-        return _places(n)
-    other = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(reading, i) != F.get("form", i))
-    near = F.array_distinct(F.flatten(F.transform(other, lambda i: F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), F.least(i, n - WINDOW)))))
-    return F.when((n >= WINDOW) & (n == F.size("form")), near).otherwise(_places(n))
+def _reading() -> Column:
+    """The words in the reading that ``kind`` names.
 
+    Kept short on purpose: a generated method of over 8000 bytes is never compiled.
+    """
+    return F.when(F.col("kind") == 0, F.col(READINGS[0])).when(F.col("kind") == 1, F.col(READINGS[1])).otherwise(F.col(READINGS[2]))
 
-def _window_hash(reading: str, place: str) -> str:
-    return f"xxhash64({', '.join(f'get({reading}, {place} + {k})' for k in range(WINDOW))})"
 
+def _beside(words: Column) -> Column:
+    """What stands before the window, backwards, and behind it: as many words as share a window with it."""
+    place, n = F.col("place"), WINDOW - 1
+    before = F.reverse(F.slice(words, F.greatest(place - n + 1, F.lit(1)), F.least(place, F.lit(n))))
+    return F.array(before, F.slice(words, place + 1 + WINDOW, n))
 
-def _is_slot(word: Column) -> Column:
-    return word.rlike(f"[{NAME}{UNIT}{NUMBER}]")
 
+def _pairs(item_raw: Column, item_form: Column, raw: Column, form: Column) -> Column:
+    """Words of the item and of the text side by side, as far as their templates agree."""
+    both = F.arrays_zip(item_raw.alias("theirs"), item_form.alias("item_form"), raw.alias("ours"), form.alias("form"))
+    differ = F.array_position(F.transform(both, lambda z: F.coalesce(z["item_form"] == z["form"], F.lit(False))), False)
+    return F.slice(both, 1, F.when(differ == 0, F.size(both)).otherwise(differ - 1).cast("int"))
 
-def _at(words: str, place: str = "place") -> Column:
-    return F.slice(words, F.col(place) + 1, WINDOW)
+
+def windows_of(rows: DataFrame, *others: str) -> DataFrame:
+    """A row for each window and reading: place, kind (of ``READINGS``), hash, the readings and ``others``."""
+    n = F.size("form")
+    codes = F.when(n >= WINDOW, F.sequence(F.lit(0), (n - WINDOW) * len(READINGS) + len(READINGS) - 1)).otherwise(F.array().cast("array<int>"))
+    at = rows.select(*others, "raw", *READINGS, F.explode(codes).alias("code"))
+    at = at.select("*", F.expr(f"code div {len(READINGS)}").cast("int").alias("place"), (F.col("code") % len(READINGS)).alias("kind")).drop("code")
+    return at.withColumn("hash", F.xxhash64(_at(_reading())))
+
+
+def _is_slot(word: Column) -> Column:
+    return word.rlike(f"[{NAME}{UNIT}{NUMBER}]")
 
 
 def _usable(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: ~_is_slot(w))) >= LITERALS
 
 
+def _cut() -> list[Column]:
+    """The window at ``place`` and what stands beside it, as they are and in the reading that ``kind`` names."""
+    return [_at("raw").alias("raw"), _at(_reading()).alias("form"), _beside(F.col("raw")).alias("raw_beside"), _beside(_reading()).alias("form_beside")]
+
+
 def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """hash, item, place, kind, raw, form, usable, n_windows of each window with enough words in it.
+    """hash, item, place, kind, raw, form, raw_beside, form_beside, usable, n_windows of each window with enough words in it.
 
     ``kind`` is the place of its reading in ``READINGS``, ``form`` its words there;
     ``usable`` has a bit for each reading in which this place has enough words, and
     ``n_windows`` the count of such places, by reading.
     """
-    rows = templates(narrow(items, item_col, text_col).withColumnRenamed("doc_id", "item"))
-    for r in READINGS:
-        rows = rows.withColumn(f"{r}_places", _own_places(r))
-    parts = []
-    for kind, r in enumerate(READINGS):
-        at = rows.select("item", "raw", *READINGS, F.explode(f"{r}_places").alias("place"))
-        usable = [_usable(_at(x)) for x in READINGS]
-        bits = sum((F.when(u, F.lit(1 << i)).otherwise(F.lit(0)) for i, u in enumerate(usable)), F.lit(0))
-        parts.append(
-            at.select("item", "place", F.lit(kind).alias("kind"), F.expr(_window_hash(r, "place")).alias("hash"), _at("raw").alias("raw"), _at(r).alias("form"), bits.alias("usable"))
-        )
-    spread = functools.reduce(DataFrame.unionByName, parts)
+    rows = windows_of(templates(narrow(items, item_col, text_col).withColumnRenamed("doc_id", "item")), "item")
+    rows = rows.where((F.col("kind") == 0) | (_at(_reading()) != _at("form")))  # what two readings share counts once
+    bits = sum((F.when(_usable(_at(x)), F.lit(1 << i)).otherwise(F.lit(0)) for i, x in enumerate(READINGS)), F.lit(0))
+    spread = rows.select("item", "place", "kind", "hash", *_cut(), bits.alias("usable"))
     counts = spread.groupBy("item").agg(
         F.array(*(F.countDistinct(F.when(F.col("usable").bitwiseAND(F.lit(1 << i)) > 0, F.col("place"))) for i in range(len(READINGS)))).alias("n_windows")
     )
@@ -137,10 +146,12 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_co
     item) belong together; their slots must map one to one: a name, unit or number
     of the item stands for the same thing throughout, and different ones for
     different things.  Where the slots of ``form`` don't, the distance is left out;
-    where only those of another reading don't, this reading is.  Places that are left
-    are united, and must cover the share ``coverage`` of the item's windows in one of
-    the readings (the figures are those of the reading that is covered best).  Names
-    changed in a text that has lost its letter case can't be seen as names.
+    where those of another reading don't agree, this reading is.  The distance with most
+    places comes first, and one whose slots contradict those before it stays out, so that
+    words put in between can't give a slot two meanings.  Places that are left must cover
+    the share ``coverage`` of the item's windows in one of the readings (the figures are
+    those of the reading that is covered best).  Names changed in a text that has lost its
+    letter case can't be seen as names.
 
     Null, empty and short texts match nothing, nor do items of fewer than
     ``WINDOW`` words.  Rows that repeat a document give one row for each item.
@@ -154,34 +165,27 @@ def _text_key(text: Column) -> Column:
 
 def _matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What ``matches`` returns, and ``text_key``, which tells texts of one id apart."""
-    windows = benchmark_windows(items)
-    rows = templates(narrow(docs, id_col, text_col).withColumn("text_key", _text_key(F.col("text"))))
+    windows = settled(benchmark_windows(items))
     small = fits_broadcast(windows, MOST_WINDOWS)
+    rows = templates(narrow(docs, id_col, text_col).withColumn("text_key", _text_key(F.col("text"))))
+    found = windows_of(rows, "doc_id", "text_key")
+    keys = ["doc_id", "text_key", "place", "kind", "hash"]
+    theirs = windows.select("hash", "item", "usable", "n_windows", *(F.col(c).alias(f"item_{c}") for c in ("kind", "place", "raw", "form", "raw_beside", "form_beside")))
+    # A broadcast table is looked up as windows are read off, and words are cut out of the few that
+    # are found; a shuffle has to carry the words, and not the texts.
     if small:
-        known = sorted({r.hash for r in windows.select("hash").distinct().collect()})
-        inside = ",".join(f"{h}L" if h != -(1 << 63) else "bigint('-9223372036854775808')" for h in known) or "null"
-    for r in READINGS:
-        rows = rows.withColumn(f"{r}_at", _own_places(r))
-        if small:
-            rows = rows.withColumn(f"{r}_at", F.expr(f"filter({r}_at, p -> {_window_hash(r, 'p')} IN ({inside}))"))
-
-    def held(kind: int, r: str) -> Column:
-        return F.transform(f"{r}_at", lambda p: F.struct(
-            F.xxhash64(*(F.get(r, p + k) for k in range(WINDOW))).alias("hash"), F.lit(kind).alias("our_kind"), p.alias("place"),
-            F.slice("raw", p + 1, WINDOW).alias("raw"), F.slice(r, p + 1, WINDOW).alias("form"),
-        ))
-
-    found = rows.select("doc_id", "text_key", F.explode(F.concat(*(held(k, r) for k, r in enumerate(READINGS)))).alias("w")).select("doc_id", "text_key", "w.*")
-    theirs = windows.select(
-        "hash", "item", F.col("kind").alias("item_kind"), F.col("place").alias("item_place"), "usable", F.col("raw").alias("item_raw"), F.col("form").alias("item_form"), "n_windows"
-    )
-    hits = found.join(F.broadcast(theirs) if small else theirs, "hash").where(F.col("form") == F.col("item_form"))
-    # Pairs of what fills a slot in the item and in the document.
-    filled = F.filter(F.arrays_zip(F.col("item_raw").alias("theirs"), F.col("raw").alias("ours"), F.col("form").alias("form")), lambda z: _is_slot(z["form"]))
+        hits = found.join(F.broadcast(theirs), "hash").select(*keys, *theirs.columns[1:], *_cut())
+    else:
+        hits = found.select(*keys, *_cut()).join(theirs, "hash")
+    hits = hits.where(F.col("form") == F.col("item_form"))
+    # Pairs of what fills a slot in the item and in the document, also beside the window: words put
+    # in elsewhere must not hide a slot that is there to see.
+    sides = [_pairs(*(F.col(c)[k] for c in ("item_raw_beside", "item_form_beside", "raw_beside", "form_beside"))) for k in (0, 1)]
+    filled = F.filter(F.concat(_pairs(*map(F.col, ("item_raw", "item_form", "raw", "form"))), *sides), lambda z: _is_slot(z["form"]))
     slots = F.transform(filled, lambda z: F.struct(z["theirs"].alias("theirs"), z["ours"].alias("ours")))
     apart = hits.select(
         "doc_id", "text_key", "item", "n_windows", F.struct("item_place", "usable").alias("at"), (F.col("place") - F.col("item_place")).alias("shift"), slots.alias("slots"),
-        F.greatest("our_kind", "item_kind").alias("kind"),
+        F.greatest("kind", "item_kind").alias("kind"),
     )
     aggs = []
     for k in range(len(READINGS)):
@@ -190,13 +194,24 @@ def _matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_c
     readings = apart.groupBy("doc_id", "text_key", "item", "shift").agg(F.first("n_windows").alias("n_windows"), *aggs).where(_one_to_one(F.col("slots_0")))
     places, filling = F.col("places_0"), F.col("slots_0")
     for k in range(1, len(READINGS)):
-        fits = _one_to_one(F.array_union("slots_0", f"slots_{k}"))
+        fits = _one_to_one(F.array_union(filling, F.col(f"slots_{k}")))
         places = F.when(fits, F.array_union(places, F.col(f"places_{k}"))).otherwise(places)
         filling = F.when(fits, F.array_union(filling, F.col(f"slots_{k}"))).otherwise(filling)
+    # The distance that holds most comes first; those whose slots contradict what is held already stay out.
+    state = lambda p, f: F.struct(p.alias("places"), f.alias("filling"))
+    nothing = state(F.slice(F.col("parts")[0]["places"], 1, 0), F.slice(F.col("parts")[0]["filling"], 1, 0))
+
+    def held(so_far: Column, part: Column) -> Column:
+        both = F.array_union(so_far["filling"], part["filling"])
+        return F.when(_one_to_one(both), state(F.array_union(so_far["places"], part["places"]), both)).otherwise(so_far)
+
+    part = F.struct((-F.size("places")).alias("order"), "shift", "places", "filling")
     united = (
-        readings.select("doc_id", "text_key", "item", "n_windows", places.alias("places"), F.size(filling).alias("n_slots"))
+        readings.select("doc_id", "text_key", "item", "n_windows", "shift", places.alias("places"), filling.alias("filling"))
         .groupBy("doc_id", "text_key", "item")
-        .agg(F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max("n_slots").alias("n_slots"))
+        .agg(F.first("n_windows").alias("n_windows"), F.array_sort(F.collect_list(part)).alias("parts"))
+        .withColumn("held", F.aggregate("parts", nothing, held))
+        .select("doc_id", "text_key", "item", "n_windows", F.col("held.places").alias("places"), F.size("held.filling").alias("n_slots"))
     )
 
     def share(i: int) -> Column:
@@ -211,10 +226,14 @@ def _matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_c
 
 
 def stage(spark, docs, sf_dir):
-    """Documents that hold a benchmark item go; other texts of the same id, or without one, stay."""
-    leaked = _matches(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_key(F.col("text")) == F.col("__key"))
-    return docs.join(leaked, same, "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go; other texts of the same id, or without one, stay.
+
+    Null, empty and short texts stay, as do all where the benchmark is empty; rows that
+    repeat a document go or stay together; other columns can have any name.
+    """
+    leaked = _matches(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (_text_key(F.col("row.text")) == F.col("text_key"))
+    return unboxed(boxed(docs).join(leaked, same, "left_anti"))
 
 
 def query(spark, sf_dir):

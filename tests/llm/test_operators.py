@@ -323,6 +323,46 @@ def test_decontamination_names_that_start_sentences(spark):
     assert got == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
 
 
+def test_decontamination_holds_slots_across_inserted_words(spark):
+    item = "A train leaves Paris at 9 and drives 120 km to Lyon while another leaves Lyon at 10 and meets it on the long way back"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    halves = lambda one, two: item.replace("to Lyon", f"to {one}").replace("while another", "while slowly another").replace("leaves Lyon", f"leaves {two}")
+    docs = spark.createDataFrame([(1, "So " + halves("Milan", "Milan")), (2, "So " + halves("Milan", "Turin"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.matches(docs, items, coverage=0.01).collect()}
+    assert got[1].coverage > 0.7
+    assert got[2].n_found < 0.7 * got[1].n_found  # only the half that holds more
+
+
+def _windows_brute(text, item):
+    """Share of the item's windows that the text holds word for word at one distance, slots aside: for texts without slots."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    a, b = words(text), words(item)
+    places = {p for p in range(len(b) - 4) for q in range(len(a) - 4) if a[q : q + 5] == b[p : p + 5]}
+    return len(places), max(len(b) - 4, 0)
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda n: " ".join(f"w{chr(97 + x // 26)}{chr(97 + x % 26)}" for x in rng.integers(0, 300, n))
+    items = [(k, draw(int(n))) for k, n in enumerate(rng.integers(3, 30, 20))]
+    texts = []
+    for d in range(60):
+        words = items[d % 20][1].split()
+        lo = int(rng.integers(0, max(len(words) // 2, 1)))
+        part = words[lo : lo + int(rng.integers(3, 30))]
+        for _ in range(int(rng.integers(0, 3))):
+            part.insert(int(rng.integers(0, len(part) + 1)), "other")
+        texts.append((d, draw(20) + " " + " ".join(part) + " " + draw(20)))
+    want = set()
+    for d, t in texts:
+        for k, i in items:
+            found, total = _windows_brute(t, i)
+            if found and found >= total / 2:
+                want.add((d, k, total, found))
+    got = decontaminate.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert set(rows(got, "doc_id", "item_id", "n_windows", "n_found")) == want and len(want) > 10
+
+
 def test_decontamination_keeps_texts_of_one_id_apart(spark, tmp_path):
     item = "a train leaves Paris at 9 and drives far to Lyon while another leaves Lyon at 10 and meets it there"
     half, rest = item[:44], item[44:]

@@ -23,6 +23,8 @@ MOST_EDGES = 2_000_000
 ROUNDING = 60.0
 #: Bytes of text that are sampled side by side.
 CHUNK = 1 << 18
+#: Characters (or steps) up to which pre-tokens go side by side; what longer ones have beyond goes one by one.
+ABREAST = 2048
 
 
 class Trie:
@@ -88,7 +90,7 @@ class Lattice:
         self.trie = Trie(pieces)
         self.least = min(w for _, w in pieces.values())
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self._room(MOST_EDGES)
+        self._room(0)
 
     def _room(self, edges: int):
         """Empty tables.  By edge: the state it leads to (-1: the end), piece, log-probability,
@@ -99,18 +101,22 @@ class Lattice:
         self.first = np.zeros(edges + 1, np.int64)
         self.edges = self.states = 0
 
+    def clear(self):
+        self._room(0)
+
     def states_of(self, tokens: list[str]) -> np.ndarray:
         """The first state of each token; new tokens get their lattices now, all at once."""
         fresh = [t for t in dict.fromkeys(tokens) if t not in self.start]
-        need = 20 * sum(map(len, fresh))
-        if self.edges + need > len(self.target):
-            fresh = list(dict.fromkeys(tokens))
-            self._room(max(MOST_EDGES, 20 * sum(map(len, fresh))))
-        if fresh:
-            self._add(fresh)
+        if not len(self.target):
+            self._room(MOST_EDGES)
+        if fresh and not self._add(fresh):
+            every = list(dict.fromkeys(tokens))
+            self._room(max(MOST_EDGES, 20 * sum(map(len, every))))
+            self._add(every)
         return np.array([self.start[t] for t in tokens], np.int64)
 
-    def _add(self, tokens: list[str]):
+    def _add(self, tokens: list[str]) -> bool:
+        """Whether there was room for the lattices of ``tokens``."""
         points = np.frombuffer("".join(tokens).replace(" ", "▁").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.array([len(t) for t in tokens])
         stop = np.cumsum(sizes)
@@ -145,6 +151,8 @@ class Lattice:
         to = np.where(left[source] > length, base + source + length, -1)
         if spelled:
             to[-len(spelled) :] = [x[3] for x in spelled]
+        if self.edges + len(source) + len(spare) > len(self.target):
+            return False
         # By distance from the end for the backward sums.
         order = np.argsort(left[source] << 34 | source, kind="stable")
         sums = np.zeros(len(points) + 1)
@@ -153,7 +161,8 @@ class Lattice:
         inner = far > length[order]
         goes = np.where(inner, src + length[order], len(points))
         cuts = np.flatnonzero(np.diff(far, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(src)], strict=True):
+        long = int(np.searchsorted(far, ABREAST, "right"))
+        for a, b in zip(cuts[cuts < long].tolist(), [*cuts[(0 < cuts) & (cuts < long)].tolist(), long], strict=True):
             value, own = w[a:b] + sums[goes[a:b]], src[a:b]
             head = np.flatnonzero(np.diff(own, prepend=-1))
             count = np.diff(np.append(head, b - a))
@@ -161,6 +170,8 @@ class Lattice:
             total = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), head))
             sums[own[head]] = total
             log[a:b] = np.where(np.repeat(count, count) > 1, np.minimum(value - np.repeat(total, count), 0.0), 0.0)
+        if long < len(src):
+            self._add_up(src[long:], goes[long:], w[long:], sums, log[long:])
         back = np.argsort(src << 6 | (63 - np.minimum(length[order], 63)), kind="stable")  # longest first
         src, log, order = src[back], log[back], order[back]
         share = np.exp(log)
@@ -179,6 +190,21 @@ class Lattice:
         self.states += len(points) + len(spare)
         self.first[self.states] = self.edges
         self.start.update(zip(tokens, (base + stop - sizes).tolist(), strict=True))
+        return True
+
+
+    @staticmethod
+    def _add_up(src, goes, w, sums, log):
+        """The backward sums of edges whose states come one by one, as in few and very long pre-tokens."""
+        done = dict(zip(goes.tolist(), sums[goes].tolist(), strict=True))
+        head = np.flatnonzero(np.diff(src, prepend=-1)).tolist()
+        goes, w, own = goes.tolist(), w.tolist(), src.tolist()
+        for a, b in zip(head, [*head[1:], len(own)], strict=True):
+            value = [w[i] + done[goes[i]] for i in range(a, b)]
+            top = max(value)
+            total = done[own[a]] = top + math.log(sum(math.exp(v - top) for v in value))
+            if b - a > 1:
+                log[a:b] = [min(v - total, 0.0) for v in value]
 
 
 @lru_cache(maxsize=1)
@@ -199,13 +225,22 @@ def lattice(model_file: str) -> Lattice:
     return Lattice(model_file)
 
 
+def lane_keys(seed: np.ndarray, draw: int, at: np.ndarray) -> np.ndarray:
+    """A key for each row seed, draw and place."""
+    return S.mix(seed + S.mix(at.astype(np.uint64) * S.STEP + np.uint64((draw + 1) * int(S.BASE) & (1 << 64) - 1)))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Keys as numbers between 0 and 1."""
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
+
+
 def uniform(seed: np.ndarray, draw: int, at: np.ndarray) -> np.ndarray:
     """A number between 0 and 1 that row seed, draw and place decide."""
-    x = S.mix(seed + S.mix(at.astype(np.uint64) * S.STEP + np.uint64((draw + 1) * int(S.BASE) & (1 << 64) - 1)))
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
+    return unit(lane_keys(seed, draw, at))
 
 
-def _walk(table, seeds, lane_doc, lane_at, state, draw):
+def _walk(table, keys, state):
     """Follow random edges from each lane's state to the end of its pre-token.
 
     Lanes go side by side, an edge each a step.  Gives all edges, lane by lane, and
@@ -214,9 +249,9 @@ def _walk(table, seeds, lane_doc, lane_at, state, draw):
     steps, live = [], np.flatnonzero(state >= 0)
     count = np.zeros(len(state), np.int64)
     now = state[live]
-    seed = seeds[lane_doc]
-    while len(live):
-        u = uniform(seed[live], draw, (lane_at[live] << 20) + len(steps))
+    keys = keys[live]
+    while len(live) and len(steps) < ABREAST:
+        u = unit(S.mix(keys + np.uint64((len(steps) + 1) * int(S.STEP) & (1 << 64) - 1)))
         edge = table.first[now]
         on = np.flatnonzero(table.until[edge] < u)
         while len(on):
@@ -226,14 +261,33 @@ def _walk(table, seeds, lane_doc, lane_at, state, draw):
         count[live] += 1
         now = table.target[edge]
         going = now >= 0
-        live, now = live[going], now[going]
+        live, now, keys = live[going], now[going], keys[going]
+    rest = [_walk_on(table, key, state) for key, state in zip(keys, now.tolist(), strict=True)]
+    count[live] += [len(r) for r in rest] if rest else 0
     offset = np.concatenate([[0], np.cumsum(count)])
     edges = np.zeros(offset[-1], np.int64)
     for r, (who, edge) in enumerate(steps):
         edges[offset[who] + r] = edge
+    for who, found in zip(live.tolist(), rest, strict=True):
+        edges[offset[who] + ABREAST : offset[who + 1]] = found
     return edges, count
 
 
+def _walk_on(table, key, state) -> list[int]:
+    """What is left of a long lane, edge by edge."""
+    out = []
+    while state >= 0:
+        if len(out) % ABREAST == 0:
+            step = np.arange(ABREAST + len(out) + 1, 2 * ABREAST + len(out) + 1).astype(np.uint64)
+            draws = unit(S.mix(key + step * S.STEP)).tolist()
+        u, edge = draws[len(out) % ABREAST], table.first.item(state)
+        while table.until.item(edge) < u:
+            edge += 1
+        out.append(edge)
+        state = table.target.item(edge)
+    return out
+
+
 def gumbel_below(top, location, u):
     """A Gumbel variable at ``location``, given that it is less than ``top``."""
     with np.errstate(over="ignore", divide="ignore"):
@@ -253,78 +307,99 @@ def top_k(texts: list[str], seeds: np.ndarray, table: Lattice, k: int):
     tokens = [pre_tokens(t) for t in texts]
     starts = table.states_of([x for row in tokens for x in row])
     target, piece, log, first = table.target, table.piece, table.log, table.first[: table.states + 1]
-    lanes = np.array([len(row) for row in tokens], np.int64)
-    lane0 = np.concatenate([[0], np.cumsum(lanes)])
+    lane0 = np.concatenate([[0], np.cumsum(np.array([len(row) for row in tokens], np.int64))])
     docs = len(texts)
-    queues: list[list] = [[] for _ in range(docs)]
     out: list[list] = [[] for _ in range(docs)]
     root = -np.log(-np.log(uniform(seeds, 0, np.zeros(docs, np.int64))))
-    for d in range(docs):
-        # (-perturbed, tie, kept edges, their lanes, mass before, lane, state, left out)
-        queues[d].append((-float(root[d]), 0, None, 0, 0.0, 0, -1, ()))
+    # (-perturbed, tie, path and how much of it is kept, mass before, lane, state, edges left out)
+    queues: list[list] = [[(-x, 0, (_NO_PATH, 0), 0.0, 0, -1, ())] for x in root.tolist()]
     ties = 1
     for rank in range(k):
         picked = [(d, heapq.heappop(queues[d])) for d in range(docs) if queues[d]]
         if not picked:
             break
-        lane_doc, lane_at, state, heads = [], [], [], []
-        for d, (_, _, kept, _, mass, lane, at, left_out) in picked:
-            begin = starts[lane0[d] + lane : lane0[d + 1]].copy()
-            head = np.zeros(0, np.int64)
-            if at >= 0:  # the first edge avoids those that are left out
-                choice = _other_edge(table, at, left_out, float(uniform(seeds[d : d + 1], 2 * rank + 1, np.array([(lane << 20) + (1 << 19)]))[0]))
-                head = np.array([choice])
-                begin[0] = target[choice]
-            heads.append((head, kept, mass, at, left_out))
-            lane_doc.append(np.full(len(begin), d))
-            lane_at.append(np.arange(lane, lane + len(begin)))
-            state.append(begin)
-        cut = np.concatenate([[0], np.cumsum([len(s) for s in state])])
-        edges, count = _walk(table, seeds, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lane_doc, lane_at, state)), 2 * rank + 1)
-        edge_cut = np.concatenate([[0], np.cumsum(count)])[cut]
-        for (d, region), (head, kept, mass, at, left_out), a, b, x, y in zip(picked, heads, edge_cut[:-1], edge_cut[1:], cut[:-1], cut[1:], strict=True):
-            fresh = np.concatenate([head, edges[a:b]])
-            own = count[x:y]
-            lane_of = np.repeat(np.arange(region[5], region[5] + len(own)), own)
-            if at >= 0:
-                lane_of = np.concatenate([[region[5]], lane_of])
-            before = mass + np.concatenate([[0.0], np.cumsum(log[fresh])])
-            path = fresh if kept is None else np.concatenate([kept, fresh])
-            out[d].append((piece[path], float(before[-1]), -region[0]))
-            if len(fresh) == 0:
-                continue
-            # What branches off at each edge: all other edges of its state.  Where the prefix's
-            # share is below the rounding of the largest branch, no branch can matter.
-            near = max(int(np.searchsorted(-before, ROUNDING - before[0])), 1)
-            logs = log[fresh[:near]]
-            with np.errstate(divide="ignore"):
-                rest = np.log(np.maximum(-np.expm1(logs), 0.0))
-            if at >= 0:
-                gone = math.fsum(math.exp(log[e]) for e in (*left_out, int(head[0])))
-                open_edges = first[at + 1] - first[at] > len(left_out) + 1
-                rest[0] = math.log(1 - gone) if open_edges and gone < 1 else -math.inf
-            branch = np.flatnonzero(np.isfinite(rest))
-            if not len(branch):
-                continue
-            where = before[branch] + rest[branch]
-            values = gumbel_below(-region[0], where, uniform(seeds[d : d + 1], 2 * rank + 2, branch))
-            best = np.argpartition(-values, k)[:k] if len(values) > k else np.arange(len(values))
-            kept_before = len(path) - len(fresh)
-            for j in best.tolist():
-                s = int(branch[j])
-                edge = int(fresh[s])
-                source = at if s == 0 and at >= 0 else int(np.searchsorted(first, edge, "right")) - 1
-                less = (*left_out, edge) if s == 0 and at >= 0 else (edge,)
-                heapq.heappush(queues[d], (-float(values[j]), ties, path[: kept_before + s], 0, float(before[s]), int(lane_of[s]), source, less))
-                ties += 1
+        doc = np.array([d for d, _ in picked])
+        value, mass = (np.array([sign * x[c] for _, x in picked]) for sign, c in ((-1, 0), (1, 3)))
+        lane, state = (np.array([x[c] for _, x in picked], np.int64) for c in (4, 5))
+        n = lane0[doc + 1] - lane0[doc] - lane
+        cut = np.concatenate([[0], np.cumsum(n)])
+        of = np.repeat(np.arange(len(picked)), n)
+        lane_at = np.arange(cut[-1]) - cut[of] + lane[of]
+        begin = starts[lane0[doc[of]] + lane_at]
+        inner = np.flatnonzero(state >= 0)  # their first edge avoids those that are left out
+        choice = _other_edges(table, state[inner], [picked[r][1][6] for r in inner.tolist()], uniform(seeds[doc[inner]], 2 * rank + 1, (lane[inner] << 20) + (1 << 19)))
+        begin[cut[inner]] = target[choice]
+        edges, count = _walk(table, lane_keys(seeds[doc[of]], 2 * rank + 1, lane_at << 20), begin)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        size = ends[cut[1:]] - ends[cut[:-1]] + (state >= 0)
+        at = np.concatenate([[0], np.cumsum(size)])
+        fresh, lane_of, walked = np.empty(at[-1], np.int64), np.empty(at[-1], np.int64), np.ones(at[-1], bool)
+        walked[at[inner]] = False
+        fresh[at[inner]], lane_of[at[inner]] = choice, lane[inner]
+        fresh[walked], lane_of[walked] = edges, np.repeat(lane_at, count)
+        logs, pieces = log[fresh], piece[fresh]
+        before = np.empty(at[-1])  # by row: sums that don't depend on the texts beside it
+        for (d, region), a, b in zip(picked, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            total = region[3]
+            if b > a:
+                run = np.cumsum(logs[a:b])
+                before[a] = total
+                np.add(run[:-1], total, out=before[a + 1 : b])
+                total += float(run[-1])
+            path, kept = region[2]
+            out[d].append((pieces[a:b] if kept == 0 else np.concatenate([piece[path[:kept]], pieces[a:b]]), total, -region[0]))
+        # What branches off at each edge: all other edges of its state.  Where the prefix's
+        # share is below the rounding of the largest branch, no branch can matter.
+        whose = np.repeat(np.arange(len(picked)), size)
+        place = np.arange(at[-1]) - at[whose]
+        near = np.flatnonzero((before > mass[whose] - ROUNDING) | (place == 0))
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.maximum(-np.expm1(logs[near]), 0.0))
+        heads = np.searchsorted(near, at[inner])
+        for r, h, e in zip(inner.tolist(), heads.tolist(), choice.tolist(), strict=True):
+            left_out = picked[r][1][6]
+            gone = math.fsum(math.exp(log[x]) for x in (*left_out, e))
+            open_edges = first[state[r] + 1] - first[state[r]] > len(left_out) + 1
+            rest[h] = math.log(1 - gone) if open_edges and gone < 1 else -math.inf
+        branch = near[np.isfinite(rest)]
+        region = whose[branch]
+        values = gumbel_below(value[region], before[branch] + rest[np.isfinite(rest)], uniform(seeds[doc[region]], 2 * rank + 2, place[branch]))
+        order = np.lexsort((-values, region))
+        nth = np.arange(len(order)) - np.searchsorted(region[order], region[order])
+        best = order[nth < k - rank]  # those that can be taken, and the next one
+        chosen = branch[best]
+        sources = np.searchsorted(first, fresh[chosen], "right") - 1
+        for r, v, s, edge, m, where, source in zip(*(x.tolist() for x in (region[best], values[best], place[chosen], fresh[chosen], before[chosen], lane_of[chosen], sources)), strict=True):
+            d, (_, _, (path, kept), _, _, from_state, left_out) = picked[r]
+            if s == 0 and from_state >= 0:
+                heapq.heappush(queues[d], (-v, ties, (path, kept), m, where, from_state, (*left_out, edge)))
+            else:
+                own = fresh[at[r] : at[r] + s]
+                heapq.heappush(queues[d], (-v, ties, (own if kept == 0 else np.concatenate([path[:kept], own]), kept + s), m, where, source, (edge,)))
+            ties += 1
     return [(found, -queue[0][0] if queue else -math.inf) for found, queue in zip(out, queues, strict=True)]
 
 
-def _other_edge(table, state, left_out, u):
-    """One of a state's edges but for those left out, by their probabilities."""
-    own = [e for e in range(table.first[state], table.first[state + 1]) if e not in left_out]
-    weights = np.exp(table.log[own])
-    return own[min(int(np.searchsorted(np.cumsum(weights), u * weights.sum())), len(own) - 1)]
+_NO_PATH = np.zeros(0, np.int64)
+
+
+def _other_edges(table, state, left_out, u):
+    """For each state one of its edges but for those left out, by their probabilities."""
+    if not len(state):
+        return np.zeros(0, np.int64)
+    begin, size = table.first[state], table.first[state + 1] - table.first[state]
+    off = np.concatenate([[0], np.cumsum(size)])
+    of = np.repeat(np.arange(len(state)), size)
+    place = np.arange(off[-1]) - off[of]
+    weight = np.exp(table.log[begin[of] + place])
+    gone = [(r, e) for r, edges in enumerate(left_out) for e in edges]
+    r, e = (np.array([x[c] for x in gone], np.int64) for c in (0, 1))
+    weight[off[r] + e - begin[r]] = 0.0
+    run = np.cumsum(weight)
+    run -= (run - weight)[off[:-1]][of]
+    passed = np.add.reduceat((run < (u * run[off[1:] - 1])[of]).astype(np.int64), off[:-1])
+    last = np.maximum.reduceat(np.where(weight > 0, place, 0), off[:-1])
+    return begin + np.minimum(passed, last)
 
 
 def _log_inclusion(above: float) -> float:
@@ -345,8 +420,10 @@ def sample_encodings(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: i
     depend on the row's id and ``seed`` alone, so equal rows have equal samples and a
     task that runs again gives the same ones.
 
-    A null or empty text has one segmentation, of no pieces.  A text with fewer than
-    ``k`` segmentations gives them all.  ``with_text`` adds ``text``, what the ids
+    A null or empty text has one segmentation, of no pieces; an empty table gives no
+    rows; rows that repeat a document each have their rows, all alike.  A text with fewer than
+    ``k`` segmentations gives them all.  A very long text takes time and memory in
+    proportion to its length, also where it is one word.  ``with_text`` adds ``text``, what the ids
     decode to, without a second pass through Python (see ``decode``).
     """
     schema = f"{SCHEMA}, text string" if with_text else SCHEMA
@@ -368,6 +445,7 @@ def sample_encodings(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: i
                 if with_text:
                     arrays.append(pa.array([spell(surfaces(model_file), r[-1]) for r in rows], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
+        table.clear()  # a worker that waits for its next task holds no lattices
 
     rows = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(sample, schema)
@@ -405,7 +483,11 @@ def _model() -> str:
 
 
 def stage(spark, docs, sf_dir):
-    """The last stage: sampled segmentations of each document that is left."""
+    """The last stage: sampled segmentations of each document that is left.
+
+    Null and empty texts have one of no pieces, repeated rows have theirs each, an empty
+    table gives no rows; columns besides id and text don't matter.
+    """
     return digest(docs, _model())
 
 

@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -404,6 +405,24 @@ def test_samples(spark, docs, empty):
     assert sample_encode.sample_encodings(empty, MODEL).count() == 0
 
 
+def test_samples_of_one_very_long_word(monkeypatch):
+    rng = np.random.default_rng(6)
+    word = "".join(rng.choice(list("etaoinshr"), 3000))
+    table = sample_encode.lattice(MODEL)
+    take = lambda text: [(f[0].tolist(), f[1]) for f in sample_encode.top_k([text], np.array([5], np.uint64), table, 2)[0][0]]
+    want = take(word)
+    table.clear()
+    monkeypatch.setattr(sample_encode, "ABREAST", 100)  # most of the word goes one by one
+    got = take(word)
+    assert [x[0] for x in got] == [x[0] for x in want] and all(math.isclose(x[1], y[1], rel_tol=1e-9) for x, y in zip(got, want))
+    table.clear()
+    began = time.process_time()
+    (ids, _), _ = take(word * 100)
+    assert sample_encode.spell(sample_encode.surfaces(MODEL), np.array(ids, "<i4").tobytes()) == word * 100
+    assert time.process_time() - began < 60
+    table.clear()
+
+
 def test_samples_have_the_lattice_probabilities():
     table = sample_encode.lattice(MODEL)
     text = "their a"

@@ -21,6 +21,7 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *ext
 
     A null text counts as the empty text.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -50,12 +51,15 @@ def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
     The folder is ``spark.checkpoint.dir``, which every executor shares.  Only a
-    session without that setting (tests, one machine) gets a folder of its own.
+    session on one machine that lacks the setting gets a folder of its own; on a
+    cluster that is an error, as executors don't see each other's disks.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="hustings-checkpoint-")
@@ -63,6 +67,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows and bytes that go to a Python worker at once: a worker holds texts several times over.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches of bounded bytes, however long the texts are.
+
+    A setting of the session, so it holds for all that it runs from here on.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def released(spark: SparkSession) -> None:
     """Let go of shuffle files that only finished steps needed.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hustings.llm.common import SPACE, ascii_lower, narrow, read, settled, shuffle_parts
+from hustings.llm.common import SPACE, ascii_lower, boxed, narrow, read, settled, shuffle_parts
 
 #: Shares into which the copies of one line are pre-aggregated.
 SALTS = 16
@@ -37,7 +37,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
     with a secondary sort by document, and the first occurrence streams past.
 
     A null text is one empty line.  A null id is smaller than any other id.  Rows
-    that repeat an id count as one document.
+    that repeat an id count as one document.  An empty table has no bitmaps; a very
+    long text has as many rows as lines, whatever its length.
     """
     spark = docs.sparkSession
     # Used twice, and costlier to work out (every byte of text) than to keep (no text).
@@ -73,35 +74,51 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and the ``kept`` text.
 
-    Every row and column of ``docs`` stays; a text without a dropped line comes
-    back unchanged (a null as the empty text).
+    Every row and column of ``docs`` stays, but for columns with one of these three
+    names, which give way; a text without a dropped line comes back unchanged (a
+    null as the empty text).  An empty table stays empty.
     """
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    return _applied(docs, bitmaps, id_col, text_col).select(*(F.col(f"row.`{c}`") for c in own), "n_lines", "n_dropped", "kept")
+
+
+def _applied(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (all columns), ``n_lines``, ``n_dropped`` and ``kept``."""
     marks = bitmaps.select(
-        F.col("doc_id").alias("__id"),
-        F.col("text_hash").alias("__hash"),
-        F.map_from_entries("dropped").alias("__bits"),
-        F.aggregate("dropped", F.lit(0), lambda a, x: a + F.bit_count(x["bits"])).cast("long").alias("__n"),
-    )
-    left = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__text_hash", F.xxhash64("__text"))
-    joined = left.join(
-        marks.hint("shuffle_hash"),
-        left[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")),
-        "left",
+        "doc_id",
+        "text_hash",
+        F.map_from_entries("dropped").alias("bits"),
+        F.aggregate("dropped", F.lit(0), lambda a, x: a + F.bit_count(x["bits"])).cast("long").alias("n"),
     )
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    left = boxed(docs).withColumn("text", text).withColumn("own_hash", F.xxhash64("text"))
+    joined = left.join(marks.hint("shuffle_hash"), F.col(f"row.`{id_col}`").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+
     def kept_line(_, i: Column) -> Column:
-        word = F.coalesce(F.try_element_at("__bits", F.shiftright(i, 6)), F.lit(0).cast("long"))
+        word = F.coalesce(F.try_element_at("bits", F.shiftright(i, 6)), F.lit(0).cast("long"))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(F.lit(63)))
         return word.bitwiseAND(bit) == 0
 
-    kept = F.array_join(F.filter(F.split("__text", "\n", -1), kept_line), "\n")
+    lines = F.split("text", "\n", -1)
     return joined.select(
-        *(left[c] for c in docs.columns),
-        F.size(F.split("__text", "\n", -1)).cast("long").alias("n_lines"),
-        F.coalesce("__n", F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("__n").isNull(), F.col("__text")).otherwise(kept).alias("kept"),
+        "row",
+        F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("n").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, kept_line), "\n")).alias("kept"),
     )
 
 
+def stage(spark, docs, sf_dir):
+    """Lines that another document holds already go from the text; documents stay.
+
+    Null texts become empty, ``n_chars`` follows the text; rows that repeat an id are
+    one document, an empty table stays empty, columns can have any name.
+    """
+    rows = _applied(docs, keep_bitmaps(docs), "doc_id", "text")
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
 def query(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = apply_bitmaps(docs, keep_bitmaps(docs))

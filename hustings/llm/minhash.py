@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm import shingles as S
-from hustings.llm.common import narrow, read, settled
+from hustings.llm.common import boxed, narrow, read, settled, unboxed
 
 #: 32 bands of 4: a pair of similarity 0.8 misses all bands once in 20 million times.
 BANDS, ROWS = 32, 4
@@ -141,15 +141,16 @@ def _union_find(batches):
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id of the connected component of each id in ``edges`` (a, b).
 
     Union-find inside tasks shrinks the edges to forests; large-star and small-star
-    rounds over all edges then join what tasks could not see, until nothing changes.
+    rounds over all edges then join what tasks could not see, until nothing changes,
+    which takes as many rounds as the square of the logarithm of the longest chain.
     """
     stars = settled(edges.select("a", "b").where("a <> b").mapInArrow(_union_find, "a long, b long").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -161,7 +162,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             return stars.select(F.col("a").alias("id"), F.col("b").alias("label")).union(stars.select(F.col("b").alias("id"), F.col("b").alias("label"))).distinct()
         before = after
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,10 +277,15 @@ def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def stage(spark, docs, sf_dir):
-    """One document of each group stays, the one with the least id."""
-    groups = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(groups, F.col("doc_id") == F.col("__id"), "left_semi")
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    """One document of each group stays, the one with the least id.
+
+    Null and empty texts stay, as do rows without an id; of rows that repeat an id
+    that stays all stay; an empty table stays empty; columns can have any name.
+    """
+    groups = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    rows = boxed(docs)
+    kept = rows.join(groups, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left_semi")
+    return unboxed(kept.union(rows.where(F.col("row.doc_id").isNull())))
 
 
 def query(spark, sf_dir):

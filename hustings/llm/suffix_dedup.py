@@ -89,11 +89,13 @@ def _weighed(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
     the number of different contexts of the seed.  Everything is counted by partial
     aggregates and joined back, so that no key gathers its rows.
     """
-    again = contexts.groupBy("seed").agg(F.sum("copies").alias("all")).where("`all` > 1").select("seed")
+    # What is joined by a seed is written first: so no aggregation holds a seed's rows together, and a
+    # hot seed's side can be split.
+    again = settled(contexts.groupBy("seed").agg(F.sum("copies").alias("all")).where("`all` > 1").select("seed"))
     shared = settled(contexts.join(again, "seed", "left_semi"))
     mark = F.xxhash64("doc_id", "text_hash", "lo")
     kinds = settled(shared.groupBy("seed", "context").agg(F.sum("copies").alias("copies"), F.min(mark).alias("mark")))
-    mixed = kinds.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1")
+    mixed = settled(kinds.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1"))
     rows = shared.drop("copies").join(kinds, ["seed", "context"])
     repeated = rows.where("copies > 1")
     open_rows = rows.where((F.col("copies") == 1) | (F.col("mark") == mark)).drop("mark").join(mixed.drop("least"), "seed")
@@ -246,7 +248,9 @@ def repeated_spans(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
 
     A byte is in a span if a string of ``window`` bytes around it also starts
     anywhere else, in the same text (overlaps count) or in another row's.  Spans may
-    overlap or repeat.  Texts without repeats have no row.
+    overlap or repeat.  Texts without repeats have no row, nor have null and empty
+    ones; rows that repeat an id are apart by their text's hash; an empty table gives
+    no rows.  A very long text is read whole, in one batch.
 
     Windows are grouped by a seed that their bytes decide.  Most repeats show as
     contexts (runs of windows with one seed) that are equal as a whole; the rest, at
@@ -272,7 +276,11 @@ def repeated_spans(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every row.
+
+    A null text is empty; rows that repeat an id and text have one result each; an
+    empty table gives no rows.
+    """
     texts = narrow(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     marks = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans")
     joined = texts.join(marks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.common import read, shuffle_parts
+from hustings.llm.common import bounded_batches, read, shuffle_parts
 
 #: A pre-token is a run of blanks with the run of other characters behind it, or a
 #: run of line feeds.  (U+2581 is how the vocabulary writes a blank.)
@@ -96,6 +96,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     product of counts.  Repeated rows count one by one; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     often = [r.token for r in frequent_tokens(docs, text_col).select("token").collect()]
     head = spark.sparkContext.broadcast(dict(zip(often, count_pieces(processor(model_file), often), strict=True)))
 

@@ -38,3 +38,39 @@ def test_stages(spark, table):
 
 def test_run_is_the_stages_one_after_another(spark, table):
     assert {r.doc_id for r in P.run(spark, table).collect()} == {1, 6, 7, 8}
+
+
+CLASH = "doc_id long, text string, lang string, `row` int, n_lines int, n_dropped string, kept string, lang_pred string, score double, n_grams string, text_key int, hash int, item int, place int, band int, id int, label int, `set` int, n_chars long, `__id` int, ids int, rank int"
+
+
+def test_stages_on_awkward_tables(spark, table):
+    """Empty tables, columns that are called like an operator's own, nulls, repeats, and a text of some MB."""
+    blank = [0] * 3 + ["x"] * 3 + [0.5, "y"] + [1] * 8
+    long = " ".join(f"long{i % 50_000}" for i in range(400_000))
+    line = "\nthis line stands in several of them"
+    texts = [(1, "some words that are here to be read" + line), (2, None), (3, ""), (None, "words without an id" + line), (4, long), (4, long), (5, long + " end"), (6, "only a few more words" + line), (6, "only a few more words" + line)]
+    row = lambda i, t: (i, t, "en", 7, 7, "x", "k", "l", 0.5, "g", *[1] * 8, len(t or ""), 1, 1, 1)
+    docs = spark.createDataFrame([row(i, t) for i, t in texts], CLASH)
+    want = {
+        "language_id": [1, 4, 4, 5, 6, 6, None], "line_dedup": [1, 2, 3, 4, 4, 5, 6, 6, None], "near_dedup": [1, 2, 3, 4, 4, 6, 6, None], "decontamination": [1, 2, 3, 4, 4, 5, 6, 6, None],
+    }
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, table)
+        if name in want:
+            assert got.columns == docs.columns
+            found = got.collect()
+            assert sorted((r.doc_id for r in found), key=lambda x: (x is None, x or 0)) == want[name]
+            assert all(r.row == 7 and r.kept == "k" and r.lang_pred == "l" for r in found)
+            if name == "line_dedup":
+                assert [r.text for r in found if r.doc_id in (1, 6)] == ["some words that are here to be read"] + ["only a few more words"] * 2 and [r.text for r in found if r.doc_id == 2] == [""]
+        elif name == P.STAGES[-1][0]:
+            assert {r.doc_id for r in got.select("doc_id").collect()} == {1, 2, 3, 4, 5, 6, None}
+        assert stage(spark, docs.where("false"), table).count() == 0
+
+
+def test_language_stage_rejects_what_is_in_no_language(spark, table):
+    rng = __import__("numpy").random.default_rng(8)
+    words = "the of and that with this from they would there their about which when people water other".split()
+    texts = [(i, " ".join(rng.choice(words, 80))) for i in range(40)] + [(90, "zqxj " * 100), (91, "zqxj vw"), (92, "12 34 !!")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in P.identify_language(spark, docs, table).collect()} == {*range(40), 91}

@@ -6,23 +6,18 @@ and returns the columns of ``documents`` (the last one its samples).
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from hustings.llm import decontaminate, language_id, line_dedup, minhash, sample_encode
 from hustings.llm.common import settled
 
 
 def identify_language(spark, docs, sf_dir):
-    """Texts in which no language is found go; the language itself changes nothing."""
+    """Texts in which no language is found go."""
     return language_id.stage(spark, docs, sf_dir)
 
 
 def drop_repeated_lines(spark, docs, sf_dir):
     """Lines that another document holds already go from the text; documents stay."""
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    return kept.select(*(
-        F.col("kept").alias(c) if c == "text" else F.char_length("kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns
-    ))
+    return line_dedup.stage(spark, docs, sf_dir)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):

@@ -10,6 +10,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, then) -> Column:
+    """``then(c)`` with ``c`` worked out once, however often ``then`` looks at it."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one blank, none outside."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 #: Reactions in the order in which ties are shown (fixed values).
 REACTIONS = ("useful", "concerned", "needs_investigation")
-#: Fields that a report may dispute, and lengths it may have (fixed values).
-FIELDS = ("name", "party", "education", "profession", "criminal_cases", "ministries", "social", "other")
-REASON_MAX, TEXT_MAX = 1000, 2000
+#: Fields that a report may dispute, and the most characters of its texts (fixed values).
+FIELDS = ("education", "profession", "criminal_cases", "social_media", "ministries", "age", "other")
+MOST = {"reason": 1000, "suggestion": 500, "current_value": 500, "candidate_name": 200, "candidate_id": 64}
+#: What a user can react to (fixed values), and what an item may be called.
+KINDS = ("candidates", "news")
+ITEM_ID = "^[A-Za-z0-9_-]{1,64}$"
 
 
 def _runs(events: DataFrame, kinds) -> DataFrame:
@@ -100,7 +103,9 @@ def throttle(events: DataFrame, seconds: float = 10) -> DataFrame:
     Each answer depends on the one before, so a user's events go through one at a
     time.  Events are first cut where the gap alone decides: behind a pause of more
     than ``seconds`` an event is accepted whatever came before, so the stretches
-    between such pauses are independent, and no user's whole history meets in a task.
+    between such pauses are independent and go through Python one by one.  Finding
+    the pauses sorts each user's times (id and time only) in one task, which spills
+    but doesn't gather them.
     """
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     order = Window.partitionBy("uid").orderBy("ts", "event_id")
@@ -129,30 +134,51 @@ def bookmark_state(events: DataFrame) -> DataFrame:
 
 
 def report_state(events: DataFrame) -> DataFrame:
-    """Last legal status of each report: owners may withdraw an open one, admins may set any.
+    """Status of each report after all legal events, and when it got it.
 
-    events (report_id, owner, uid, is_admin, status, ts).
+    events (report_id, owner, uid, is_admin, status, ts, event_id).  Owners create a
+    report as open and may withdraw it, whatever its status; they can't set anything
+    else, so it doesn't open again.  Admins may set any status.  Equal times go by
+    event id.
     """
-    legal = events.where(F.col("is_admin") | ((F.col("uid") == F.col("owner")) & F.col("status").isin("open", "withdrawn")))
-    return legal.groupBy("report_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+    own = F.col("uid") == F.col("owner")
+    change = F.coalesce(F.col("is_admin"), F.lit(False)) | (own & (F.col("status") == "withdrawn"))
+    legal = events.select("report_id", F.struct("ts", "event_id", "status").alias("e"), change.alias("change"), (own & (F.col("status") == "open")).alias("create")).where("change or create")
+    last = legal.groupBy("report_id").agg(F.max(F.when(F.col("change"), F.col("e"))).alias("changed"), F.min(F.when(F.col("create"), F.col("e"))).alias("created"))
+    state = F.coalesce("changed", "created")
+    return last.select("report_id", state["status"].alias("status"), state["ts"].alias("ts"))
 
 
 def valid_reports(df: DataFrame) -> DataFrame:
-    """``problem`` of a new report, null if it is fine."""
-    length = lambda c: F.length(F.coalesce(c, F.lit("")))
+    """``problem`` of a new report, null if it is fine; a missing text is a problem."""
+    fits = lambda c, least=0: F.coalesce(F.length(c).between(least, MOST[c]), F.lit(False))
     problem = (
-        F.when(F.col("uid").isNull() | F.col("candidate_id").isNull(), "no owner or candidate")
-        .when(~F.coalesce(F.col("field").isin(*FIELDS), F.lit(False)), "unknown field")
-        .when(~length("reason").between(1, REASON_MAX), "reason length")
-        .when((length("current_value") > TEXT_MAX) | (length("suggestion") > TEXT_MAX), "text length")
+        F.when(F.col("uid").isNull(), "no owner")
         .when(~F.coalesce(F.col("status") == "open", F.lit(False)), "not open")
+        .when(~F.coalesce(F.col("field").isin(*FIELDS), F.lit(False)), "unknown field")
     )
+    for c in MOST:
+        problem = problem.when(~fits(c, int(c == "reason")), f"{c} length")
     return df.withColumn("problem", problem)
 
 
+def valid_user_reactions(df: DataFrame, kinds=REACTIONS) -> DataFrame:
+    """A user's own record of a reaction: ``valid`` if it is theirs, of a known kind and item, holds
+    no more than a reaction of the list and its time, and the time is that of the request.
+
+    df (uid, auth_uid, kind, item_id, record, at), the record a map of texts.
+    """
+    ok = (
+        (F.col("uid") == F.col("auth_uid")) & F.col("kind").isin(*KINDS) & F.col("item_id").rlike(ITEM_ID)
+        & (F.size(F.array_except(F.map_keys("record"), F.array(F.lit("reaction"), F.lit("timestamp")))) == 0)
+        & F.try_element_at("record", F.lit("reaction")).isin(*kinds) & (F.try_element_at("record", F.lit("timestamp")) == F.col("at"))
+    )
+    return df.withColumn("valid", F.coalesce(ok, F.lit(False)))
+
+
 def valid_reactions(df: DataFrame, kinds=REACTIONS) -> DataFrame:
     """``valid``: an id of allowed characters and counters that are whole and not negative."""
-    ok = F.coalesce(F.col("item_id").rlike("^[A-Za-z0-9_-]{1,64}$"), F.lit(False))
+    ok = F.coalesce(F.col("item_id").rlike(ITEM_ID), F.lit(False))
     for r in kinds:
         ok = ok & F.coalesce(F.col(r) >= 0, F.lit(False))
     return df.withColumn("valid", ok)

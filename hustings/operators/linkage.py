@@ -23,15 +23,49 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def first_by(df: DataFrame, keys, *order) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
+def first_by(df: DataFrame, keys, *order, only: Column | None = None) -> DataFrame:
+    """The first row of each key in the given order, of those for which ``only`` holds."""
+    first = df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1")
+    return (first if only is None else first.where(F.when(F.col("__nth") == 1, only))).drop("__nth")
 
 
-@pandas_udf(T.DoubleType())
-def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks (not symmetric: a is the local name)."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def _grams(c: Column) -> Column:
+    """The empty text and every stretch of one to three characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+
+    def long(n: int) -> Column:
+        return F.transform(at, lambda i: F.substring(c, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), long(1), long(2), long(3)))
+
+
+def containment_pairs(left: DataFrame, l: str, right: DataFrame, r: str) -> DataFrame:  # noqa: E741
+    """Pairs of rows of which one text holds the other, each pair once (an empty one is held by all).
+
+    What is held begins with three characters (or is shorter) that stand somewhere in
+    what holds it: the sides are joined on those, never as a product of all rows.
+    """
+    key = lambda c: F.substring(c, 1, 3)
+    a = left.withColumn("__g", F.explode(_grams(F.col(l)))).join(right.withColumn("__g", key(r)), "__g").where(F.contains(F.col(l), F.col(r)))
+    b = right.withColumn("__g", F.explode(_grams(F.col(r)))).join(left.withColumn("__g", key(l)), "__g").where(F.contains(F.col(r), F.col(l)) & ~F.contains(F.col(l), F.col(r)))
+    columns = [*left.columns, *right.columns]
+    return a.select(*columns).union(b.select(*columns))
+
+
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    to: dict[str, SequenceMatcher] = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if y not in to:  # what it works out of the second text serves for many first ones
+            to[y] = SequenceMatcher(None, "", y)
+        to[y].set_seq1(x)
+        out.append(to[y].ratio())
+    return pd.Series(out, dtype="float64")
+
+
+#: Ratio of matching blocks (not symmetric: the first is the local name).  Marked as not
+#: deterministic so that a filter on the score doesn't work it out a second time.
+name_ratio = pandas_udf(_ratios, T.DoubleType()).asNondeterministic()
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
@@ -50,8 +84,7 @@ def match_ground_truth(cands: DataFrame, truth: DataFrame, above: float = 0.70)
     left = cands.select("id", N.normalize_name("name").alias("l_name"), N.normalize_constituency("constituency").alias("l_seat"))
     right = truth.select("pos", F.col("name").alias("truth_name"), N.normalize_name("name").alias("r_name"), N.normalize_constituency("constituency").alias("r_seat"), "cases")
     seats = left.select("l_seat").where("l_seat <> ''").distinct()
-    # Seats are few whatever the number of rows: every pair of distinct ones is looked at once.
-    pairs = seats.join(small(right.select("r_seat").distinct(), 50_000), F.contains("l_seat", F.col("r_seat")) | F.contains("r_seat", F.col("l_seat")))
+    pairs = containment_pairs(seats, "l_seat", right.select("r_seat").distinct(), "r_seat")
     blocked = left.join(pairs, "l_seat").join(right, "r_seat").where(ratio_bound(F.col("l_name"), F.col("r_name")) > above)
     scored = blocked.withColumn("score", name_ratio("l_name", "r_name")).where(F.col("score") > above)
     best = first_by(scored, ["id"], F.desc("score"), F.asc("pos")).select("id", "pos", "truth_name", "cases", F.round("score", 3).alias("score"))
@@ -180,15 +213,14 @@ def resolve_value(df: DataFrame, sources: list[tuple[str, str]], missing: str =
 def link_files(files: DataFrame, cands: DataFrame) -> DataFrame:
     """File (file) to candidate (id, pos, name): same key, else the first of which one key holds the other.
 
-    The exact join takes nearly all; only what it leaves meets the candidates' keys by
-    containment, which has no equality to join by.
+    The exact join takes nearly all; only what it leaves is looked up by containment.
     """
     left = files.select("file", F.lower(F.regexp_replace("file", r"\.pdf$", "")).alias("f"))
     right = cands.select("id", "pos", N.clean_key("name").alias("k")).where("k <> ''")
     keyed = first_by(right, ["k"], F.desc("pos"))
     exact = left.join(keyed.select("id", "k"), F.col("f") == F.col("k")).select("file", "id", F.lit("exact").alias("how"))
     rest = left.join(exact, "file", "left_anti")
-    loose = rest.join(small(right), F.contains("f", F.col("k")) | F.contains("k", F.col("f")))
+    loose = containment_pairs(rest, "f", right, "k")
     return exact.union(first_by(loose, ["file"], F.asc("pos")).select("file", "id", F.lit("contained").alias("how")))
 
 
@@ -274,7 +306,7 @@ def closest_option(keys: DataFrame, options: DataFrame) -> DataFrame:
     """Of the options that hold a key or are held by it, the nearest in length."""
     clean = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"\(.*?\)", ""), "[^a-zA-Z0-9]", ""))
     left, right = keys.select("key", clean(F.col("key")).alias("k")), options.select("pos", "option", clean(F.col("option")).alias("o"))
-    pairs = left.join(small(right, 50_000), F.contains("o", F.col("k")) | F.contains("k", F.col("o")))
+    pairs = containment_pairs(left, "k", right, "o")
     return pairs.groupBy("key").agg(F.min_by("option", F.struct(F.abs(F.length("o") - F.length("k")), F.col("pos"))).alias("option"))
 
 
@@ -303,13 +335,18 @@ def lookup_seat(labels: DataFrame, cands: DataFrame) -> DataFrame:
 
 
 def report_context(reports: DataFrame, cands: DataFrame) -> DataFrame:
-    """The value that a report disputes, as text.  cands has name, party, education,
-    profession, criminal_cases, ministries (array of names) and social (map)."""
-    text = F.map_from_arrays(
-        F.array(*map(F.lit, ("name", "party", "education", "profession", "criminal_cases", "ministries", "social"))),
-        F.array("name", "party", "education", "profession", "criminal_cases", F.array_join("ministries", ", "), F.array_join(F.transform(F.map_entries("social"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")),
-    )
-    values = cands.select(F.col("id").alias("candidate_id"), text.alias("__v"))
-    return reports.join(values, "candidate_id", "left").withColumn("disputed", F.try_element_at("__v", F.col("field"))).drop("__v")
-
+    """The value that a report disputes, as text; empty for other fields and unknown candidates.
 
+    cands has education, profession, criminal_cases, age, dob, ministries (array of
+    structs with name) and social_media (map).
+    """
+    full = lambda v: F.coalesce(v != "", F.lit(False))
+    shown = {
+        "education": F.col("education"), "profession": F.col("profession"), "criminal_cases": F.col("criminal_cases").cast("string"),
+        "age": F.coalesce(F.nullif(F.col("age").cast("string"), F.lit("")), F.col("dob")),
+        "ministries": F.array_join(F.transform("ministries", lambda m: m["name"]), ", "),
+        "social_media": F.array_join(F.filter(F.map_values("social_media"), full), " / "),
+    }
+    values = cands.select(F.col("id").alias("candidate_id"), F.create_map(*(x for k, v in shown.items() for x in (F.lit(k), v))).alias("__v"))
+    joined = reports.join(values, "candidate_id", "left")
+    return joined.withColumn("disputed", F.coalesce(F.try_element_at("__v", F.col("field")), F.lit(""))).drop("__v")

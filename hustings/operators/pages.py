@@ -37,29 +37,61 @@ ANNEXURE = r"(?i)annexure\s*[-:]?\s*[a-z]\s*[-:]?\s*legal\s+cases|legal\s+cases\
 SEPARATE = r"(?i)as\s+per\s+separate"
 
 
+#: What a page must hold, in lower case, for a pattern to have a chance: one of each group.  Plain
+#: searches are far quicker than patterns, and most pages hold none of these.
+NEEDS = {
+    "s5_strict": [("pending",), ("5",)], "s5_loose": [("pending",)], "s6_strict": [("conviction",), ("6",)], "s6_loose": [("convict",)],
+    "s7_strict": [("(",), ("7",)], "s7_loose": [("movable", "details", "7")], "pending_trigger": [("pending",)], "conviction_trigger": [("convicted",)],
+    "no_pending": [("pending",)], "no_conviction": [("convicted",)], "stated_pending": [("pending",)], "stated_convictions": [("convict",)],
+    "qualified": [("/", "of"), ("cr", "f.i", "fi", "case")], "bare": [("/",)], "case_header": [("case",)], "top_row": [("1",)], "row_letter": [("(",)],
+    "penal": [("u/s", "sec", "pc", "p.c")], "annexure": [("annexure",)], "separate": [("separate",)], "applicable": [("appli",)],
+}
+
+
+def _lowered(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("__low", F.lower("text"))
+
+
+def _may(name: str) -> Column:
+    """Whether the pattern of that name has a chance on a page."""
+    out = None
+    for group in NEEDS[name]:
+        any_ = F.contains("__low", F.lit(group[0]))
+        for word in group[1:]:
+            any_ = any_ | F.contains("__low", F.lit(word))
+        out = any_ if out is None else out & any_
+    return out
+
+
 def page_flags(pages: DataFrame) -> DataFrame:
     """Which anchors a page holds, and the totals it states."""
-    hit = {name: F.col("text").rlike(pattern) for name, pattern in ANCHORS.items()}
-    stated = {name: F.regexp_extract("text", pattern, 1).try_cast("int") for name, pattern in TOTALS.items()}
-    return pages.withColumns({**hit, **stated})
+    text = F.col("text")
+    hit = {name: _may(name) & text.rlike(pattern) for name, pattern in ANCHORS.items()}
+    stated = {name: F.when(_may(name), F.regexp_extract(text, pattern, 1)).try_cast("int") for name, pattern in TOTALS.items()}
+    return _lowered(pages).withColumns({**hit, **stated}).drop("__low")
 
 
 def page_table(pages: DataFrame) -> DataFrame:
     """What a page shows of case tables: references, headers, numbered top row, style."""
     text = F.col("text")
-    every = lambda pattern, group=0: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    squeezed = F.transform(F.concat(every(QUALIFIED), every(BARE)), lambda x: F.regexp_replace(x, r"\s+", ""))
-    headers = F.filter(F.transform(every(CASE_HEADER, 1), lambda x: x.cast("int")), lambda x: x.between(1, 200))
-    top = F.nullif(F.regexp_extract(text, TOP_ROW, 1), F.lit(""))
-    found = pages.withColumns({
+    none = F.array().cast("array<string>")
+
+    def every(name: str, pattern: str, group=0) -> Column:
+        return F.when(text.isNull() | _may(name), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none)
+
+    squeezed = F.transform(F.concat(every("qualified", QUALIFIED), every("bare", BARE)), lambda x: F.regexp_replace(x, r"\s+", ""))
+    headers = F.filter(F.transform(every("case_header", CASE_HEADER, 1), lambda x: x.cast("int")), lambda x: x.between(1, 200))
+    top = F.when(_may("top_row"), F.nullif(F.regexp_extract(text, TOP_ROW, 1), F.lit("")))
+    found = _lowered(pages).withColumns({
         "firs": F.array_distinct(squeezed),
         "headers": F.array_sort(F.array_distinct(headers)),
         "top_max": F.size(F.split(top, r"\W+")),
-        "letters": F.array_distinct(F.transform(every(ROW_LETTER, 1), F.lower)),
-        "penal": text.rlike(PENAL),
-        "annexure": text.rlike(ANNEXURE),
-        "redirect": (F.size(every(SEPARATE)) >= 3) & text.rlike("(?i)annexure"),
-    })
+        "letters": F.array_distinct(F.transform(every("row_letter", ROW_LETTER, 1), F.lower)),
+        "penal": _may("penal") & text.rlike(PENAL),
+        "annexure": _may("annexure") & text.rlike(ANNEXURE),
+        "redirect": (F.size(every("separate", SEPARATE)) >= 3) & _may("annexure"),
+        "inapplicable": _may("applicable") & F.col("__low").rlike("not appliciable|not applicable"),
+    }).drop("__low")
     # The size of a null is not a number of its own in every mode.
     found = found.withColumn("top_max", F.when(F.col("top_max") >= 2, F.col("top_max")))
     any_fir, any_head = F.size("firs") > 0, F.size("headers") > 0
@@ -70,8 +102,8 @@ def page_table(pages: DataFrame) -> DataFrame:
         "has_table": table,
         "continuation": table & ~any_fir & ~F.array_contains("letters", "a") & later,
         "style": F.when(any_head, "style_3").when(F.col("top_max").isNotNull(), "style_2").when(table, "style_1"),
-        "signal": table | F.lower(text).rlike("not appliciable|not applicable") | (F.size("letters") >= 2),
-    })
+        "signal": table | F.col("inapplicable") | (F.size("letters") >= 2),
+    }).drop("inapplicable")
 
 
 #: What the index needs of a page: never its text.

@@ -109,14 +109,6 @@ def w13_latest(spark, sf_dir):
     return E.latest_by_user(e, 3).select("uid", "id", "rank")
 
 
-def r7_reports(spark, sf_dir):
-    e = _events(spark, sf_dir).select(
-        F.col("user_id").alias("report_id"), (F.col("user_id") % 4).alias("owner"), (F.col("event_id") % 4).alias("uid"), (F.col("event_type") == "error").alias("is_admin"),
-        F.when(F.col("event_type") == "view", "withdrawn").when(F.col("event_type") == "error", "closed").otherwise("open").alias("status"), "ts",
-    )
-    return E.report_state(e)
-
-
 def m6_erased(spark, sf_dir):
     e = _events(spark, sf_dir).select(F.col("user_id").alias("uid"), "event_id")
     return E.erase_users({"events": e}, e.where("uid % 10 = 3"))["events"]
@@ -126,7 +118,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         w2_dedupe_cap, f4_recent, m1_merge, m2_party_feed, m3_merged_feed, w4_append, w10_page, r1_reaction_state, r2_deltas, a14_tallies, a15_leading, w6_top_reacted, r4_audit,
-        r5_throttle, r6_bookmarks, w13_latest, r7_reports, m6_erased,
+        r5_throttle, r6_bookmarks, w13_latest, m6_erased,
     )
 }
 
@@ -163,8 +155,5 @@ SELECT *, click + view + purchase AS total, CASE WHEN click + view + purchase =
 SELECT item_id, ts, abs(a - coalesce(lag(a) OVER w, 0)) <= 1 AND abs(b - coalesce(lag(b) OVER w, 0)) <= 1 AND abs(c - coalesce(lag(c) OVER w, 0)) <= 1 AS ok FROM h WINDOW w AS (PARTITION BY item_id ORDER BY ts)""",
     "r6_bookmarks": "SELECT user_id AS uid, event_id % 4 AS candidate_id, max(ts) AS created_at FROM events GROUP BY 1, 2 HAVING count(*) % 2 = 1",
     "w13_latest": "SELECT uid, id, rank FROM (SELECT user_id AS uid, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= 3",
-    "r7_reports": """WITH e AS (SELECT user_id AS report_id, user_id % 4 AS owner, event_id % 4 AS uid, event_type = 'error' AS adm,
-  CASE event_type WHEN 'view' THEN 'withdrawn' WHEN 'error' THEN 'closed' ELSE 'open' END AS status, ts FROM events)
-SELECT report_id, max_by(status, ts) AS status, max(ts) AS ts FROM e WHERE adm OR (uid = owner AND status IN ('open', 'withdrawn')) GROUP BY 1""",
     "m6_erased": "SELECT user_id AS uid, event_id FROM events WHERE user_id % 10 <> 3",
 }

@@ -67,13 +67,6 @@ def j22_ranked(spark, sf_dir):
     return engagement.rank_join(ranked, people(spark, sf_dir)).select("item_id", "votes", "name")
 
 
-def j23_disputed(spark, sf_dir):
-    p = people(spark, sf_dir).select("id", "name", "party", F.lit("edu").alias("education"), F.lit("prof").alias("profession"), "criminal_cases", F.transform("ministries", lambda m: m["name"]).alias("ministries"), F.create_map(F.lit("x"), F.lit("link")).alias("social"))
-    fields = F.array(*map(F.lit, ("name", "party", "criminal_cases", "ministries", "social")))
-    reports = p.select(F.col("id").alias("candidate_id"), F.get(fields, (F.col("id") % 5).cast("int")).alias("field"))
-    return linkage.report_context(reports, p).select("candidate_id", "field", "disputed")
-
-
 def a9_coverage(spark, sf_dir):
     p = people(spark, sf_dir)
     return audits.coverage(p, {"with_role": F.col("role").isNotNull(), "with_seat": F.col("constituency") != ""})
@@ -100,16 +93,6 @@ def n31_case_display(spark, sf_dir):
     return cases.case_display(rows).select("candidate_id", "pos", "fir", "sections", "description", "status")
 
 
-def f9_report_checks(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    reports = e.select(
-        "event_id", F.when(F.col("event_id") % 9 != 0, F.col("user_id").cast("string")).alias("uid"), F.col("user_id").alias("candidate_id"),
-        F.when(F.col("event_type") == "view", "nothing").otherwise("party").alias("field"), F.lit("a").alias("current_value"), F.lit("b").alias("suggestion"),
-        F.repeat(F.lit("x"), (F.col("event_id") % 1003).cast("int")).alias("reason"), F.when(F.col("event_id") % 4 == 0, "closed").otherwise("open").alias("status"),
-    )
-    return engagement.valid_reports(reports).select("event_id", "problem")
-
-
 def f10_reaction_checks(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = e.select("event_id", F.concat(F.lit("nr"), F.when(F.col("event_id") % 5 == 0, "/").otherwise("_"), F.col("user_id").cast("string")).alias("item_id"), (F.col("event_id") % 4 - 1).alias("useful"), F.lit(0).alias("concerned"), F.lit(1).alias("needs_investigation"))
@@ -137,7 +120,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         j9_overrides, j10_fallbacks, a10_value_audit, j11_linked_files, j15_closest_nation, j18_seat_lookup, j19_bookmark_feed, j20_shown_counts, j21_relevance,
-        j22_ranked, j23_disputed, a9_coverage, a17_progression, f6_todo, f8_valid_cases, n31_case_display, f9_report_checks, f10_reaction_checks, f11_consent, f12_quarantine, s12_lines,
+        j22_ranked, a9_coverage, a17_progression, f6_todo, f8_valid_cases, n31_case_display, f10_reaction_checks, f11_consent, f12_quarantine, s12_lines,
     )
 }
 
@@ -161,16 +144,12 @@ SELECT concat(k, CASE WHEN id % 50 = 0 THEN '_copy' ELSE '' END, '.pdf') AS file
     "j15_closest_nation": "SELECT lower(n_name) AS key, concat(n_name, ' (state)') AS option FROM nation",
     "s12_lines": f"WITH {PEOPLE} SELECT id, concat('- [', id, '] **', name, '** (', party, ') — ', constituency, ', ', format('{{:,}}', id * 1000), ' votes') AS line FROM people",
     "j22_ranked": f"WITH {PEOPLE}, r AS (SELECT user_id, count(*) AS votes FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS item_id, votes, name FROM r JOIN people ON id = user_id",
-    "j23_disputed": f"""WITH {PEOPLE} SELECT id AS candidate_id, ['name', 'party', 'criminal_cases', 'ministries', 'social'][id % 5 + 1] AS field,
-  CASE id % 5 WHEN 0 THEN name WHEN 1 THEN party WHEN 2 THEN criminal_cases WHEN 3 THEN ministry ELSE 'x: link' END AS disputed FROM people""",
     "a17_progression": f"""WITH {VOTES}, r AS (SELECT contest % 4 AS round, count(*) FILTER (WHERE votes > 25) AS exact FROM votes_ GROUP BY 1)
 SELECT round, exact, exact - lag(exact) OVER (ORDER BY round) AS change FROM r""",
     "f6_todo": f"WITH {PEOPLE} SELECT id AS doc, id % 4 AS stamp FROM people WHERE id % 2 = 1 OR id % 3 = 0 OR id % 8 = 0",
     "f8_valid_cases": f"WITH {CASES} SELECT candidate_id, pos FROM cases WHERE pos <> 5",
     "n31_case_display": f"""WITH {CASES} SELECT candidate_id, pos, CASE WHEN pos <> 5 THEN fir_no WHEN bucket = 'pending' THEN '7/2020' ELSE 'N/A' END AS fir,
   coalesce(nullif(sections, ''), 'N/A') AS sections, CASE WHEN pos = 5 THEN '-' ELSE 'charge' END AS description, CASE WHEN bucket = 'pending' THEN 'Pending' ELSE 'Convicted' END AS status FROM cases""",
-    "f9_report_checks": """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'no owner or candidate' WHEN event_type = 'view' THEN 'unknown field' WHEN event_id % 1003 NOT BETWEEN 1 AND 1000 THEN 'reason length'
-  WHEN event_id % 4 = 0 THEN 'not open' END AS problem FROM events""",
     "f10_reaction_checks": "SELECT event_id, event_id % 5 <> 0 AND event_id % 4 >= 1 AS valid FROM events",
     "f11_consent": f"WITH {PEOPLE} SELECT id AS uid FROM people WHERE id % 4 = 0 OR id % 3 < 2",
     "f12_quarantine": f"""WITH {VOTES}, n AS (SELECT contest, count(*) AS r, count(*) FILTER (WHERE name <> 'NOTA') AS c FROM votes_ GROUP BY 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ from hustings.llm.token_counts import pre_tokens, processor
 #: Samples for each text.
 SAMPLES = 2
 #: Edges of the lattices that a worker keeps for pre-tokens it may see again.
-MOST_EDGES = 2_000_000
+MOST_EDGES = 4_000_000
 #: Log-shares further apart than this can't be told from nothing in doubles.
 ROUNDING = 60.0
 #: Bytes of text that are sampled side by side.
@@ -106,14 +107,16 @@ class Lattice:
 
     def states_of(self, tokens: list[str]) -> np.ndarray:
         """The first state of each token; new tokens get their lattices now, all at once."""
-        fresh = [t for t in dict.fromkeys(tokens) if t not in self.start]
         if not len(self.target):
             self._room(MOST_EDGES)
-        if fresh and not self._add(fresh):
-            every = list(dict.fromkeys(tokens))
-            self._room(max(MOST_EDGES, 20 * sum(map(len, every))))
-            self._add(every)
-        return np.array([self.start[t] for t in tokens], np.int64)
+        found = list(map(self.start.get, tokens))
+        if None in found:
+            if not self._add(list(dict.fromkeys(t for t, state in zip(tokens, found, strict=True) if state is None))):
+                every = list(dict.fromkeys(tokens))
+                self._room(max(MOST_EDGES, 20 * sum(map(len, every))))
+                self._add(every)
+            found = list(map(self.start.get, tokens))
+        return np.array(found, np.int64)
 
     def _add(self, tokens: list[str]) -> bool:
         """Whether there was room for the lattices of ``tokens``."""
@@ -121,15 +124,19 @@ class Lattice:
         sizes = np.array([len(t) for t in tokens])
         stop = np.cumsum(sizes)
         left = np.repeat(stop, sizes) - np.arange(len(points))  # characters to the token's end
-        source, length, piece, weight = [], [], [], []
+        source, length, piece, weight, rank = [], [], [], [], []
+        held = np.zeros(len(points), np.int64)  # edges of each state so far
         live, node, step = np.arange(len(points)), np.zeros(len(points), np.int64), 0
         while len(live):
             node = self.trie.step(node, points[live + step])
             step += 1
             live, node = live[node >= 0], node[node >= 0]
-            hit = self.trie.piece[node] >= 0
-            source.append(live[hit])
-            length.append(np.full(int(hit.sum()), step))
+            hit = np.flatnonzero(self.trie.piece[node] >= 0)
+            found = live[hit]
+            source.append(found)
+            rank.append(held[found])
+            held[found] += 1
+            length.append(np.full(len(hit), step))
             piece.append(self.trie.piece[node[hit]])
             weight.append(self.trie.weight[node[hit]])
             more = left[live] > step
@@ -144,44 +151,52 @@ class Lattice:
             after = base + i + 1 if left[i] > 1 else -1
             spare += zip([*chain[1:], after], (self.bytes[b] for b in data[1:]), strict=True) if chain else []
             spelled.append((i, self.bytes[data[0]], self.least * len(data), chain[0] if chain else after))
-        source = np.concatenate([*source, np.array([x[0] for x in spelled], np.int64)])
+        own = np.array([x[0] for x in spelled], np.int64)
+        source = np.concatenate([*source, own])
+        rank = np.concatenate([*rank, held[own]])
+        held[own] += 1
         length = np.concatenate([*length, np.ones(len(spelled), np.int64)])
         piece = np.concatenate([*piece, np.array([x[1] for x in spelled], np.int64)])
         weight = np.concatenate([*weight, np.array([x[2] for x in spelled])])
-        to = np.where(left[source] > length, base + source + length, -1)
+        inner = left[source] > length
+        to = np.where(inner, base + source + length, -1)
         if spelled:
             to[-len(spelled) :] = [x[3] for x in spelled]
-        if self.edges + len(source) + len(spare) > len(self.target):
+        e, n = self.edges, len(source)
+        if e + n + len(spare) > len(self.target):
             return False
+        # State by state, the longest edge first.
+        head = np.cumsum(held) - held
+        spot = head[source] + held[source] - 1 - rank
+        self.target[e + spot], self.piece[e + spot] = to, piece
+        goes, w = np.empty(n, np.int64), np.empty(n)
+        goes[spot], w[spot] = np.where(inner, source + length, len(points)), weight
         # By distance from the end for the backward sums.
-        order = np.argsort(left[source] << 34 | source, kind="stable")
+        src = np.repeat(np.arange(len(points)), held)
+        far = left[src]
+        order = np.argsort(far.astype(np.uint16) if left.max() < 1 << 16 else far, kind="stable")
         sums = np.zeros(len(points) + 1)
-        log = np.zeros(len(source))
-        src, far, w = source[order], left[source[order]], weight[order]
-        inner = far > length[order]
-        goes = np.where(inner, src + length[order], len(points))
+        by_far = np.zeros(n)
+        src, far, w, goes = src[order], far[order], w[order], goes[order]
         cuts = np.flatnonzero(np.diff(far, prepend=-1))
         long = int(np.searchsorted(far, ABREAST, "right"))
         for a, b in zip(cuts[cuts < long].tolist(), [*cuts[(0 < cuts) & (cuts < long)].tolist(), long], strict=True):
             value, own = w[a:b] + sums[goes[a:b]], src[a:b]
-            head = np.flatnonzero(np.diff(own, prepend=-1))
-            count = np.diff(np.append(head, b - a))
-            top = np.maximum.reduceat(value, head)
-            total = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), head))
-            sums[own[head]] = total
-            log[a:b] = np.where(np.repeat(count, count) > 1, np.minimum(value - np.repeat(total, count), 0.0), 0.0)
-        if long < len(src):
-            self._add_up(src[long:], goes[long:], w[long:], sums, log[long:])
-        back = np.argsort(src << 6 | (63 - np.minimum(length[order], 63)), kind="stable")  # longest first
-        src, log, order = src[back], log[back], order[back]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            count = np.diff(np.append(first, b - a))
+            top = np.maximum.reduceat(value, first)
+            total = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), first))
+            sums[own[first]] = total
+            by_far[a:b] = np.where(np.repeat(count, count) > 1, np.minimum(value - np.repeat(total, count), 0.0), 0.0)
+        if long < n:
+            self._add_up(src[long:], goes[long:], w[long:], sums, by_far[long:])
+        log = self.log[e : e + n]
+        log[order] = by_far
         share = np.exp(log)
-        head = np.flatnonzero(np.diff(src, prepend=-1))
-        count = np.diff(np.append(head, len(src)))
         run = np.cumsum(share)
-        until = run - np.repeat(run[head] - share[head], count)
-        until[head + count - 1] = 2.0
-        e, n = self.edges, len(src)
-        self.target[e : e + n], self.piece[e : e + n], self.log[e : e + n], self.until[e : e + n] = to[order], piece[order], log, until
+        until = run - np.repeat(run[head] - share[head], held)
+        until[head + held - 1] = 2.0
+        self.until[e : e + n] = until
         self.first[base : base + len(points)] = e + head
         for k, (state, byte) in enumerate(spare):
             self.target[e + n + k], self.piece[e + n + k], self.log[e + n + k], self.until[e + n + k] = state, byte, 0.0, 2.0
@@ -305,7 +320,7 @@ def top_k(texts: list[str], seeds: np.ndarray, table: Lattice, k: int):
     the regions that branch off that way, each perturbed below what it came from.
     """
     tokens = [pre_tokens(t) for t in texts]
-    starts = table.states_of([x for row in tokens for x in row])
+    starts = table.states_of(list(itertools.chain.from_iterable(tokens)))
     target, piece, log, first = table.target, table.piece, table.log, table.first[: table.states + 1]
     lane0 = np.concatenate([[0], np.cumsum(np.array([len(row) for row in tokens], np.int64))])
     docs = len(texts)
@@ -435,16 +450,20 @@ def sample_encodings(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: i
             texts = batch.column(1).to_pylist()
             keys = S.mix(np.array([-1 if i is None else i for i in ids], np.int64).view(np.uint64) + S.mix(np.array([seed + 1], np.uint64))[0])
             for part in S.chunks(texts, CHUNK):
-                rows: list[tuple] = []
+                docs, ranks, logs, values, scores, parts = [], [], [], [], [], []
                 for doc, (found, after) in zip(ids[part], top_k(texts[part], keys[part], table, k), strict=True):
                     for rank, (pieces, log, value) in enumerate(found):
-                        share = _log_inclusion(log - after)
-                        rows.append((doc, rank, len(pieces), log, value, share, math.exp(share), pieces.astype("<i4").tobytes()))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 4, pa.binary()]
-                arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)]
+                        for column, x in zip((docs, ranks, logs, values, scores, parts), (doc, rank, log, value, _log_inclusion(log - after), pieces), strict=True):
+                            column.append(x)
+                sizes = np.array([len(x) for x in parts], np.int64)
+                flat = np.concatenate([_NO_PATH, *parts]).astype("<i4")
+                columns = [
+                    pa.array(docs, pa.int64()), pa.array(ranks, pa.int32()), pa.array(sizes), pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(scores, pa.float64()),
+                    pa.array([math.exp(x) for x in scores], pa.float64()), _split(pa.binary(), flat.tobytes(), 4 * sizes),
+                ]
                 if with_text:
-                    arrays.append(pa.array([spell(surfaces(model_file), r[-1]) for r in rows], pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
+                    columns.append(_split(pa.string(), *spell_all(surface_table(model_file), flat, sizes)))
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
         table.clear()  # a worker that waits for its next task holds no lattices
 
     rows = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -456,6 +475,33 @@ def spell(surface: list[bytes], ids: bytes) -> str:
     return b"".join(map(surface.__getitem__, np.frombuffer(ids, "<i4").tolist()))[1:].decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def surface_table(model_file: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All surfaces in a row, where each begins, and its size."""
+    surface = surfaces(model_file)
+    size = np.array([len(x) for x in surface], np.int64)
+    return np.frombuffer(b"".join(surface), np.uint8), np.cumsum(size) - size, size
+
+
+def spell_all(table, flat: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """``spell`` for many rows of ids at once: their texts in a row, and the bytes of each."""
+    data, begin, size = table
+    begin, size = begin[flat], size[flat]
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    begin[first] += 1  # without the blank in front
+    size[first] -= 1
+    stop = np.cumsum(size)
+    at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - stop + size, size)
+    total = np.concatenate([[0], stop])
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    return data[at].tobytes(), total[cut[1:]] - total[cut[:-1]]
+
+
+def _split(kind: pa.DataType, data: bytes, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """``encoded`` with ``text``, what its ids spell (a null or empty array: the empty text)."""
     names = encoded.columns

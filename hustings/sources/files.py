@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,17 @@ NEWS = "struct<title:string,url:string,source:string,published_at:string,snippet
 FAILURES = "id int, name string, reason string, timestamp string"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.gettempdir()
+    return f"{folder}/hustings-{uuid.uuid4().hex}"
+
+
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """The master array of objects."""
     return spark.read.schema(CANDIDATES).json(path, multiLine=True)

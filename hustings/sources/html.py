@@ -69,6 +69,8 @@ def _rows(html: str | None):
     parser.close()
     for t, table in enumerate(parser.tables):
         caption = None if table["caption"] is None else " ".join(table["caption"])
+        if caption and not table["rows"]:
+            yield t, caption, -1, []  # a caption alone says something too
         for r, row in enumerate(table["rows"]):
             yield t, caption, r, [" ".join(" ".join(c).split()) for c in row]
 

@@ -86,4 +86,4 @@ def failure_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def news_stream(items: DataFrame, now_col: str = "published_at", days: int = 90) -> DataFrame:
     """Articles of a stream (candidate_id, key, published_at), once each within the horizon."""
-    return items.withWatermark(now_col, f"{days} days").dropDuplicatesWithinWatermark(["candidate_id", "key"])
+    return items.withColumn(now_col, F.col(now_col).cast("timestamp")).withWatermark(now_col, f"{days} days").dropDuplicatesWithinWatermark(["candidate_id", "key"])

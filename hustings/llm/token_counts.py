@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.common import bounded_batches, read, shuffle_parts
+from hustings.llm.common import bounded_batches, read, settled, shuffle_parts
 
 #: A pre-token is a run of blanks with the run of other characters behind it, or a
 #: run of line feeds.  (U+2581 is how the vocabulary writes a blank.)
 PRE_TOKEN = re.compile("[ ▁]*[^ ▁\n]+|[ ▁]+|\n+")
-#: Most pre-tokens whose counts every task gets; longer ones than HEAD_CHARS never.
-HEAD_ROWS, HEAD_CHARS = 50_000, 40
+#: A pre-token is frequent if it is one of so many: there can't be more frequent ones than this number.
+#: Longer ones than HEAD_CHARS never are, which bounds what every task gets.
+HEAD_SHARE, HEAD_CHARS = 500_000, 256
 #: Different pre-tokens that a task holds before it hands their counts on.
 FLUSH = 800_000
 #: Occurrences in a task from which a pre-token may be one of the most frequent ones.
@@ -59,11 +60,11 @@ def count_pieces(sp, tokens: list[str]) -> list[int]:
 
 
 def _often(batches):
-    """Pre-tokens that are frequent in a task, with their counts there."""
+    """Pre-tokens that are frequent in a task, with their counts there, and the count of all (null)."""
     counts: Counter[str] = Counter()
 
     def out():
-        found = [(t, n) for t, n in counts.items() if n >= OFTEN and len(t) <= HEAD_CHARS]
+        found = [(t, n) for t, n in counts.items() if n >= OFTEN and len(t) <= HEAD_CHARS] + [(None, counts.total())]
         return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["token", "n"])
 
     for batch in batches:
@@ -76,19 +77,22 @@ def _often(batches):
 
 
 def frequent_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """token, n: pre-tokens that are frequent in all texts, ``HEAD_ROWS`` at most.
+    """token, n: pre-tokens that are at least one of ``HEAD_SHARE`` of all.
 
-    Which ones these are decides how much is joined, never what comes out.
+    There can't be more than ``HEAD_SHARE`` of them, and as a share of the text they
+    are as many in a large corpus as in a small one.  Which ones these are decides how
+    much is joined, never what comes out.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counted = texts.mapInArrow(_often, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "token").limit(HEAD_ROWS)
+    counted = settled(texts.mapInArrow(_often, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    total = counted.where("token is null").first()  # one number
+    return counted.where(F.col("token").isNotNull() & (F.col("n") * HEAD_SHARE >= F.lit(total.n if total else 0)))
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every text (null: empty, no tokens).
 
-    Each different pre-token is encoded once.  Frequent ones (``HEAD_ROWS`` at most)
+    Each different pre-token is encoded once.  Frequent ones (``HEAD_SHARE`` at most)
     are encoded first and go to every task, which adds their share up on the spot.
     Of all others a task hands on the documents they are in, a row for each pre-token
     of a block of documents.  Dealt and sorted by pre-token, all that belongs to one

@@ -9,24 +9,31 @@ from hustings.llm.common import narrow, settled, shuffle_parts
 
 #: Bytes that a document takes besides its text.
 OVERHEAD = 16
+#: Equal texts stay in one shard up to this share of its bytes (one 100th).
+TOGETHER = 100
 
 
-def byte_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Deal documents, in the order of their id, into shards of near-equal bytes.
+def byte_shards(docs: DataFrame, n_shards: int = 40, together: int = TOGETHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Deal documents, equal texts side by side, into shards of near-equal bytes.
 
-    Rows are range-partitioned by id; only the totals of the partitions (one row
-    each) are summed globally, and every partition adds its own running sum.  A
-    row goes to the shard in which its middle byte falls, so each shard misses its
-    target by at most one document.  ``slot`` counts from 0 within a shard.
+    Rows are range-partitioned by a hash of their text and by id; only the totals of
+    the partitions (one row each) are summed globally, and every partition adds its
+    own running sum.  A row goes to the shard in which its middle byte falls.  Equal
+    texts go to one shard, that of the middle byte of all of them, where they take no
+    more than one ``together``-th of a shard; larger groups are cut like any rows, as
+    else the bytes couldn't be equal.  So a shard misses its target by at most that
+    share and one document at either end.  ``slot`` counts from 0 within a shard.
 
-    Null texts count as no bytes; a null id sorts first; rows that are equal in
-    id, size and checksum take neighbouring slots in any order; an empty table
-    gives no rows.
+    Null texts count as no bytes; rows that are equal in id and text take
+    neighbouring slots in any order; very long texts count whole and are only hashed;
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
-    order = ["doc_id", "size", "text_crc32"]
+    group = ["text_hash", "size", "text_crc32"]
+    order = [*group, "doc_id"]
     rows = narrow(docs, id_col, text_col).select(
         "doc_id",
+        F.xxhash64("text").alias("text_hash"),
         (F.octet_length("text") + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
     )
@@ -44,19 +51,24 @@ def byte_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", tex
         F.sum("part_bytes").over(Window.partitionBy()).alias("all_bytes"),
     )
     inside = Window.partitionBy("part").orderBy(*order)
-    placed = ranged.join(F.broadcast(offsets), "part").select(
-        *order,
-        (F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"),
-        (F.col("rows_before") + F.row_number().over(inside) - 1).alias("row"),
-        "all_bytes",
-    )
-    # floor((start + size / 2) * n / all), in whole numbers that can't overflow a decimal
-    middle = (F.col("start").cast("decimal(28,0)") * 2 + F.col("size")) * F.lit(n_shards)
     placed = settled(
-        placed.withColumn("shard", F.least(F.floor(middle / (F.col("all_bytes").cast("decimal(28,0)") * 2)).cast("int"), F.lit(n_shards - 1))).drop("start", "all_bytes")
+        ranged.join(F.broadcast(offsets), "part").select(
+            *order,
+            (F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"),
+            (F.col("rows_before") + F.row_number().over(inside) - 1).alias("row"),
+            "all_bytes",
+        )
     )
+    # Groups that stay together.  A hot group is none of them, and its rows can be split in the join.
+    copies = placed.groupBy(*group).agg(F.count("*").alias("copies"), F.sum("size").alias("group_bytes"), F.min("start").alias("group_start"), F.min("all_bytes").alias("whole"))
+    fits = F.col("group_bytes").cast("decimal(28,0)") * n_shards * together <= F.col("whole")
+    held = settled(copies.where((F.col("copies") > 1) & fits).select(*group, "group_bytes", "group_start"))
+    middle = F.coalesce("group_start", "start").cast("decimal(28,0)") * 2 + F.coalesce("group_bytes", "size")
+    # floor(middle * n / all), in whole numbers that can't overflow a decimal
+    shard = F.least(F.floor(middle * F.lit(n_shards) / (F.col("all_bytes").cast("decimal(28,0)") * 2)).cast("int"), F.lit(n_shards - 1))
+    placed = settled(placed.join(held, group, "left").select("doc_id", "size", "text_crc32", "row", shard.alias("shard")))
     first = placed.groupBy("shard").agg(F.min("row").alias("first_row"))
-    return placed.join(F.broadcast(first), "shard").select(*order, "shard", (F.col("row") - F.col("first_row")).alias("slot"))
+    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first_row")).alias("slot"))
 
 
 def query(spark, sf_dir):

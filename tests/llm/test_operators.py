@@ -57,11 +57,39 @@ def test_shards(docs, empty):
     for s, part in by.items():
         assert sorted(r.slot for r in part) == list(range(len(part)))
         assert abs(sum(r["size"] for r in part) - target) <= 2 * max(want)
-    order = [r.doc_id or -1 for r in sorted(got, key=lambda r: (r.shard, r.slot))]
-    assert order == sorted(order)
+    order = [(r.text_crc32, r["size"]) for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert sum(a != b for a, b in zip(order, order[1:])) == len(set(order)) - 1  # equal texts stand together
     assert sharding.byte_shards(empty, 4).count() == 0
 
 
+def test_shards_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    pool = ["".join(rng.choice(list("abcdefgh "), int(n))) for n in rng.integers(0, 200, 150)]
+    texts = [(i, pool[int(k)]) for i, k in enumerate(rng.integers(0, 150, 600))] + [(1000 + i, "copy of one") for i in range(300)]
+    got = sharding.byte_shards(spark.createDataFrame(texts, "doc_id long, text string"), 5, together=20).collect()
+    size = lambda t: len(t.encode()) + 16
+    assert {(r.doc_id, r["size"], r.text_crc32) for r in got} == {(i, size(t), zlib.crc32(t.encode())) for i, t in texts}
+    place = {r.doc_id: (r.shard, r.slot) for r in got}
+    assert sorted(place.values()) == [(s, k) for s in range(5) for k in range(sum(r.shard == s for r in got))]
+    # The same cuts from one list in the order that came out.
+    text, all_bytes = dict(texts), sum(size(t) for _, t in texts)
+    groups, start = [], 0
+    for i in sorted(place, key=place.get):
+        if groups and text[groups[-1][0]] == text[i]:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    for g in groups:
+        whole = sum(size(text[i]) for i in g)
+        keep = whole <= all_bytes / 5 / 20
+        for i in g:
+            middle = 2 * start + (whole if keep else size(text[i]))
+            assert place[i][0] == middle * 5 // (2 * all_bytes)
+            start += 0 if keep else size(text[i])
+        start += whole if keep else 0
+    assert len(groups) == len({t for _, t in texts})
+
+
 def _line_brute(texts):
     strip = " \t\n\v\f\r"
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -119,8 +147,8 @@ def test_tokens(docs, empty, monkeypatch):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     want = sorted(((i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for i, t in TEXTS), key=repr)
-    for head in (50_000, 20):  # also with most pre-tokens going through the join
-        monkeypatch.setattr(token_counts, "HEAD_ROWS", head)
+    for share in (500_000, 20):  # also with most pre-tokens going through the join
+        monkeypatch.setattr(token_counts, "HEAD_SHARE", share)
         assert rows(token_counts.token_counts(docs, MODEL), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
     assert token_counts.token_counts(empty, MODEL).count() == 0
 

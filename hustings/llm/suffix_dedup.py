@@ -24,6 +24,20 @@ STRING = 60_000
 PLACE = "doc_id long, text_hash long, lo int, hi int, seed long, context long"
 
 
+def _least_places(h: np.ndarray, w: int) -> np.ndarray:
+    """For each ``w`` hashes in a row the place of the least, the first of equals (by all but 9 bits)."""
+    n, at = len(h) - w + 1, np.arange(len(h))
+    # The end of one block of w and the front of the next.
+    key = (h & np.uint64(~511 & (1 << 64) - 1)) | (at % w).astype(np.uint64)
+    padded = np.concatenate([key, np.full((-len(h)) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
+    front = np.minimum.accumulate(padded, axis=1).ravel()[w - 1 : w - 1 + n]
+    back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+    p = np.arange(n)
+    first = (back >> np.uint64(9)) <= (front >> np.uint64(9))
+    low = np.uint64(511)
+    return np.where(first, p // w * w + (back & low).astype(np.int64), (p + w - 1) // w * w + (front & low).astype(np.int64))
+
+
 def windows_by_seed(data: np.ndarray, window: int, seed: int):
     """Runs of windows that share their seed: (seed hash, place of the seed, lo, hi, prefix).
 
@@ -34,19 +48,9 @@ def windows_by_seed(data: np.ndarray, window: int, seed: int):
     c = S.prefix_hashes(data)
     at = np.arange(len(data) - seed + 1)
     h = S.span_hashes(c, at, at + seed)
-    w = window - seed + 1
-    n = len(h) - w + 1
-    # Least of each w in a row: the end of one block of w and the front of the next.
-    key = (h & np.uint64(~511 & (1 << 64) - 1)) | (at % w).astype(np.uint64)
-    padded = np.concatenate([key, np.full((-len(h)) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-    front = np.minimum.accumulate(padded, axis=1).ravel()[w - 1 : w - 1 + n]
-    back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
-    p = np.arange(n)
-    first = (back >> np.uint64(9)) <= (front >> np.uint64(9))
-    low = np.uint64(511)
-    place = np.where(first, p // w * w + (back & low).astype(np.int64), (p + w - 1) // w * w + (front & low).astype(np.int64))
+    place = _least_places(h, window - seed + 1)
     lo = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    hi = np.append(lo[1:], n) - 1
+    hi = np.append(lo[1:], len(place)) - 1
     return h[place[lo]], place[lo], lo, hi, c
 
 
@@ -276,7 +280,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every row.
+    """doc_id, text_hash, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every row.
 
     A null text is empty; rows that repeat an id and text have one result each; an
     empty table gives no rows.
@@ -288,7 +292,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     def cut(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data, runs = text.encode(), []
                 for a, b in sorted((s["start"], s["stop"]) for s in found or ()):
                     if runs and a <= runs[-1][1]:
@@ -300,11 +304,59 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
                 for column, x in zip(out, (len(data), len(data) - len(kept), len(runs), kept), strict=True):
                     column.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return joined.select("doc_id", "text_hash", "text", "spans").mapInArrow(cut, "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+#: Words to a passage, and to the stretches that are sampled of it.
+PASSAGE, STRETCH = 50, 25
+
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_passages: sampled stretches of a text that other documents hold too.
+
+    Passages of more than fifty words may be shorter than the window in which bytes
+    are removed; this tells which documents hold some.  Of each ``PASSAGE`` words in a
+    row the stretch of ``STRETCH`` words with the least hash is sampled, so whatever
+    passage of that length two documents share, they share a sample of it.  Words are
+    lower-cased and split at white space.  Texts without shared samples have no row,
+    nor have null, empty and shorter ones; rows that repeat a text under one id are
+    one document; an empty table gives no rows.
+    """
+    texts = narrow(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+    def sample(batches):
+        for batch in batches:
+            texts = [t.encode() for t in batch.column(2).to_pylist()]
+            at, found = [], []
+            for part in S.chunks(texts):
+                words, text = S.words(texts[part])
+                left = np.searchsorted(text, text, "right") - np.arange(len(words))  # words to the end of the text
+                full = np.flatnonzero(left >= PASSAGE)
+                if not len(full):
+                    continue
+                c = np.zeros(len(words) + 1, np.uint64)
+                np.cumsum(words * S.powers(len(words))[0], out=c[1:])
+                h = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
+                begin = np.flatnonzero(left >= STRETCH)
+                h[begin] = S.span_hashes(c, begin, begin + STRETCH)
+                place = np.unique(_least_places(h, PASSAGE - STRETCH + 1)[full])
+                at.append(text[place] + part.start)
+                found.append(h[place])
+            rows = pa.array(np.concatenate([np.zeros(0, np.int64), *at]))
+            grams = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams)], ["doc_id", "text_hash", "gram"])
+
+    samples = texts.mapInArrow(sample, "doc_id long, text_hash long, gram long").select("gram", F.struct("doc_id", "text_hash").alias("who"))
+    # Least and greatest holder differ where there are two: partial sums, whatever holds a sample.
+    shared = settled(samples.groupBy("gram").agg(F.min("who").alias("a"), F.max("who").alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("gram"))
+    return samples.join(shared, "gram", "left_semi").groupBy("who").agg(F.count("*").alias("n_passages")).select("who.*", "n_passages")
 
 
 def query(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_spans(docs, repeated_spans(docs)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = remove_spans(docs, repeated_spans(docs)).select("doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    passages = shared_passages(docs).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n_passages")
+    both = kept.join(passages, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    return both.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hustings.llm import decontaminate, jpeg, language_id, line_dedup, minhash, pii, sample_encode, sharding, suffix_dedup, suffix_groups, token_counts
 from hustings.llm import shingles as S
@@ -253,6 +254,32 @@ def test_repeated_spans(spark, docs, empty, monkeypatch, hot):
         assert suffix_dedup.remove_spans(empty, suffix_dedup.repeated_spans(empty)).count() == 0
 
 
+def test_shared_passages(spark, docs, empty):
+    rng = np.random.default_rng(11)
+    draw = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
+    texts = list(TEXTS)
+    for i in range(40):
+        part = draw(int(rng.integers(45, 70)))
+        for j in range(2 + i % 2):
+            texts.append((1000 + 10 * i + j, " ".join(draw(int(rng.integers(0, 90))) + part + draw(int(rng.integers(0, 90))))))
+    own = " ".join(draw(60))
+    texts += [(2000, own + " . " + own), (2001, " ".join(draw(300))), (None, " ".join(draw(10)) + " " + PASSAGE), (None, " ".join(draw(60)))]
+    words = {(i, t): re.split("[ \t\n\v\f\r]+", (t or "").lower().strip(" \t\n\v\f\r")) for i, t in texts}
+
+    def holders(n):
+        by = defaultdict(set)
+        for who, w in words.items():
+            for p in range(len(w) - n + 1):
+                by[tuple(w[p : p + n])].add(who)
+        return {who for s in by.values() if len(s) > 1 for who in s}
+
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    of = {r.hash: r.text for r in df.collect()}
+    got = {(r.doc_id, of[r.text_hash]) for r in suffix_dedup.shared_passages(df).collect()}
+    assert holders(50) <= got <= holders(25) and len(got) > 40
+    assert suffix_dedup.shared_passages(empty).count() == 0
+
+
 def _near_brute(texts, n, percent):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.llm import shingles as S
@@ -173,10 +173,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     Equal sets are one class, represented by its least id.  Classes that share a
     band are candidates.  A bucket is compared with one member first, which takes as
     many pairs as members, then once more with the member that has most shingles in
-    common with others.  Only where the components so found still differ inside a
-    bucket, members of different components are compared, if an upper bound of what
-    they have in common allows a link (``_mixed``).  So no pair that shares a band is lost, and no group is
-    spread out into its pairs.  Links are confirmed on the full sets.
+    common with others.  Where the components so found still differ inside a bucket,
+    its members are looked up by their rarest shingles (``_prefix_pairs``), which
+    finds every link there is between components.  So no pair that shares a band is
+    lost, and no group is spread out into its pairs.  Links are confirmed on the full sets.
 
     Null and empty texts have no shingles and are linked with nothing; a null id is
     linked with nothing; rows that repeat an id share its component.
@@ -199,11 +199,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     linked = F.col("common") * 100 >= F.col("either") * percent
     links = settled(verified(stars, sets).where(linked).select("a", "b"))
     labels = settled(components(links))
-    for more in (_second_stars, _open_pairs):
+    for more in (_second_stars, _prefix_pairs):
         rest = _mixed(together, labels, sets)
         if rest is None:
             break
-        pairs = settled(more(rest, percent).join(stars, ["a", "b"], "left_anti"))
+        pairs = settled(more(rest, sets, percent).join(stars, ["a", "b"], "left_anti"))
         found = settled(verified(pairs, sets).where(linked).select("a", "b"))
         if not found.isEmpty():
             labels = settled(components(found.union(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))))
@@ -235,18 +235,24 @@ def _mixed(together: DataFrame, labels: DataFrame, sets: DataFrame):
     if rows.isEmpty():
         return None
 
+    shingles = _shingles(sets, rows)
+    known = shingles.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1")
+    part = F.pmod(F.shiftright("shingle", 20), F.lit(PARTS)) + F.when(F.col("documents") >= COMMON, PARTS).otherwise(0)
+    marked = shingles.join(known, "shingle").select("id", part.cast("int").alias("part"))
+    profiles = marked.groupBy("id").agg(F.array(*(F.count_if(F.col("part") == k).cast("int") for k in range(2 * PARTS))).alias("profile"))
+    return settled(rows.join(profiles, "id"))
+
+
+def _shingles(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, shingle) of the documents in ``rows``."""
+
     def unpack(batches):
         for batch in batches:
             held = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held])))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))], ["id", "shingle"])
 
-    shingles = sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(unpack, "id long, shingle long")
-    known = shingles.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1")
-    part = F.pmod(F.shiftright("shingle", 20), F.lit(PARTS)) + F.when(F.col("documents") >= COMMON, PARTS).otherwise(0)
-    marked = shingles.join(known, "shingle").select("id", part.cast("int").alias("part"))
-    profiles = marked.groupBy("id").agg(F.array(*(F.count_if(F.col("part") == k).cast("int") for k in range(2 * PARTS))).alias("profile"))
-    return settled(rows.join(profiles, "id"))
+    return sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(unpack, "id long, shingle long")
 
 
 def _may_link(percent: int):
@@ -260,7 +266,7 @@ def _sides(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "label", "profile")))
 
 
-def _second_stars(rows: DataFrame, percent: int) -> DataFrame:
+def _second_stars(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each bucket's members with the one that has most in common with others."""
     shared = F.aggregate("profile", F.lit(0), lambda total, x: total + x)
     best = rows.groupBy("band").agg(F.max(F.struct(shared.alias("shared"), F.negative("id").alias("minus"))).alias("best"))
@@ -269,11 +275,41 @@ def _second_stars(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels that share a band and whose profiles leave room for a link."""
-    different = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
-    pairs = _sides(rows, "a").join(_sides(rows, "b"), "band").where(different & _may_link(percent))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+def _prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that can be linked: they share one of their rarest shingles.
+
+    With its shingles ordered from rare to common, a document of n shingles shares with
+    whatever it is linked to one of the first n - ceil(n * percent / 100) + 1.  Those are
+    joined.  What stands behind a shared one bounds the intersection, and so which sizes
+    a partner may have: the join is by size as well.  Shingles that no other document
+    has take places but join nothing, so documents that differ in words of their own
+    drop out.  Of a shingle's holders the most frequent label meets the others only.
+    """
+    shared = F.aggregate("profile", F.lit(0), lambda total, x: total + x)
+    alive = rows.where(shared * 100 >= F.col("n") * percent)
+    mixed = settled(alive.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band"))
+    ids = settled(alive.join(mixed, "band", "left_semi").select("id", "n", "label").distinct())
+    shingles = _shingles(sets, ids)
+    known = settled(shingles.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1"))
+    own = Window.partitionBy("id")
+    # Rarest first; those that nobody else has come before all others.
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("documents", "shingle"))
+    placed = shingles.join(known, "shingle").join(ids, "id").select("id", "n", "label", "shingle", place.alias("place"))
+    least = F.expr(f"(n * {percent} + 99) div 100")
+    rest = F.col("n") - F.col("place") + 1
+    most = F.least(F.expr(f"n * 100 div {percent}"), F.floor(rest * (100 + percent) / percent) - F.col("n"))
+    entries = settled(
+        placed.withColumns({"low": least, "high": most}).where((F.col("place") <= F.col("n") - F.col("low") + 1) & (F.col("high") >= F.col("low"))).select("id", "n", "label", "shingle", "low", "high")
+    )
+    by_label = entries.groupBy("shingle", "label").agg(F.count("*").alias("holders"))
+    tops = settled(by_label.groupBy("shingle").agg(F.max(F.struct("holders", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("shingle", F.col("top.label").alias("top")))
+    step = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.log(F.lit(1.1))).cast("int")  # noqa: E731  sizes within a tenth
+    side = lambda df, x: df.select("shingle", "step", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "label", "low", "high")))
+    few = entries.join(tops, "shingle").where(F.col("label") != F.col("top")).withColumn("step", F.explode(F.sequence(step("low"), step("high"))))
+    every = entries.join(tops, "shingle", "left_semi").withColumn("step", step("n"))
+    fits = F.col("n_b").between(F.col("low_a"), F.col("high_a")) & F.col("n_a").between(F.col("low_b"), F.col("high_b"))
+    pairs = side(few, "a").join(side(every, "b"), ["shingle", "step"]).where((F.col("label_a") != F.col("label_b")) & fits)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def stage(spark, docs, sf_dir):

@@ -320,6 +320,22 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_among_small_sets_that_share_most(spark):
+    """Groups whose members have much in common with all others and are linked with few."""
+    rng = np.random.default_rng(13)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}b{x}" for x in range(6 + 5 * g)]
+        for i in range(50):
+            own = list(base)
+            for _ in range(int(rng.integers(0, 3 + g))):
+                own.insert(int(rng.integers(0, len(own) + 1)) if rng.random() < 0.3 else len(own), f"n{rng.integers(0, 12)}")
+            texts.append((g * 1000 + i, " ".join(own)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for n in (1, 3, 4):
+        assert rows(minhash.near_duplicates(df, n, 80), "doc_id", "n_shingles", "component_id", "kept") == _near_brute(texts, n, 80)
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 1 << 63, 1300, dtype=np.uint64)

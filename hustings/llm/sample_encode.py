@@ -19,11 +19,11 @@ from hustings.llm.token_counts import pre_tokens, processor
 #: Samples for each text.
 SAMPLES = 2
 #: Edges of the lattices that a worker keeps for pre-tokens it may see again.
-MOST_EDGES = 4_000_000
+MOST_EDGES = 1_500_000
 #: Log-shares further apart than this can't be told from nothing in doubles.
 ROUNDING = 60.0
 #: Bytes of text that are sampled side by side.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: Characters (or steps) up to which pre-tokens go side by side; what longer ones have beyond goes one by one.
 ABREAST = 2048
 
@@ -91,14 +91,15 @@ class Lattice:
         self.trie = Trie(pieces)
         self.least = min(w for _, w in pieces.values())
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
+        self.small = n <= 1 << 16
         self._room(0)
 
     def _room(self, edges: int):
         """Empty tables.  By edge: the state it leads to (-1: the end), piece, log-probability,
         and the share of its state's probability up to and with it; by state: its first edge."""
         self.start: dict[str, int] = {}
-        self.target, self.piece = np.empty(edges, np.int32), np.empty(edges, np.int32)
-        self.log, self.until = np.empty(edges), np.empty(edges)
+        self.target, self.piece = np.empty(edges, np.int32), np.empty(edges, np.uint16 if self.small else np.int32)
+        self.log, self.until = np.empty(edges), np.empty(edges, np.float32)
         self.first = np.zeros(edges + 1, np.int64)
         self.edges = self.states = 0
 

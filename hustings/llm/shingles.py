@@ -77,7 +77,7 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else held), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
-def chunks(texts: list[bytes], size: int = 1 << 20):
+def chunks(texts: list[bytes], size: int = 1 << 19):
     """Slices of a list of texts with about ``size`` bytes each."""
     begin, total = 0, 0
     for i, t in enumerate(texts):

@@ -170,7 +170,8 @@ def page_index(pages: DataFrame) -> DataFrame:
     """One row per document from (doc, page, text, method): sections, spans, styles, status.
 
     The text is dropped before the only shuffle; what is gathered of a document is at
-    most ``MAX_PAGES`` rows of flags, pages counted from 1 without gaps.
+    most ``MAX_PAGES`` rows of flags, pages counted from 1 without gaps.  ``total_pages``
+    are the pages that were scanned.
     """
     flagged = page_table(page_flags(pages.where(F.col("page") <= MAX_PAGES))).select("doc", F.struct("page", "method", *KEPT).alias("x"))
     docs = flagged.groupBy("doc").agg(F.sort_array(F.collect_list("x")).alias("p"))

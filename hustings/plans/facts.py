@@ -106,6 +106,26 @@ def p8_page_index(spark, sf_dir):
     return i.select("doc", "s5", "s5_how", "s6", "s6_how", "s7", flat("pending_pages"), flat("conviction_pages"), "pending_style", "pending_hint", "conviction_hint", "total_pages", "extraction_method", "status")
 
 
+def marked_pages(spark, sf_dir):
+    """Pages of documents with headings, tables, totals and annexures strewn over them by number."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    p = d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("page", F.col("at") + 1)
+    return p.select("doc", "page", F.concat("line", F.lit("\n"), F.get(F.array(*map(F.lit, MARKS)), (F.col("doc") * 7 + F.col("page") * (F.col("doc") % 5 + 3)).cast("int") % len(MARKS))).alias("text"), F.when((F.col("page") + F.col("doc")) % 9 == 0, "ocr").otherwise("text").alias("method"))
+
+
+MARKS = (
+    "", "(5) Pending criminal cases", "( 5 ) pending: FIR No 12/2019 (a) (b) (c) u/s 420 IPC", "Pending  Criminal Cases", "Case 1\nCASE-2 case:300", "1 2 3\n text Cr.No. 7 / 2020", "(6) Cases of conviction", "no case of that kind",
+    "have not been convicted", "all cases of conviction", "some cases of conviction here", "(7) That I give", "details of the deposit", "Total number of pending criminal cases: 0", "No. of pending criminal case - 3", "NOT APPLICABLE (a) (b)",
+    "ANNEXURE J - Legal Cases", "as per separate as per separate as per separate annexure", "(d) (e) (f) sec 12", "5/2021 and 006/1999", "number of convicted cases 0", "| 1 | 2 |", "Case No. 45 of 18", "",
+)
+
+
+def p8_index_of_marked(spark, sf_dir):
+    i = pages.page_index(marked_pages(spark, sf_dir))
+    flat = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return i.select("doc", "s5", "s5_how", "s6", "s6_how", "s7", flat("pending_pages"), flat("conviction_pages"), "pending_style", "pending_hint", "conviction_hint", "total_pages", "extraction_method", "status")
+
+
 def a7_index_summary(spark, sf_dir):
     i = pages.page_index(page_rows(spark, sf_dir)).select("status", "extraction_method", F.col("pending_style").alias("style"), (F.col("s5_how") == "fallback").alias("fallback"))
     return audits.index_summary(i)
@@ -165,7 +185,7 @@ def j8_cross_validation(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        w1_dedupe_cases, n23_categories, a2_category_counts, a3_reconcile, w9_disclosure, a5_validation_summary, w7_top_gaps, w12_keep_best, a16_compare_runs, p8_page_index,
+        w1_dedupe_cases, n23_categories, a2_category_counts, a3_reconcile, w9_disclosure, a5_validation_summary, w7_top_gaps, w12_keep_best, a16_compare_runs, p8_page_index, p8_index_of_marked,
         a7_index_summary, a4_case_headers, p9_first_pages, p10_text_layer, a18_doc_method, w5_ranked_votes, j5_previous, j7_electors, a8_elector_sources, j8_cross_validation,
     )
 }
@@ -179,7 +199,58 @@ el AS (SELECT n.contest, polled, coalesce(a.electors, b.electors) AS electors,
   CASE WHEN a.electors IS NOT NULL THEN CAST(floor(polled * 10000::DECIMAL(20,0) / a.electors + 0.5) / 100 AS DOUBLE) END AS turnout
   FROM now_ n LEFT JOIN (SELECT * FROM c WHERE contest % 2 = 0) a ON a.contest = n.contest LEFT JOIN (SELECT * FROM c WHERE contest % 3 = 0) b ON b.contest = n.contest)"""
 
+MARKED = """pages_ AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents),
+pg AS (SELECT doc, page, concat(line, chr(10), [""" + ", ".join("'" + m.replace("\n", "' || chr(10) || '") + "'" for m in MARKS) + f"""][(doc * 7 + page * (doc % 5 + 3)) % {len(MARKS)} + 1]) AS text, CASE WHEN (page + doc) % 9 = 0 THEN 'ocr' ELSE 'text' END AS method FROM pages_)"""
+
+
+def _hit(pattern: str) -> str:
+    return "regexp_matches(text, '" + pattern + "')"
+
+
+def _all(pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all(text, '{pattern}', {group})"
+
+
+#: What a pattern engine without look-around makes of "not behind the word all".
+_LOOSE6 = r"(?i)have\s+not\s+been\s+convicted|convicted\s+for\s+the\s+offences|(^|^(?s:.)|^(?s:..)|^(?s:...)|[^a](?s:...)|(?s:.)[^l](?s:..)|(?s:..)[^l](?s:.)|(?s:...)\S)Cases?\s+of\s+Convict"
+_BARE = r"\b[0-9]{1,5}\s*/\s*(?:19|20)[0-9]{2}\b"
+_INDEX = f"""{PAGES}, f AS (SELECT doc, page, method, {_hit(pages.ANCHORS['s5_strict'])} AS a5, {_hit(pages.ANCHORS['s5_loose'])} AS b5, {_hit(pages.ANCHORS['s6_strict'])} AS a6, {_hit(_LOOSE6)} AS b6,
+  {_hit(pages.ANCHORS['s7_strict'])} AS a7, {_hit(pages.ANCHORS['s7_loose'])} AS b7,
+  try_cast(nullif(regexp_extract(text, '{pages.TOTALS['stated_pending']}', 1), '') AS INTEGER) AS sp, try_cast(nullif(regexp_extract(text, '{pages.TOTALS['stated_convictions']}', 1), '') AS INTEGER) AS sc,
+  list_distinct(list_transform(list_concat({_all(pages.QUALIFIED)}, {_all(_BARE)}), lambda x : regexp_replace(x, '\\s+', '', 'g'))) AS firs,
+  list_filter(list_distinct(list_transform({_all(pages.CASE_HEADER, 1)}, lambda x : CAST(x AS INTEGER))), lambda x : x BETWEEN 1 AND 200) AS heads,
+  len(regexp_split_to_array(nullif(regexp_extract(text, '{pages.TOP_ROW}', 1), ''), '\\W+')) AS top, list_distinct(list_transform({_all(pages.ROW_LETTER, 1)}, lambda x : lower(x))) AS letters,
+  {_hit(pages.PENAL)} AS penal, {_hit(pages.ANNEXURE)} AS annexure, len({_all(pages.SEPARATE)}) >= 3 AND contains(lower(text), 'annexure') AS redirect,
+  regexp_matches(lower(text), 'not appliciable|not applicable') AS na FROM pg WHERE page <= {pages.MAX_PAGES}),
+t AS (SELECT * REPLACE (CASE WHEN top >= 2 THEN top END AS top), len(firs) > 0 OR len(heads) > 0 OR coalesce(top, 0) >= 2 OR (len(letters) >= 3 AND (len(firs) > 0 OR penal)) AS tab FROM f),
+u AS (SELECT *, CASE WHEN len(heads) > 0 THEN 'style_3' WHEN top IS NOT NULL THEN 'style_2' WHEN tab THEN 'style_1' END AS style, tab OR na OR len(letters) >= 2 AS sig FROM t),
+x5 AS (SELECT doc, count(*) AS n, min(page) FILTER (WHERE a5) AS s, min(page) FILTER (WHERE b5) AS l, min(page) FILTER (WHERE annexure) AS ax, arg_min(sp, page) FILTER (WHERE sp IS NOT NULL) AS sp, arg_min(sc, page) FILTER (WHERE sc IS NOT NULL) AS sc,
+  CASE WHEN min(method) = max(method) THEN min(method) ELSE 'mixed' END AS extraction_method FROM u GROUP BY doc),
+y5 AS (SELECT * EXCLUDE (s, l), coalesce(s, l) AS s5, CASE WHEN s IS NOT NULL THEN 'header' WHEN l IS NOT NULL THEN 'fallback' END AS s5_how FROM x5),
+x6 AS (SELECT y.*, (SELECT min(page) FROM u WHERE u.doc = y.doc AND a6 AND page > coalesce(s5, 0)) AS s, (SELECT min(page) FROM u WHERE u.doc = y.doc AND b6 AND page > coalesce(s5, 0)) AS l,
+  (SELECT min(page) FROM u WHERE u.doc = y.doc AND page > ax AND NOT annexure AND NOT tab) AS ax_stop FROM y5 y),
+y6 AS (SELECT * EXCLUDE (s, l), coalesce(s, l) AS s6, CASE WHEN s IS NOT NULL THEN 'header' WHEN l IS NOT NULL THEN 'fallback' END AS s6_how FROM x6),
+y7 AS (SELECT y.*, coalesce((SELECT min(page) FROM u WHERE u.doc = y.doc AND a7 AND page > coalesce(s6, s5, 0)), (SELECT min(page) FROM u WHERE u.doc = y.doc AND b7 AND page > coalesce(s6, s5, 0))) AS s7 FROM y6 y),
+z AS (SELECT *, least(CASE WHEN coalesce(s6, s7) IS NOT NULL THEN least(coalesce(s6, s7) - 1, s5 + {pages.MAX_SPAN - 1}) ELSE s5 + {pages.NO_END_SPAN - 1} END, n) AS p_last,
+  least(CASE WHEN s7 IS NOT NULL THEN least(s7 - 1, s6 + {pages.MAX_SPAN - 1}) ELSE s6 + {pages.NO_END_SPAN - 1} END, n) AS c_last, CASE WHEN ax IS NULL THEN [] ELSE range(ax, coalesce(ax_stop - 1, n) + 1)[:{pages.MAX_SPAN}] END AS ann FROM y7),
+g AS (SELECT z.*, CASE WHEN s5 IS NULL OR p_last < s5 THEN [] ELSE range(s5, greatest(s5, coalesce((SELECT max(page) FROM u WHERE u.doc = z.doc AND sig AND page BETWEEN s5 AND p_last), s5)) + 1) END AS pp,
+  CASE WHEN s6 IS NULL OR c_last < s6 THEN [] ELSE range(s6, greatest(s6, coalesce((SELECT max(page) FROM u WHERE u.doc = z.doc AND sig AND page BETWEEN s6 AND c_last), s6)) + 1) END AS cp FROM z),
+h AS (SELECT g.* EXCLUDE (pp, cp), CASE WHEN sp = 0 THEN [] WHEN len(ann) > 0 AND (len(pp) = 0 OR EXISTS (SELECT 1 FROM u WHERE u.doc = g.doc AND redirect AND list_contains(pp, page))) THEN ann ELSE pp END AS pp, CASE WHEN sc = 0 THEN [] ELSE cp END AS cp FROM g),
+k AS (SELECT h.doc, kind, bool_or(style = 'style_3') AS three, bool_or(style = 'style_2') AS two, bool_or(style IS NOT NULL) AS any_, len(list_distinct(flatten(list(heads)))) AS n_heads, CAST(sum(coalesce(top, 0)) AS INTEGER) AS tops, len(list_distinct(flatten(list(firs)))) AS n_firs
+  FROM h, (SELECT unnest(['p', 'c']) AS kind), u WHERE u.doc = h.doc AND list_contains(CASE kind WHEN 'p' THEN pp ELSE cp END, page) GROUP BY h.doc, kind),
+m AS (SELECT doc, kind, CASE WHEN three AND n_heads > 0 THEN 'style_3' WHEN two THEN 'style_2' WHEN any_ THEN 'style_1' END AS style, CASE WHEN three AND n_heads > 0 THEN n_heads WHEN two THEN tops WHEN any_ THEN nullif(n_firs, 0) END AS hint FROM k),
+idx AS (SELECT h.doc, s5, s5_how, s6, s6_how, s7, array_to_string(pp, ',') AS pending_pages, array_to_string(cp, ',') AS conviction_pages, p.style AS pending_style, CAST(p.hint AS INTEGER) AS pending_hint, CAST(c.hint AS INTEGER) AS conviction_hint,
+  CAST(n AS INTEGER) AS total_pages, extraction_method, CASE WHEN s5 IS NOT NULL OR s6 IS NOT NULL THEN 'ok' ELSE 'headers_missed' END AS status
+  FROM h LEFT JOIN m p ON p.doc = h.doc AND p.kind = 'p' LEFT JOIN m c ON c.doc = h.doc AND c.kind = 'c')"""
+
 ORACLES = {
+    "p8_page_index": f"WITH {_INDEX} SELECT * FROM idx",
+    "p8_index_of_marked": f"WITH {_INDEX.replace(PAGES, MARKED)} SELECT * FROM idx",
+    "a7_index_summary": f"""WITH {_INDEX} SELECT 'status' AS kind, coalesce(status, 'none') AS value, count(*) AS documents, count(*) FILTER (WHERE s5_how = 'fallback') AS fallbacks FROM idx GROUP BY status
+UNION ALL SELECT 'extraction_method', coalesce(extraction_method, 'none'), count(*), count(*) FILTER (WHERE s5_how = 'fallback') FROM idx GROUP BY extraction_method
+UNION ALL SELECT 'style', coalesce(pending_style, 'none'), count(*), count(*) FILTER (WHERE s5_how = 'fallback') FROM idx GROUP BY pending_style""",
+    "a4_case_headers": rf"""WITH {PAGES}, n AS (SELECT doc, unnest(regexp_extract_all(text, '(?i)\bcase\s+0*([0-9]{{1,6}})\b', 1)) AS n FROM pg)
+SELECT doc, count(DISTINCT CAST(n AS INTEGER)) AS style3_count FROM n GROUP BY doc HAVING count(DISTINCT CAST(n AS INTEGER)) >= 2""",
     "w1_dedupe_cases": f"WITH {CASES} SELECT candidate_id, bucket, pos, signature FROM firsts",
     "n23_categories": f"WITH {CASES} SELECT candidate_id, bucket, pos, category FROM cat",
     "a2_category_counts": f"""WITH {CASES} SELECT candidate_id, count(*) FILTER (WHERE category = 'Serious/Violent') AS serious,

@@ -158,3 +158,40 @@ def test_files(spark, tmp_path):
     assert files.gated_write(df, df.limit(0), str(tmp_path / "out"), "1") == 0
     with pytest.raises(files.GateClosed):
         files.expect_count(df, "id", 4)
+
+
+def test_containment_pairs(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    left, right = sorted({word(rng.randrange(0, 9)) for _ in range(60)}), sorted({word(rng.randrange(0, 5)) for _ in range(60)})
+    got = linkage.containment_pairs(spark.createDataFrame([(x,) for x in left], "l string"), "l", spark.createDataFrame([(x,) for x in right], "r string"), "r").collect()
+    want = sorted((x, y) for x in left for y in right if y in x or x in y)
+    assert sorted((r.l, r.r) for r in got) == want
+
+
+def test_report_rules(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [
+        ("a", "o", "o", False, "open", t, 1), ("a", "o", "o", False, "withdrawn", t, 2), ("a", "o", "o", False, "open", t, 3),  # stays withdrawn
+        ("b", "o", "o", False, "open", t, 1), ("b", "o", "x", False, "withdrawn", t, 2), ("b", "o", "x", None, "resolved", t, 3),  # somebody else's
+        ("c", "o", "o", False, "open", t, 1), ("c", "o", "z", True, "resolved", t, 3), ("c", "o", "z", True, "open", t, 2),  # equal times go by event
+        ("d", "o", "o", False, "resolved", t, 1),
+    ]
+    df = spark.createDataFrame(rows, "report_id string, owner string, uid string, is_admin boolean, status string, ts timestamp, event_id long")
+    assert {r.report_id: r.status for r in engagement.report_state(df).collect()} == {"a": "withdrawn", "b": "open", "c": "resolved"}
+    full = dict(uid="u", candidate_id="1", candidate_name="n", field="age", current_value="", suggestion="s", reason="r", status="open")
+    cases_ = [
+        ({}, None), ({"field": "social_media"}, None), ({"field": "party"}, "unknown field"), ({"field": None}, "unknown field"), ({"suggestion": "x" * 500}, None), ({"suggestion": "x" * 501}, "suggestion length"),
+        ({"current_value": None}, "current_value length"), ({"reason": ""}, "reason length"), ({"reason": "x" * 1001}, "reason length"), ({"candidate_name": "x" * 201}, "candidate_name length"),
+        ({"candidate_id": "x" * 65}, "candidate_id length"), ({"status": "withdrawn"}, "not open"), ({"uid": None}, "no owner"),
+    ]
+    columns = ", ".join(f"{c} string" for c in full)
+    got = engagement.valid_reports(spark.createDataFrame([(i, *(full | change).values()) for i, (change, _) in enumerate(cases_)], f"i int, {columns}"))
+    assert [r.problem for r in got.orderBy("i").collect()] == [want for _, want in cases_]
+
+
+def test_disputed_values(spark):
+    cands = spark.createDataFrame([(1, None, "farmer", "3", "", "1970-01-01", [("A", "x"), ("B", "y")], {"x": "a", "w": "", "y": "b"})], "id int, education string, profession string, criminal_cases string, age string, dob string, ministries array<struct<name:string,sector:string>>, social_media map<string,string>")
+    fields = {"education": "", "profession": "farmer", "criminal_cases": "3", "age": "1970-01-01", "ministries": "A, B", "social_media": "a / b", "party": "", None: ""}
+    got = linkage.report_context(spark.createDataFrame([(1, f) for f in fields] + [(2, "age")], "candidate_id int, field string"), cands).collect()
+    assert {(r.candidate_id, r.field): r.disputed for r in got} == {**{(1, f): v for f, v in fields.items()}, (2, "age"): ""}

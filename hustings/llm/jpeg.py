@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from hustings.llm.common import narrow, read
 
-#: Samples to a row of blocks, which is also the restart interval.
+#: Blocks to a row, which is also the restart interval, and to a row of a long text's frame (a unit).
 ACROSS = 24
 UNIT = 576
-#: Rows of blocks in a frame: a height is at most 65,535 pixels.
+#: Rows of blocks in a frame: a height is at most 65,535 pixels.  Rows of units reach to 4.7 MB;
+#: a longer text takes several frames, one file behind the other.
 MOST_ROWS = 8184
 #: Bytes of payload that are worked on at once.
 CHUNK = 1 << 20
@@ -71,12 +72,12 @@ def _block_codes() -> tuple[np.ndarray, np.ndarray]:
 BLOCK_CODES, BLOCK_BITS = _block_codes()
 
 
-def _header(rows: int) -> bytes:
+def _header(rows: int, across: int) -> bytes:
     part = lambda kind, body: struct.pack(">BBH", 0xFF, kind, len(body) + 2) + body
     return b"".join((
         b"\xff\xd8",
         part(0xDB, bytes([0, 8, *[1] * 63])),
-        part(0xC0, struct.pack(">BHHB", 8, rows * 8, ACROSS * 8, 1) + bytes([1, 0x11, 0])),
+        part(0xC0, struct.pack(">BHHB", 8, rows * 8, across * 8, 1) + bytes([1, 0x11, 0])),
         part(0xC4, bytes([0x00, *DC_LENGTHS, *DC_VALUES])),
         part(0xC4, bytes([0x10, *AC_LENGTHS, *AC_VALUES])),
         part(0xDD, struct.pack(">H", ACROSS)),
@@ -85,14 +86,16 @@ def _header(rows: int) -> bytes:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A file for each payload (a multiple of ``UNIT`` bytes); long ones take several frames."""
+    """A file for each payload (a multiple of ``UNIT`` bytes)."""
     if not payloads:
         return []
     samples = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16).reshape(-1, ACROSS)
-    frames: list[tuple[int, int]] = []  # payload, rows
+    frames: list[tuple[int, int, int]] = []  # payload, restart segments, blocks to a row
     for i, p in enumerate(payloads):
-        rows = len(p) // ACROSS
-        frames += [(i, min(MOST_ROWS, rows - at)) for at in range(0, rows, MOST_ROWS)]
+        segments = len(p) // ACROSS
+        across = ACROSS if segments <= MOST_ROWS else UNIT
+        most = MOST_ROWS * (across // ACROSS)
+        frames += [(i, min(most, segments - at), across) for at in range(0, segments, most)]
     diff = np.diff(samples, axis=1, prepend=np.int16(128)) + 255
     bits, codes = BLOCK_BITS[diff], BLOCK_CODES[diff]
     ends = np.cumsum(bits, axis=1)
@@ -108,7 +111,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     packed = packed[:n].astype(np.uint8)
     packed[starts[1:] - 1] |= ((1 << (size * 8 - ends[:, -1])) - 1).astype(np.uint8)  # padded with ones
     # Stuff a zero behind each FF and put a restart marker between the segments of a frame.
-    rows = np.array([r for _, r in frames])
+    rows = np.array([r for _, r, _ in frames])
     first = np.concatenate([[0], np.cumsum(rows)])[:-1]
     nth = np.arange(len(size)) - np.repeat(first, rows)  # of a segment in its frame
     marks = np.where(nth > 0, 2, 0)
@@ -123,10 +126,12 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     out[begins[later] - 1] = 0xD0 + (nth[later] - 1) % 8
     cuts = np.append(begins[first] - marks[first], len(out))
     data, files = out.tobytes(), [[] for _ in payloads]
-    for (i, r), a, b in zip(frames, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        files[i] += [_header(r), data[a:b], b"\xff\xd9"]
+    for (i, r, across), a, b in zip(frames, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        files[i] += [_header(r * ACROSS // across, across), data[a:b], b"\xff\xd9"]
     return [b"".join(f) for f in files]
 
+
+
 #: What ends a scan: a marker that is neither a stuffed byte nor a restart.
 _NEXT_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
@@ -304,7 +309,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_bytes and ``media``, a JPEG that holds the text without loss.
 
     A null text is empty; an empty text makes one unit of padding.  Rows are
-    independent: equal texts give equal files, an empty table gives no rows.
+    independent: equal texts give equal files, an empty table gives no rows.  A text
+    of up to 4.7 MB is one image; longer ones take several, one behind the other.
     """
 
     def encode_batches(batches):

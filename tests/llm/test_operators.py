@@ -160,10 +160,16 @@ def test_media(docs, empty):
         texts = [(t or "").encode() for i, t in TEXTS if i == r.doc_id]
         assert r.payload_sha256 in {hashlib.sha256(jpeg.payload_of(t)).hexdigest() for t in texts}
         assert r.payload_bytes % 576 == 0 and r.width == 192
+        assert {(r.n_bytes, r.tail_crc32) for r in got if r.doc_id == 8} == {(len(LONG), zlib.crc32(jpeg.payload_of(LONG.encode())[-32:]))}
+    files = {(r.doc_id, r.n_bytes): bytes(r.media) for r in jpeg.store_texts(docs).collect()}
+    assert all((r.media_bytes, r.media_sha256) == (len(files[r.doc_id, r.n_bytes]), hashlib.sha256(files[r.doc_id, r.n_bytes]).hexdigest()) for r in got)
     assert len(got) == len(TEXTS)
     assert jpeg.media_features(jpeg.store_texts(empty)).count() == 0
     big = [jpeg.payload_of(bytes(range(256)) * 2000)]
-    assert b"".join(x.tobytes() for _, x in jpeg.thumbnails(jpeg.encode(big))[0]) == big[0]
+    ((size, image),) = jpeg.thumbnails(jpeg.encode(big))[0]  # one image, as an ordinary reader takes it
+    assert image.tobytes() == big[0] and size == (jpeg.UNIT * 8, len(big[0]) // jpeg.UNIT * 8)
+    most = [jpeg.payload_of(bytes(5_000_000)), b"a" * jpeg.UNIT]
+    assert [b"".join(x.tobytes() for _, x in f) for f in jpeg.thumbnails(jpeg.encode(most))] == most
 
 
 def test_media_reads_ac_coefficients_and_subsampled_colour():

@@ -154,7 +154,9 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_co
     letter case can't be seen as names.
 
     Null, empty and short texts match nothing, nor do items of fewer than
-    ``WINDOW`` words.  Rows that repeat a document give one row for each item.
+    ``WINDOW`` words.  Rows that repeat a document give one row for each item; where
+    either table is empty there are no rows.  A very long text has three windows a word,
+    read off one by one.
     """
     return _matches(docs, items, coverage, id_col, text_col).drop("text_key")
 

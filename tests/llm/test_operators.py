@@ -225,6 +225,38 @@ def test_language(spark, empty):
     assert nothing[0] == [] and {r.lang_pred for r in language_id.predict(df, nothing).collect()} == {"und"}
 
 
+def test_language_against_brute_force(spark):
+    base = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (64, 512)).astype(int)
+
+    def vector(text):
+        symbols = []
+        for ch in text.lower():
+            s = (ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch) % 37) if ch.isalpha() else 0
+            if s or not symbols or symbols[-1]:
+                symbols.append(s)
+        symbols = [0, *symbols, 0]
+        total = np.zeros(512)
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            if a or b or c:
+                total += np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
+        return total
+
+    for text in ("The  sea, the SEA!", "über alles ñandú 12 a", "ab", " x "):
+        codes, counts = language_id.grams(text)
+        assert np.allclose(language_id.bundle(codes, counts), vector(text))
+    rng = np.random.default_rng(5)
+    words = [[f"{a}{b}{c}" for a in "bdfg" for b in v for c in "lmn"] for v in ("aeé", "oua", "iyo")]
+    texts = [(i, " ".join(rng.choice(words[i % 3], 12)), f"l{i % 3}") for i in range(60)]
+    model = language_id.collect_model(language_id.prototypes(spark.createDataFrame(texts, "doc_id long, text string, lang string")))
+    sums = {k: sum(vector(t) for _, t, lang in texts if lang == k) for k in ("l0", "l1", "l2")}
+    assert model[0] == list(sums) and np.allclose(model[1], [v / np.linalg.norm(v) for v in sums.values()], atol=1e-5)
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(texts, "doc_id long, text string, lang string"), model).collect()}
+    for i, t, _ in texts:
+        cosines = {k: v @ vector(t) / np.linalg.norm(v) / np.linalg.norm(vector(t)) for k, v in sums.items()}
+        best = max(cosines, key=cosines.get)
+        assert got[i].lang_pred == best and abs(got[i].score - cosines[best]) < 1e-4
+
+
 def test_suffix_order():
     rng = np.random.default_rng(2)
     for _ in range(400):

@@ -30,6 +30,7 @@ PARTY_ALIASES = {
 }
 #: Words in front of a name (fixed values).
 HONORIFICS = "Dr|Sri|Smt|Shri|Mr|Mrs|Ms|Adv|Hon|Late"
+#: One list in two parts: word sets of names leave out the first part only.
 TITLES = "sri|smt|dr|mr|mrs|shri|kumari|alias|advocate|er|engr"
 DEGREES = "m.a|b.a|b.ed|p.hd|notary|adv"
 

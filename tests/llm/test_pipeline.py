@@ -74,3 +74,46 @@ def test_language_stage_rejects_what_is_in_no_language(spark, table):
     texts = [(i, " ".join(rng.choice(words, 80))) for i in range(40)] + [(90, "zqxj " * 100), (91, "zqxj vw"), (92, "12 34 !!")]
     docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
     assert {r.doc_id for r in P.identify_language(spark, docs, table).collect()} == {*range(40), 91}
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """All stages one after another, by sequential code, on texts without slots."""
+    import hashlib
+    import random
+
+    from test_operators import _line_brute, _near_brute, _windows_brute
+
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("bdfgklmn") + rng.choice("aei") for _ in range(rng.randrange(2, 5))) for _ in range(400)]
+    draw = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, draw(rng.randrange(6, 20))) for k in range(6)]
+    shared, texts = [draw(9) for _ in range(3)], []
+    for _ in range(30):
+        lines = [draw(rng.randrange(4, 15)) for _ in range(rng.randrange(1, 6))]
+        if rng.random() < 0.5:
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(shared).upper())
+        texts.append("\n".join(lines))
+    for _ in range(8):  # near copies, each of one long line
+        base = draw(80).split()
+        for _ in range(rng.randrange(2, 5)):
+            own = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append(" ".join(own))
+    for k in range(8):  # whole and part items
+        words = items[k % 6][1].split()
+        texts.append(f"{draw(15)} {' '.join(words[rng.randrange(3) :])} {draw(15)}")
+    texts += ["", None, "12 34 !", shared[0], " ".join(["zqxj"] * 120)]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    spark.createDataFrame([(i, t, None if (t or "").startswith("zqxj") else "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = [(i, t) for i, t in docs if any(c.isalpha() for c in t or "") and not t.startswith("zqxj")]
+    kept = [(i, t) for i, _, _, t in _line_brute(kept)]
+    firsts = {i for i, _, _, first in _near_brute(kept, 5, 80) if first}
+    kept = [(i, t) for i, t in kept if i in firsts]
+    leaked = {i for i, t in kept for _, x in items for found, total in [_windows_brute(t, x)] if found and found >= total / 2}
+    want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept if i not in leaked}
+    got = P.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text_sha256 for r in got} == want and leaked and len(firsts) < len(docs) - 10
+    assert all(sorted(r.rank for r in got if r.doc_id == i) in ([0], [0, 1]) for i in want)

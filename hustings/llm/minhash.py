@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.llm import shingles as S
-from hustings.llm.common import boxed, narrow, read, settled, unboxed
+from hustings.llm.common import boxed, narrow, read, released, settled, unboxed
 
 #: 32 bands of 4: a pair of similarity 0.8 misses all bands once in 20 million times.
 BANDS, ROWS = 32, 4
@@ -199,7 +199,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     linked = F.col("common") * 100 >= F.col("either") * percent
     links = settled(verified(stars, sets).where(linked).select("a", "b"))
     labels = settled(components(links))
+    del links
     for more in (_second_stars, _prefix_pairs):
+        released(docs.sparkSession)  # full sets went through the exchanges so far
         rest = _mixed(together, labels, sets)
         if rest is None:
             break

@@ -341,3 +341,10 @@ SELECT page_id, canonical, sha1(canonical || '|' || t) AS key FROM c""",
     "a4_case_numbers": rf"""WITH {PAGES}, n AS (SELECT doc, unnest(regexp_extract_all(text, '(?i)\bcase\s+0*([0-9]{{1,6}})\b', 1)) AS n FROM pg)
 SELECT doc, count(DISTINCT CAST(n AS INTEGER)) AS style3_count FROM n GROUP BY doc HAVING count(DISTINCT CAST(n AS INTEGER)) >= 2""",
 }
+
+#: The same rules over the plain inputs of other modules' queries.
+ORACLES |= {
+    "r5_throttle": ORACLES["r5_accepted"],
+    "n14_plain_text": f"WITH x AS ({ORACLES['n14_page_text']}) SELECT page_id, CAST(length(text) AS INTEGER) AS chars, sha1(text) AS sha FROM x",
+    "n29_contacts": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS (SELECT doc_id, {', '.join(map(_first_link, C.SOCIAL))} FROM d) SELECT * FROM x WHERE {' OR '.join(f'{p} IS NOT NULL' for p in C.SOCIAL)}",
+}

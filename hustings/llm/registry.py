@@ -16,6 +16,7 @@ MODULES = {
     "op8_pii_checksums": "pii",
     "op9_super_minhash": "minhash",
     "op10_line_bitmaps": "line_dedup",
+    "op11_balanced_postings": "vector_search",
     "op12_deepening_repair": "turn_repair",
     "op13_pipelined_search": "lexical_search",
 }

@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import html
-import re
-import urllib.parse
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from hustings.functions.base import col, squeeze
+from hustings.functions.base import col, let, squeeze
 
 #: Query parameters that only track (fixed values): prefixes and whole names.
-TRACKING = re.compile(r"(?:utm_|mc_|(?:gclid|fbclid|ref|src)$)", re.IGNORECASE)
+TRACKING = r"(?i)^(?:utm_|mc_|(?:gclid|fbclid|ref|src)$)"
 
 
 @pandas_udf(T.StringType())
@@ -33,24 +30,51 @@ def strip_html(c) -> Column:
     return squeeze(F.when(F.contains(bare, F.lit("&")), _unescape(bare)).otherwise(bare))
 
 
-def _canonical(url: str) -> str:
-    try:
-        parts = urllib.parse.urlsplit(url)
-    except ValueError:
-        return url
-    pairs = urllib.parse.parse_qsl(parts.query, keep_blank_values=True)
-    query = urllib.parse.urlencode(sorted(p for p in pairs if not TRACKING.match(p[0])))
-    return urllib.parse.urlunsplit((parts.scheme.lower(), parts.netloc.lower(), parts.path, query, ""))
+#: Schemes that are written with slashes also where no host follows (fixed values).
+SLASHED = (
+    "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp", "snews", "prospero", "rtsp", "rtsps", "rtspu",
+    "rsync", "svn", "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services",
+)
 
 
-@pandas_udf(T.StringType())
-def canonical_url_udf(s: pd.Series) -> pd.Series:
-    return s.map(_canonical, na_action="ignore")
+def _decoded(c: Column) -> Column:
+    """Percent signs and pluses of a query as characters; broken escapes stay as they are."""
+    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(c: Column) -> Column:
+    """The other way round; letters, digits and ``_.-~`` stay."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _query(c: Column) -> Column:
+    """Parameters in order of name and value, without those that only track."""
+    split = lambda p: let(F.instr(p, "="), lambda at: F.when(at > 0, F.array(F.substring(p, F.lit(1), at - 1), F.substring(p, at + 1, F.length(p)))).otherwise(F.array(p, F.lit(""))))
+    given = F.transform(F.filter(F.split(c, "&"), lambda p: p != ""), split)
+    pairs = F.transform(given, lambda p: F.struct(_decoded(p[0]).alias("k"), _decoded(p[1]).alias("v")))
+    kept = F.sort_array(F.filter(pairs, lambda p: ~p["k"].rlike(TRACKING)))
+    return F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
 
 def canonical_url(c) -> Column:
-    """Scheme and host in lower case, parameters sorted and without tracking, no fragment."""
-    return canonical_url_udf(col(c))
+    """Scheme and host in lower case, parameters sorted and without tracking, no fragment.
+
+    Column functions only.  Control characters and blanks in front, tabs and line ends
+    anywhere go; a link whose host has one square bracket without the other stays.
+    """
+    text = F.regexp_replace(F.regexp_replace(col(c), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    at = lambda n: F.regexp_extract(text, r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?", n)
+    parts = F.struct(F.lower(at(1)).alias("scheme"), F.lower(at(2)).alias("host"), at(3).alias("path"), F.substring(at(4), 2, 1 << 30).alias("query"))
+
+    def joined(p: Column) -> Column:
+        has_host = F.length(p["host"]) > 2
+        host = F.when(has_host, p["host"]).when(F.startswith(p["path"], F.lit("//")), "//").when((p["path"] == "") | F.startswith(p["path"], F.lit("/")), F.when(p["scheme"].isin(*SLASHED), "//").otherwise("")).otherwise("")
+        query = F.when(p["query"] == "", "").otherwise(_query(p["query"]))
+        odd = F.contains(p["host"], F.lit("[")) != F.contains(p["host"], F.lit("]"))
+        whole = F.concat(F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise(""), host, p["path"], F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+        return F.when(odd, col(c)).otherwise(whole)
+
+    return F.when(col(c).isNotNull(), let(parts, joined))
 
 
 def title_key(c) -> Column:
@@ -63,42 +87,29 @@ def dedupe_key(url, title) -> Column:
     return F.sha1(F.concat(canonical_url(url), F.lit("|"), title_key(title)))
 
 
-def _hash53(units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """53-bit hashes of rows of UTF-16 units, all rows side by side; 32-bit wrap-around."""
-    h1 = np.full(len(lengths), 0xDEADBEEF, np.uint32)
-    h2 = np.full(len(lengths), 0x41C6CE57, np.uint32)
-    for i in range(units.shape[1]):
-        on = lengths > i
-        ch = units[:, i].astype(np.uint32)
-        h1 = np.where(on, (h1 ^ ch) * np.uint32(2654435761), h1)
-        h2 = np.where(on, (h2 ^ ch) * np.uint32(1597334677), h2)
-    fold = lambda a, b: (a ^ (a >> np.uint32(16))) * np.uint32(2246822507) ^ (b ^ (b >> np.uint32(13))) * np.uint32(3266489909)
-    h1 = fold(h1, h2)
-    h2 = fold(h2, h1)
-    return (h2.astype(np.uint64) & np.uint64(2097151)) << np.uint64(32) | h1
+def _times32(c: Column, factor: int) -> Column:
+    """The last 32 bits of a product; the upper half first, so nothing leaves 64 bits."""
+    low = F.lit(0xFFFF)
+    upper = (F.shiftright(c, 16) * factor).bitwiseAND(low)
+    return (F.shiftleft(upper, 16) + c.bitwiseAND(low) * factor).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-@pandas_udf(T.StringType())
-def article_id_udf(s: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(s), index=s.index, dtype=object)
-    full = s[s.notna() & (s != "")]
-    # Rows of like length together, so that one long link costs no more than itself.
-    rows = [np.frombuffer(x.encode("utf-16-le", "surrogatepass"), np.uint16) for x in full]
-    order = np.argsort([len(r) for r in rows], kind="stable")
-    for at in range(0, len(order), 512):
-        part = order[at : at + 512]
-        lengths = np.array([len(rows[k]) for k in part])
-        units = np.zeros((len(part), lengths.max()), np.uint16)
-        for j, k in enumerate(part):
-            units[j, : lengths[j]] = rows[k]
-        for k, h in zip(part, _hash53(units, lengths), strict=True):
-            out[full.index[k]] = f"nr_{int(h):x}"
-    return out
+def hash53(c) -> Column:
+    """A 53-bit hash of a text: two 32-bit values that each UTF-16 unit multiplies, folded at the end."""
+    units = F.hex(F.encode(col(c), "UTF-16BE"))
+    unit = lambda i: F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("long")
+    start = F.struct(F.lit(0xDEADBEEF).alias("a"), F.lit(0x41C6CE57).alias("b")).cast("struct<a:bigint,b:bigint>")
+    step = lambda h, x: F.struct(_times32(h["a"].bitwiseXOR(x), 2654435761).alias("a"), _times32(h["b"].bitwiseXOR(x), 1597334677).alias("b"))
+    listed = F.when(units == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(units), F.lit(4)), unit))
+    shifted = lambda h, n, factor: _times32(h.bitwiseXOR(F.shiftright(h, n)), factor)
+    fold = lambda h, other: shifted(h, 16, 2246822507).bitwiseXOR(shifted(other, 13, 3266489909))
+    ends = let(F.aggregate(listed, start, step), lambda h: F.struct(fold(h["a"], h["b"]).alias("a"), h["b"].alias("b")))
+    return let(ends, lambda h: F.shiftleft(fold(h["b"], h["a"]).bitwiseAND(F.lit(2097151)), 32) + h["a"])
 
 
 def article_id(c) -> Column:
-    """Stable id of a link; null for none."""
-    return article_id_udf(col(c))
+    """Stable id of a link, in small hexadecimal digits; null for none."""
+    return F.when(col(c) != "", F.concat(F.lit("nr_"), F.lower(F.hex(hash53(c)))))
 
 
 def safe_href(c) -> Column:

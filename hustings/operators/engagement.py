@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hustings.operators.order import ranged
+
 #: Reactions in the order in which ties are shown (fixed values).
 REACTIONS = ("useful", "concerned", "needs_investigation")
 #: Fields that a report may dispute, and the most characters of its texts (fixed values).
@@ -97,35 +101,132 @@ def audit_counters(history: DataFrame, kinds=REACTIONS) -> DataFrame:
     return history.withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
+def _accept(times: np.ndarray, last: int | None, gap: int) -> tuple[np.ndarray, int | None]:
+    """Which of a user's times in order are accepted after ``last``, and the last of them: from one to the next."""
+    ok = np.zeros(len(times), bool)
+    at = 0 if last is None else int(np.searchsorted(times, last + gap, "right"))
+    while at < len(times):
+        ok[at], last = True, int(times[at])
+        at = int(np.searchsorted(times, last + gap, "right"))
+    return ok, last
+
+
+def _ends(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Times that may be the first accepted ones, and the last accepted one that follows from each.
+
+    Each event points to the one accepted after it; pointers are doubled until all
+    lead to the end.  Times in a row with the same end are one, the last of them.
+    """
+    after = np.searchsorted(times, times + gap, "right")
+    jump = np.where(after < len(times), after, np.arange(len(times)))
+    while (jump[jump] != jump).any():
+        jump = jump[jump]
+    firsts = min(after[0] + 1, len(times))
+    ends = times[jump[:firsts]]
+    keep = np.append(ends[1:] != ends[:-1], True)
+    return times[:firsts][keep], ends[keep]
+
+
+def _segments(batch) -> list[tuple[object, slice]]:
+    """Stretches of one user in a batch that is in order."""
+    uids = batch.column("user").to_pylist()
+    starts = [k for k in range(len(uids)) if k == 0 or uids[k] != uids[k - 1]]
+    return [(uids[a], slice(a, b)) for a, b in zip(starts, [*starts[1:], len(uids)], strict=True)]
+
+
+def _borders(gap: int):
+    """What a range hands on: (part, whole, user, start, last): the last accepted time of its last user.
+
+    A range of one user only has a row for each time that may be its first accepted
+    one, as that depends on the range before.
+    """
+    schema = pa.schema([("part", pa.int32()), ("whole", pa.bool_()), ("user", pa.string()), ("start", pa.int64()), ("last", pa.int64())])
+
+    def border(batches):
+        part, whole, user, last, times = None, True, None, None, []
+        for batch in batches:
+            stamps = batch.column("t").to_numpy()
+            for uid, span in _segments(batch):
+                if part is None:
+                    part, user = batch.column("part")[0].as_py(), uid
+                elif uid != user:
+                    whole, user, last, times = False, uid, None, []
+                if whole:
+                    times.append(stamps[span])
+                else:
+                    _, last = _accept(stamps[span], last, gap)
+        if part is not None:
+            start, end = _ends(np.concatenate(times), gap) if whole else (np.zeros(1, np.int64), np.array([last]))
+            n = len(start)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([whole] * n), pa.array([user] * n, pa.string()), pa.array(start), pa.array(end)], schema=schema)
+
+    return border
+
+
+def _handed(gap: int):
+    """(part, user, last): the last accepted time of each range's last user, range after range."""
+    schema = pa.schema([("part", pa.int32()), ("user", pa.string()), ("last", pa.int64())])
+
+    def hand(batches):
+        user, last, part, found = None, None, None, None
+        for batch in batches:
+            out = []
+            for p, whole, uid, start, end in zip(*(batch.column(c).to_pylist() for c in ("part", "whole", "user", "start", "last")), strict=True):
+                if p != part:
+                    if part is not None:
+                        out.append((part, user, last))
+                    known = last if part is not None and uid == user else None
+                    part, user, found = p, uid, False
+                    last = known
+                if not found and (not whole or known is None or start > known + gap):
+                    last, found = end, True
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
+        if part is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (part, user, last), strict=True))], schema=schema)
+
+    return hand
+
+
 def throttle(events: DataFrame, seconds: float = 10) -> DataFrame:
     """A report is accepted if more than ``seconds`` passed since the user's last accepted one.
 
-    Each answer depends on the one before, so a user's events go through one at a
-    time.  Events are first cut where the gap alone decides: behind a pause of more
-    than ``seconds`` an event is accepted whatever came before, so the stretches
-    between such pauses are independent and go through Python one by one.  Finding
-    the pauses sorts each user's times (id and time only) in one task, which spills
-    but doesn't gather them.
+    Each answer depends on the one before, yet no task holds a user: all events are
+    dealt to ranges of user and time, so a user with many spans many ranges.  First
+    each range tells what it hands on: the last accepted time of its last user, or, if
+    it has one user only, that time for each of the few events that may be accepted
+    first, by pointers from each event to the one accepted after it.  Then these rows,
+    few for a range, are followed from range to range in one stream that remembers one
+    time, and at last each range knows where it starts and decides its events.
+
+    Events of one time go by event id.  One without a time isn't accepted and hinders
+    none; those without a user are one user's.  No events give no rows.
     """
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    order = Window.partitionBy("uid").orderBy("ts", "event_id")
-    pause = F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) > int(seconds * 1e6), F.lit(True))
-    cut = events.select("uid", "event_id", "ts").withColumn("__cut", F.sum(pause.cast("int")).over(order))
-
-    def accept(batches):
-        stretch, last = None, None
-        for pdf in batches:
-            out = []
-            for uid, part, t in zip(pdf["uid"], pdf["__cut"], pdf["ts"], strict=True):
-                if (uid, part) != stretch:
-                    stretch, last = (uid, part), None
-                ok = last is None or (t - last).total_seconds() > seconds
-                last = t if ok else last
-                out.append(ok)
-            yield pdf.assign(accepted=out)[["uid", "event_id", "ts", "accepted"]]
-
-    dealt = cut.repartition("uid", "__cut").sortWithinPartitions("uid", "__cut", "ts", "event_id")
-    return dealt.mapInPandas(accept, "uid string, event_id long, ts timestamp, accepted boolean")
+    gap = int(seconds * 1e6)
+    rows = events.select("uid", "event_id", F.col("ts").cast("timestamp").alias("ts")).withColumns({"user": F.col("uid").cast("string"), "t": F.unix_micros("ts")})
+    untimed = rows.where("t is null").select("uid", "event_id", "ts", F.lit(False).alias("accepted"))
+    order = ["user", "t", "event_id"]
+    dealt = ranged(rows.where("t is not null"), *order).sortWithinPartitions(*order)
+    borders = dealt.select("user", "t", F.col("__part").alias("part")).mapInArrow(_borders(gap), "part int, whole boolean, user string, start long, last long")
+    handed = borders.repartition(1).sortWithinPartitions("part", "start").mapInArrow(_handed(gap), "part int, user string, last long")
+    # A row a range, whose number the session sets: a range that is empty hands on what came before it.
+    ends = sorted(tuple(r) for r in handed.collect())
+    starts = {part: before[1:] for before, (part, _, _) in zip(ends, ends[1:], strict=False)}
+
+    def decide(batches):
+        user, last, begun = None, None, False
+        for batch in batches:
+            if not begun and batch.num_rows:
+                user, last = starts.get(batch.column("__part")[0].as_py(), (None, None))
+                begun = True
+            stamps, ok = batch.column("t").to_numpy(), np.zeros(batch.num_rows, bool)
+            for uid, span in _segments(batch):
+                if uid != user:
+                    user, last = uid, None
+                ok[span], last = _accept(stamps[span], last, gap)
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("event_id"), batch.column("ts"), pa.array(ok)], names=["uid", "event_id", "ts", "accepted"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in untimed.schema)
+    return dealt.mapInArrow(decide, fields).unionByName(untimed)
 
 
 def bookmark_state(events: DataFrame) -> DataFrame:

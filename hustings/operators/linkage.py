@@ -7,10 +7,9 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from hustings.functions import names as N
+from hustings.functions.base import let
 from hustings.operators.contests import percent
 
 
@@ -29,66 +28,123 @@ def first_by(df: DataFrame, keys, *order, only: Column | None = None) -> DataFra
     return (first if only is None else first.where(F.when(F.col("__nth") == 1, only))).drop("__nth")
 
 
-def _grams(c: Column) -> Column:
-    """The empty text and every stretch of one to three characters."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+#: Characters of the stretches by which texts are looked up in others; shorter texts are looked up whole.
+STRETCH = 6
 
-    def long(n: int) -> Column:
-        return F.transform(at, lambda i: F.substring(c, i, F.lit(n)))
 
-    return F.array_distinct(F.concat(F.array(F.lit("")), long(1), long(2), long(3)))
+def _stretches(c: Column, n: Column) -> Column:
+    """Every stretch of ``n`` characters of a text, once each."""
+    at = F.sequence(F.lit(1), F.length(c) - n + 1)
+    return F.when(n == 0, F.array(F.lit(""))).when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
-def containment_pairs(left: DataFrame, l: str, right: DataFrame, r: str) -> DataFrame:  # noqa: E741
-    """Pairs of rows of which one text holds the other, each pair once (an empty one is held by all).
+def containing(holders: DataFrame, held: DataFrame) -> DataFrame:
+    """(holder, held): distinct texts of which the first holds the second; both sides have one column ``t``.
 
-    What is held begins with three characters (or is shorter) that stand somewhere in
-    what holds it: the sides are joined on those, never as a product of all rows.
+    What is held is looked up by that of its stretches that the fewest holders have, so
+    texts that only begin alike, or share any common part, don't meet.  Stretches of
+    holders are worked out only in the lengths that are looked up (seven at most).
     """
-    key = lambda c: F.substring(c, 1, 3)
-    a = left.withColumn("__g", F.explode(_grams(F.col(l)))).join(right.withColumn("__g", key(r)), "__g").where(F.contains(F.col(l), F.col(r)))
-    b = right.withColumn("__g", F.explode(_grams(F.col(r)))).join(left.withColumn("__g", key(l)), "__g").where(F.contains(F.col(r), F.col(l)) & ~F.contains(F.col(l), F.col(r)))
-    columns = [*left.columns, *right.columns]
-    return a.select(*columns).union(b.select(*columns))
+    held = held.where("t is not null").distinct().withColumn("n", F.least(F.length("t"), F.lit(STRETCH)))
+    holders = holders.where("t is not null").distinct()
+    sizes = [r.n for r in held.select("n").distinct().collect()]
+    every = F.array(*map(F.lit, sizes)).cast("array<int>")
+    spread = holders.select(F.col("t").alias("holder"), F.explode(F.flatten(F.transform(every, lambda n: _stretches(F.col("t"), n)))).alias("g"))
+    frequent = spread.groupBy("g").agg(F.count("*").alias("n_holders"))
+    asked = held.select(F.col("t").alias("held"), F.explode(_stretches(F.col("t"), F.col("n"))).alias("g"))
+    rarest = asked.join(frequent, "g", "left").groupBy("held").agg(F.min(F.struct(F.coalesce("n_holders", F.lit(0)).alias("n"), F.col("g").alias("g"))).alias("least"))
+    looked_up = rarest.where("least.n > 0").select("held", F.col("least.g").alias("g"))
+    return looked_up.join(spread, "g").where(F.contains("holder", F.col("held"))).select("holder", "held")
+
+
+def containment_pairs(left: DataFrame, l: str, right: DataFrame, r: str) -> DataFrame:  # noqa: E741
+    """Pairs of rows of which one text holds the other, each pair once (an empty one is held by all)."""
+    a, b = left.select(F.col(l).alias("t")), right.select(F.col(r).alias("t"))
+    forward = containing(a, b).select(F.col("holder").alias("__l"), F.col("held").alias("__r"))
+    backward = containing(b, a).select(F.col("held").alias("__l"), F.col("holder").alias("__r"))
+    texts = forward.union(backward).distinct()
+    return left.join(texts, F.col(l) == F.col("__l")).join(right, F.col(r) == F.col("__r")).select(*left.columns, *right.columns)
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    to: dict[str, SequenceMatcher] = {}
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if y not in to:  # what it works out of the second text serves for many first ones
-            to[y] = SequenceMatcher(None, "", y)
-        to[y].set_seq1(x)
-        out.append(to[y].ratio())
-    return pd.Series(out, dtype="float64")
+#: Letters whose counts bound a ratio; all others count together.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+#: Names whose index the ratio keeps for further comparisons.
+KEPT_NAMES = 5000
 
 
-#: Ratio of matching blocks (not symmetric: the first is the local name).  Marked as not
-#: deterministic so that a filter on the score doesn't work it out a second time.
-name_ratio = pandas_udf(_ratios, T.DoubleType()).asNondeterministic()
+def letter_counts(c: Column) -> Column:
+    """How often each of ``LETTERS`` stands in a text, and last how many other characters."""
+    own = F.array(*(F.length(c) - F.length(F.replace(c, F.lit(x))) for x in LETTERS))
+    return F.concat(own, F.array(F.length(c) - F.aggregate(own, F.lit(0), lambda n, x: n + x)))
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
-    """No ratio is above twice the common letters over all letters, nor this."""
-    return 2 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0))
+    """No ratio is above twice the letters (``letter_counts``) that two texts have in common over all letters."""
+    total = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x)
+    return 2 * total(F.zip_with(a, b, lambda x, y: F.least(x, y))) / F.nullif(total(a) + total(b), F.lit(0))
+
+
+def name_ratio(kept: dict, a: str, b: str) -> float:
+    """Ratio of matching blocks (not symmetric: the first is the local name)."""
+    if b not in kept:  # what it works out of the second text serves for many first ones
+        if len(kept) >= KEPT_NAMES:
+            kept.clear()
+        kept[b] = SequenceMatcher(None, "", b)
+    kept[b].set_seq1(a)
+    return kept[b].ratio()
+
+
+def _best_first(above: float):
+    """The best record of each candidate; rows come by candidate, the highest bounds first.
+
+    As soon as a bound is below the best ratio so far, none of the candidate's rows that
+    are left can win, so most ratios are never worked out.
+    """
+
+    def best(batches):
+        kept: dict[str, SequenceMatcher] = {}
+        now, top, row = object(), above, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.id != now:
+                    if row is not None:
+                        out.append((*row, top))
+                    now, top, row = r.id, above, None
+                if r.bound < top or (row is None and r.bound <= above):
+                    continue
+                ratio = name_ratio(kept, r.l_name, r.r_name)
+                if ratio > top or (row is not None and ratio == top and r.pos < row[1]):
+                    top, row = ratio, (r.id, r.pos, r.truth_name, r.cases)
+            yield pd.DataFrame(out, columns=["id", "pos", "truth_name", "cases", "score"])
+        if row is not None:
+            yield pd.DataFrame([(*row, top)], columns=["id", "pos", "truth_name", "cases", "score"])
+
+    return best
 
 
 def match_ground_truth(cands: DataFrame, truth: DataFrame, above: float = 0.70) -> DataFrame:
     """Best record of the same constituency for each candidate, or none.
 
     cands (id, name, constituency), truth (pos, name, constituency, cases).  Blocking
-    is on pairs of distinct constituencies of which one contains the other; each
-    record meets only its block, and the ratio is worked out only where the lengths
-    leave room for it.  Ties keep the first record.
+    is on pairs of distinct constituencies of which one contains the other.  What a pair
+    can reach at most follows from its letters, in the engine; pairs that can reach the
+    threshold are dealt by candidate, so a large seat is spread over all tasks, and
+    each candidate's are tried from the highest bound down until none can win.  Ties
+    keep the first record.
     """
-    left = cands.select("id", N.normalize_name("name").alias("l_name"), N.normalize_constituency("constituency").alias("l_seat"))
+    spark = cands.sparkSession
+    left = cands.where("id is not null").select("id", N.normalize_name("name").alias("l_name"), N.normalize_constituency("constituency").alias("l_seat"))
     right = truth.select("pos", F.col("name").alias("truth_name"), N.normalize_name("name").alias("r_name"), N.normalize_constituency("constituency").alias("r_seat"), "cases")
     seats = left.select("l_seat").where("l_seat <> ''").distinct()
     pairs = containment_pairs(seats, "l_seat", right.select("r_seat").distinct(), "r_seat")
-    blocked = left.join(pairs, "l_seat").join(right, "r_seat").where(ratio_bound(F.col("l_name"), F.col("r_name")) > above)
-    scored = blocked.withColumn("score", name_ratio("l_name", "r_name")).where(F.col("score") > above)
-    best = first_by(scored, ["id"], F.desc("score"), F.asc("pos")).select("id", "pos", "truth_name", "cases", F.round("score", 3).alias("score"))
-    return cands.join(best, "id", "left")
+    blocked = left.withColumn("l_count", letter_counts(F.col("l_name"))).join(pairs, "l_seat").join(right.withColumn("r_count", letter_counts(F.col("r_name"))), "r_seat")
+    open_ = blocked.select("id", "l_name", "r_name", "pos", "truth_name", "cases", ratio_bound(F.col("l_count"), F.col("r_count")).alias("bound")).where(F.col("bound") > above)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = open_.repartition(parts, "id").sortWithinPartitions("id", F.desc("bound"), "pos")
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    best = dealt.mapInPandas(_best_first(above), ", ".join(f"{c} {kinds[c]}" for c in ("id", "pos", "truth_name", "cases")) + ", score double")
+    return cands.join(best.withColumn("score", F.round("score", 3)), "id", "left")
 
 
 def link_results(cands: DataFrame, results: DataFrame) -> DataFrame:
@@ -139,9 +195,10 @@ def unmatched(linked: DataFrame, cands: DataFrame) -> DataFrame:
 
 
 def attach_previous(cands: DataFrame, previous: DataFrame, year: int) -> DataFrame:
-    """The former winner of each candidate's contest, and whether it is the same person.
+    """The former winner and runner-up of each candidate's contest, and whether the winner is the same person.
 
-    Two shared words of the cleaned names make the same person.
+    cands (contest, name), previous (contest, winner_name, winner_party, winner_votes, margin and, if it is there,
+    runner_up_name, runner_up_party, runner_up_votes).  Two shared words of the cleaned names make the same person.
     """
 
     def words(c: str) -> Column:
@@ -149,16 +206,11 @@ def attach_previous(cands: DataFrame, previous: DataFrame, year: int) -> DataFra
         text = F.regexp_replace(F.lower(F.regexp_replace(text, r"\(.*?\)|@.*$", "")), r"[^a-z0-9\s]", "")
         return F.array_distinct(F.array_remove(F.split(F.trim(text), r"\s+"), ""))
 
-    former = previous.select(
-        "contest",
-        F.col("winner_name").alias("former_raw"),
-        N.title_case("winner_name").alias("former_name"),
-        N.party_short("winner_party").alias("former_party"),
-        F.col("winner_votes").alias("former_votes"),
-        F.col("margin").alias("former_margin"),
-        F.lit(year).alias("former_year"),
-    )
-    joined = cands.join(former, "contest", "left")
+    former = {"former_raw": F.col("winner_name"), "former_margin": F.col("margin"), "former_year": F.lit(year)}
+    for role, out in (("winner", "former"), ("runner_up", "former_runner_up")):
+        if f"{role}_name" in previous.columns:
+            former |= {f"{out}_name": N.title_case(f"{role}_name"), f"{out}_party": N.party_short(f"{role}_party"), f"{out}_votes": F.col(f"{role}_votes")}
+    joined = cands.join(previous.select("contest", *(c.alias(n) for n, c in former.items())), "contest", "left")
     again = F.coalesce(F.size(F.array_intersect(words("name"), words("former_raw"))) >= 2, F.lit(False))
     return joined.withColumn("reelected", again).drop("former_raw")
 
@@ -217,56 +269,85 @@ def link_files(files: DataFrame, cands: DataFrame) -> DataFrame:
     """
     left = files.select("file", F.lower(F.regexp_replace("file", r"\.pdf$", "")).alias("f"))
     right = cands.select("id", "pos", N.clean_key("name").alias("k")).where("k <> ''")
-    keyed = first_by(right, ["k"], F.desc("pos"))
-    exact = left.join(keyed.select("id", "k"), F.col("f") == F.col("k")).select("file", "id", F.lit("exact").alias("how"))
+    # A key's last candidate answers to it exactly, its first one by containment.
+    keyed = right.groupBy("k").agg(F.max_by("id", "pos").alias("last"), F.min_by("id", "pos").alias("id"), F.min("pos").alias("pos"))
+    exact = left.join(keyed.select("last", "k"), F.col("f") == F.col("k")).select("file", F.col("last").alias("id"), F.lit("exact").alias("how"))
     rest = left.join(exact, "file", "left_anti")
-    loose = containment_pairs(rest, "f", right, "k")
-    return exact.union(first_by(loose, ["file"], F.asc("pos")).select("file", "id", F.lit("contained").alias("how")))
+    loose = containment_pairs(rest, "f", keyed.select("id", "pos", "k"), "k")
+    return exact.union(loose.groupBy("file").agg(F.min_by("id", "pos").alias("id"), F.lit("contained").alias("how")))
 
 
 #: Words of a filing row that are no part of a name (fixed values).
-FILING_WORDS = frozenset(
-    "party accepted telugu desam janasena independent congress yuvajana sramika rythu andhra pradesh national secular bharatiya janatha bahujan samaj status".split()
-)
-
-
-def _token_score(target: list[str], row: list[str]) -> tuple[float, int]:
-    if not len(target) or not len(row):
-        return 0.0, 0
-    row_set, taken, hits = set(row), set(), 0
-    for t in sorted(target, key=lambda w: (-len(w), w)):
-        if t in row_set:
-            hits += 1
-            taken.add(t)
-            continue
-        initial = next((r for r in sorted(row_set) if r not in taken and ((len(r) == 1 and t.startswith(r)) or (len(t) == 1 and r.startswith(t)))), None)
-        if initial:
-            hits += 1
-            taken.add(initial)
-    return hits / len(target) * 100, sum(1 for r in row_set - taken if len(r) > 3 and r not in FILING_WORDS)
-
-
-@pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("left", T.LongType())]))
-def token_score(target: pd.Series, row: pd.Series) -> pd.DataFrame:
-    """Share of a name's words that a row has (also as initials), and the row's long words
-    that the name hasn't.  Words are tried longest first, then by letter; the reference
-    order of ties is not defined."""
-    return pd.DataFrame([_token_score(list(t), list(r)) for t, r in zip(target, row, strict=True)], columns=["score", "left"])
+FILING_WORDS = (
+    "party", "accepted", "telugu", "desam", "janasena", "independent", "congress", "yuvajana", "sramika", "rythu",
+    "andhra", "pradesh", "national", "secular", "bharatiya", "janatha", "bahujan", "samaj", "status",
+)
+
+
+def by_length(words: Column) -> Column:
+    """Words, the longest first, equal lengths by letter."""
+    keyed = F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.transform(keyed, lambda x: x["w"])
+
+
+def token_score(target: Column, row: Column) -> Column:
+    """(score, left): percent of a name's words that a row has, and the row's long words that the name hasn't.
+
+    Words are given away one by one, those of the name longest first (equal lengths by
+    letter; the original order of ties is not defined): a word takes its equal, else the
+    first one still free of which one is the initial of the other.  No words, no score.
+    """
+
+    def give(state: Column, word: Column) -> Column:
+        short = lambda w: ((F.length(w) == 1) & F.startswith(word, w)) | ((F.length(word) == 1) & F.startswith(w, word))
+        taken = F.when(F.array_contains(row, word), word).otherwise(F.get(F.filter(state["free"], short), F.lit(0)))
+        return F.struct(
+            (state["hits"] + taken.isNotNull().cast("int")).alias("hits"),
+            F.when(taken.isNull(), state["free"]).otherwise(F.array_remove(state["free"], F.coalesce(taken, F.lit("")))).alias("free"),
+        )
+
+    given = F.aggregate(by_length(target), F.struct(F.lit(0).alias("hits"), F.array_sort(row).alias("free")), give)
+    foreign = lambda w: (F.length(w) > 3) & ~w.isin(*FILING_WORDS)
+    none = (F.size(target) == 0) | (F.size(row) == 0)
+    return let(given, lambda g: F.struct(
+        F.when(none, F.lit(0.0)).otherwise(g["hits"] / F.size(target) * 100).alias("score"),
+        F.when(none, F.lit(0)).otherwise(F.size(F.filter(g["free"], foreign))).alias("left"),
+    ))
 
 
 #: What a party's name holds in filings (fixed values).
 FILING_PARTY = {"tdp": ("telugu desam",), "ysrcp": ("yuvajana", "ysr"), "bjp": ("bharatiya janata",), "jsp": ("janasena",), "inc": ("indian national congress",)}
 
 
+def _first_shared(asked: Column, held: Column, key: Column) -> Column:
+    """Whether ``key`` is the first of ``asked`` that ``held`` has: so pairs that share several meet once."""
+    return F.get(F.filter(asked, lambda k: F.array_contains(held, k)), F.lit(0)) == key
+
+
 def link_filings(rows: DataFrame, cands: DataFrame) -> DataFrame:
-    """Filing rows (seat, pos, name_line, party_line, status) to candidates (id, name, alias, seat, party)."""
+    """Filing rows (seat, pos, name_line, party_line, status) to candidates (id, name, alias, seat, party).
+
+    Half of a name's words have to be in a row, so one of any half (and one more) is:
+    rows and names of a seat meet by those words only, as they stand or as initials, and
+    not each with each.
+    """
     squash = lambda c: F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\(.*?\)", ""), "[^a-zA-Z0-9]", ""))
-    blocked = (
+    first = lambda w: F.substring(w, 1, 1)
+    initial, starts = (lambda c: F.concat(F.lit("~"), c)), (lambda c: F.concat(F.lit("^"), c))
+    listed = (
         rows.where(~F.lower(F.coalesce("status", F.lit(""))).rlike("rejected|withdrawn"))
         .select("seat", "pos", N.name_tokens("name_line").alias("row_words"), F.lower("party_line").alias("p_row"))
-        .join(cands.select("id", "seat", F.explode(F.array_compact(F.array("name", "alias"))).alias("who"), F.col("party").alias("p")), "seat")
+        .withColumn("held", F.array_distinct(F.concat("row_words", F.transform(F.filter("row_words", lambda w: F.length(w) == 1), initial), F.transform("row_words", lambda w: starts(first(w))))))
+        .withColumn("key", F.explode("held"))
     )
-    fits = blocked.withColumn("s", token_score(N.name_tokens("who"), "row_words")).where("s.score >= 50 and s.left = 0")
+    wanted = (
+        cands.select("id", "seat", F.explode(F.array_compact(F.array("name", "alias"))).alias("who"), F.col("party").alias("p")).withColumn("words", N.name_tokens("who"))
+        .withColumn("probe", F.slice(by_length(F.col("words")), F.lit(1), F.floor(F.size("words") / 2).cast("int") + 1))
+        .withColumn("asked", F.array_distinct(F.flatten(F.transform("probe", lambda w: F.concat(F.array(w, initial(first(w))), F.when(F.length(w) == 1, F.array(starts(w))).otherwise(F.array().cast("array<string>")))))))
+        .withColumn("key", F.explode("asked"))
+    )
+    met = listed.join(wanted, ["seat", "key"]).where(_first_shared(F.col("asked"), F.col("held"), F.col("key")))
+    fits = met.withColumn("s", token_score(F.col("words"), F.col("row_words"))).where("s.score >= 50 and s.left = 0")
     party = fits.withColumn("ps", token_score(N.name_tokens("p"), N.name_tokens("p_row")))
     known = F.lit(False)
     for code, signs in FILING_PARTY.items():
@@ -274,15 +355,15 @@ def link_filings(rows: DataFrame, cands: DataFrame) -> DataFrame:
     same = ((F.col("ps.score") >= 50) & (F.col("ps.left") == 0)) | F.contains(squash(F.col("p_row")), squash(F.col("p"))) | known
     look_alike = F.contains(squash(F.col("p_row")), F.lit("jatiyajanasena")) & ~F.contains(squash(F.col("p")), F.lit("jatiya"))
     accepted = party.where(F.col("p_row").isNull() | (same & ~look_alike))
-    return first_by(accepted, ["id"], F.asc("pos")).select("id", "seat", "pos", F.col("s.score").alias("score"))
+    return first_by(accepted, ["id"], F.asc("pos"), F.desc("s.score")).select("id", "seat", "pos", F.col("s.score").alias("score"))
 
 
 def link_filings_weak(rows: DataFrame, cands: DataFrame) -> DataFrame:
-    """One shared word of the name and the party's code in the party line will do."""
-    blocked = rows.select("seat", "pos", N.name_tokens("name_line").alias("a"), F.lower("party_line").alias("p_row")).join(
-        cands.select("id", "seat", N.name_tokens("name").alias("b"), F.lower("party").alias("p")), "seat"
-    )
-    return first_by(blocked.where(F.arrays_overlap("a", "b") & F.contains("p_row", F.col("p"))), ["id"], F.asc("pos")).select("id", "seat", "pos")
+    """One shared word of the name and the party's code in the party line will do; joined by seat and word."""
+    listed = rows.select("seat", "pos", N.name_tokens("name_line").alias("a"), F.lower("party_line").alias("p_row")).withColumn("key", F.explode("a"))
+    wanted = cands.select("id", "seat", N.name_tokens("name").alias("b"), F.lower("party").alias("p")).withColumn("key", F.explode("b"))
+    met = listed.join(wanted, ["seat", "key"]).where(F.contains("p_row", F.col("p")))
+    return met.groupBy("id").agg(F.min(F.struct("pos", "seat")).alias("first")).select("id", "first.seat", "first.pos")
 
 
 def verify_identity(docs: DataFrame, cands: DataFrame) -> DataFrame:
@@ -305,7 +386,9 @@ def verify_identity(docs: DataFrame, cands: DataFrame) -> DataFrame:
 def closest_option(keys: DataFrame, options: DataFrame) -> DataFrame:
     """Of the options that hold a key or are held by it, the nearest in length."""
     clean = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"\(.*?\)", ""), "[^a-zA-Z0-9]", ""))
-    left, right = keys.select("key", clean(F.col("key")).alias("k")), options.select("pos", "option", clean(F.col("option")).alias("o"))
+    left = keys.select("key", clean(F.col("key")).alias("k"))
+    # Of options that read alike only the first can be the answer.
+    right = options.groupBy(clean(F.col("option")).alias("o")).agg(F.min_by("option", "pos").alias("option"), F.min("pos").alias("pos"))
     pairs = containment_pairs(left, "k", right, "o")
     return pairs.groupBy("key").agg(F.min_by("option", F.struct(F.abs(F.length("o") - F.length("k")), F.col("pos"))).alias("option"))
 
@@ -326,12 +409,13 @@ def lookup_seat(labels: DataFrame, cands: DataFrame) -> DataFrame:
     bare = lambda c: F.trim(F.regexp_replace(F.upper(c), r"\s*\((?:SC|ST)\)\s*", ""))
     left = labels.select("label", F.upper(F.trim("label")).alias("u"), bare(F.col("label")).alias("b"))
     right = cands.select("id", "pos", F.upper(F.trim("constituency")).alias("cu"), bare(F.col("constituency")).alias("cb"))
-    joins = ((F.col("u") == F.col("cu")), (F.col("b") == F.col("cu")), (F.col("u") == F.col("cb")), (F.col("b") == F.col("cb")))
-    hits = [left.join(right, on).select("label", "id", F.lit(k).alias("rule"), "pos") for k, on in enumerate(joins)]
+    # The first candidate of each seat, so that a seat is one row in the joins, whatever it holds.
+    firsts = {c: right.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("seat")).agg(F.min(F.struct("pos", "id")).alias("first")) for c in ("cu", "cb")}
+    hits = [left.join(firsts[c], F.col(l) == F.col("seat")).select("label", F.lit(k).alias("rule"), "first.pos", "first.id") for k, (l, c) in enumerate((("u", "cu"), ("b", "cu"), ("u", "cb"), ("b", "cb")))]
     every = hits[0]
     for h in hits[1:]:
         every = every.union(h)
-    return first_by(every, ["label"], F.asc("rule"), F.asc("pos")).select("label", "id")
+    return every.groupBy("label").agg(F.min(F.struct("rule", "pos", "id")).alias("first")).select("label", "first.id")
 
 
 def report_context(reports: DataFrame, cands: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hustings.functions import articles as A
@@ -38,6 +38,44 @@ def merge_news(old: DataFrame, fresh: DataFrame, refreshed: DataFrame) -> DataFr
     return old.join(small(refreshed.select("candidate_id").distinct()), "candidate_id", "left_anti").unionByName(fresh.join(small(refreshed.select("candidate_id").distinct()), "candidate_id", "left_semi"))
 
 
+#: Folders into which candidates' articles are dealt.
+BUCKETS = 64
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("candidate_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def write_news(items: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """M1: articles in folders by candidate, each with a blank row, so that one without articles is a folder too."""
+    spark = items.sparkSession
+    kept = items.withColumn("bucket", _bucket(buckets))
+    blank = spark.range(buckets).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in items.schema), F.col("id").cast("int").alias("bucket"))
+    kept.unionByName(blank).repartition(F.col("bucket")).write.partitionBy("bucket").parquet(path)
+
+
+def read_news(spark: SparkSession, path: str) -> DataFrame:
+    """Articles that ``write_news`` and ``refresh_news`` have written."""
+    return spark.read.parquet(path).where("candidate_id is not null").drop("bucket")
+
+
+def refresh_news(fresh: DataFrame, refreshed: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """M1 in place: articles of candidates that were fetched (``refreshed``) are replaced by their fresh ones, also by none.
+
+    Only the folders of refreshed candidates are read and written (dynamic overwrite);
+    all others keep their files.  The folders are replaced when all are written, so
+    readers see either state of one, and a job that fails changes nothing.
+    """
+    spark = fresh.sparkSession
+    ids = refreshed.select("candidate_id").where("candidate_id is not null").distinct()
+    touched = [r.bucket for r in ids.select(_bucket(buckets)).distinct().collect()]  # at most as many as folders
+    stored = spark.read.parquet(path)
+    old = stored.where(F.col("bucket").isin(touched))
+    stay = old.join(small(ids), "candidate_id", "left_anti")
+    new = fresh.join(small(ids), "candidate_id", "left_semi").withColumn("bucket", _bucket(buckets)).select(*stored.columns)
+    stay.select(*stored.columns).unionByName(new).repartition(F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def party_feed(news: DataFrame, cands: DataFrame, parties: list[str]) -> DataFrame:
     """M2: articles of the parties' members, the first of each link; blank links all stay.
 
@@ -80,12 +118,40 @@ def relevance(items: DataFrame, cands: DataFrame) -> DataFrame:
 
 
 def discover(items: DataFrame, cands: DataFrame) -> DataFrame:
-    """J21 the other way: candidates of whose name a word of four letters or more stands in an article.
+    """J21 the other way: (item_id, candidate_id) of articles in which a word of four letters or more of a name stands.
+
+    items (item_id, title, snippet), cands (candidate_id, name).  Articles are reduced to
+    words of names first, once each; what a common word brings after that is part of the
+    result, and its share of the join is split up at run time.
+    """
+    return named_words(items, cands).join(_name_words(cands), "word").select("item_id", "candidate_id").distinct()
+
+
+def _name_words(cands: DataFrame) -> DataFrame:
+    who = F.regexp_replace(F.coalesce("name", F.lit("")), r"\s+[sSwWdD]/[oO]\s+.*$", "")
+    words = F.array_distinct(F.filter(F.split(F.lower(who), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
+    return cands.select("candidate_id", F.explode(words).alias("word")).distinct()
+
+
+def named_words(items: DataFrame, cands: DataFrame) -> DataFrame:
+    """(item_id, word): words of names in articles, once each."""
+    text = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "snippet")), "[^a-z0-9_]+"))
+    return items.select("item_id", F.explode(text).alias("word")).join(_name_words(cands).select("word").distinct(), "word", "left_semi").distinct()
+
+
+def discover_full_names(items: DataFrame, cands: DataFrame) -> DataFrame:
+    """J21, strictly: (item_id, candidate_id, words) of articles that hold all words (four letters or more) of a name.
 
-    Both sides are spread out by word and joined; what a common word brings is part of
-    the result, and its share of the join is split up at run time.
+    Each name is looked up by that of its words that the fewest articles hold; the
+    others are checked where it is found.  So no article meets a candidate by a common
+    word, unless the name has no other.  ``item_id`` has to tell articles apart.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
-    own = cands.select("candidate_id", F.explode(words).alias("word"))
     text = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "snippet")), "[^a-z0-9_]+"))
-    return items.select("item_id", F.explode(text).alias("word")).join(own, "word").select("item_id", "candidate_id").distinct()
+    own = _name_words(cands)
+    read = items.select("item_id", text.alias("held"))
+    spread = read.select("item_id", F.explode("held").alias("word"))
+    counts = spread.join(own.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    by_name = own.join(counts, "word", "left").groupBy("candidate_id").agg(F.collect_set("word").alias("words"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word"))).alias("rarest"))
+    anchored = by_name.where("rarest.n > 0").select("candidate_id", "words", F.col("rarest.word").alias("word"))
+    hits = spread.join(anchored, "word").select("item_id", "candidate_id", "words")
+    return hits.join(read, "item_id").where(F.size(F.array_except("words", "held")) == 0).select("item_id", "candidate_id", F.size("words").alias("words"))

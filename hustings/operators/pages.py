@@ -23,8 +23,8 @@ ANCHORS = {
 }
 _TOTAL = r"(?i)(?:total\s+(?:number\s+of\s+|no\.?\s+of\s+)?|number\s+of\s+|no\.?\s+of\s+)"
 TOTALS = {
-    "stated_pending": _TOTAL + r"pending\s+criminal\s+cases?\s*[:\-]?\s*([0-9]{1,9})",
-    "stated_convictions": _TOTAL + r"(?:cases?\s+of\s+conviction|convict(?:ed|ion)\s+cases?)\s*[:\-]?\s*([0-9]{1,9})",
+    "stated_pending": _TOTAL + r"pending\s+criminal\s+cases?\s*[:\-]?\s*([0-9]+)",
+    "stated_convictions": _TOTAL + r"(?:cases?\s+of\s+conviction|convict(?:ed|ion)\s+cases?)\s*[:\-]?\s*([0-9]+)",
 }
 #: References, table rows and headers on a page (fixed patterns).
 QUALIFIED = r"(?i)(?:cr(?:ime)?\.?\s*n?o?\.?|f\.?i\.?r\.?\s*n?o?\.?|case\s*no\.?)\s*[:.]?\s*[0-9]{1,5}\s*(?:/|of)\s*(?:19|20)?[0-9]{2}"
@@ -67,7 +67,7 @@ def page_flags(pages: DataFrame) -> DataFrame:
     """Which anchors a page holds, and the totals it states."""
     text = F.col("text")
     hit = {name: _may(name) & text.rlike(pattern) for name, pattern in ANCHORS.items()}
-    stated = {name: F.when(_may(name), F.regexp_extract(text, pattern, 1)).try_cast("int") for name, pattern in TOTALS.items()}
+    stated = {name: F.when(_may(name), F.regexp_extract(text, pattern, 1)).try_cast("long") for name, pattern in TOTALS.items()}
     return _lowered(pages).withColumns({**hit, **stated}).drop("__low")
 
 

@@ -216,7 +216,7 @@ _LOOSE6 = r"(?i)have\s+not\s+been\s+convicted|convicted\s+for\s+the\s+offences|(
 _BARE = r"\b[0-9]{1,5}\s*/\s*(?:19|20)[0-9]{2}\b"
 _INDEX = f"""{PAGES}, f AS (SELECT doc, page, method, {_hit(pages.ANCHORS['s5_strict'])} AS a5, {_hit(pages.ANCHORS['s5_loose'])} AS b5, {_hit(pages.ANCHORS['s6_strict'])} AS a6, {_hit(_LOOSE6)} AS b6,
   {_hit(pages.ANCHORS['s7_strict'])} AS a7, {_hit(pages.ANCHORS['s7_loose'])} AS b7,
-  try_cast(nullif(regexp_extract(text, '{pages.TOTALS['stated_pending']}', 1), '') AS INTEGER) AS sp, try_cast(nullif(regexp_extract(text, '{pages.TOTALS['stated_convictions']}', 1), '') AS INTEGER) AS sc,
+  try_cast(nullif(regexp_extract(text, '{pages.TOTALS['stated_pending']}', 1), '') AS BIGINT) AS sp, try_cast(nullif(regexp_extract(text, '{pages.TOTALS['stated_convictions']}', 1), '') AS BIGINT) AS sc,
   list_distinct(list_transform(list_concat({_all(pages.QUALIFIED)}, {_all(_BARE)}), lambda x : regexp_replace(x, '\\s+', '', 'g'))) AS firs,
   list_filter(list_distinct(list_transform({_all(pages.CASE_HEADER, 1)}, lambda x : CAST(x AS INTEGER))), lambda x : x BETWEEN 1 AND 200) AS heads,
   len(regexp_split_to_array(nullif(regexp_extract(text, '{pages.TOP_ROW}', 1), ''), '\\W+')) AS top, list_distinct(list_transform({_all(pages.ROW_LETTER, 1)}, lambda x : lower(x))) AS letters,

@@ -74,11 +74,11 @@ SEATS = 60
 
 def _filings(spark, sf_dir):
     """Filing rows and candidates of one seat: names in other order, as initials, with words too many."""
-    p = folk(spark, sf_dir).where("id <= 6000").withColumn("seat", F.concat(F.lit("S"), (F.col("id") % SEATS).cast("string")))
+    p = folk(spark, sf_dir).withColumn("seat", F.concat(F.lit("S"), (F.col("id") % SEATS).cast("string")))
     line = F.when(F.col("id") % 3 == 0, F.concat(F.col("name"), F.lit(" Longword"))).when(F.col("id") % 3 == 1, F.regexp_replace("name", r"(\w)\w+ (\w+)$", "$1 $2")).otherwise(F.col("name"))
     said = F.when(F.col("id") % 4 != 0, F.concat(F.lit("Party : "), F.coalesce("party", F.lit("none"))))
     rows = p.select("seat", "pos", line.alias("name_line"), said.alias("party_line"), _pick(("accepted", "Rejected", "accepted", "withdrawn by own", ""), "id").alias("status"))
-    cands = p.where("id <= 600").select("id", "name", F.when(F.col("id") % 5 == 0, "Gil").alias("alias"), "seat", "party")
+    cands = p.select("id", "name", F.when(F.col("id") % 5 == 0, "Gil").alias("alias"), "seat", "party")
     return rows, cands
 
 
@@ -163,6 +163,19 @@ def _schooling() -> str:
 
 _PERSON = r"trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(coalesce({}, ''), '\(.*?\)', '', 'g'), '(?i)\b(" + _TITLES + r"|m.a|b.a|b.ed|p.hd|notary|adv)\b', '', 'g'), '[^a-zA-Z\s]', '', 'g')), '\s+', ' ', 'g'))"
 
+_SET = "list_sort(list_distinct(" + _WORDS + "))"
+_SQUASH = r"lower(regexp_replace(regexp_replace(coalesce({}, ''), '\(.*?\)', '', 'g'), '[^a-zA-Z0-9]', '', 'g'))"
+_FOREIGN = f"len(list_filter(g.free, lambda x : length(x) > 3 AND x NOT IN {linkage.FILING_WORDS}))"
+
+
+def _given(target: str, row: str) -> str:
+    """Words of a name given away one by one: how many were, and which of the row are free."""
+    fits = "list_filter(a.free, lambda r : (length(r) = 1 AND starts_with(x.w, r)) OR (length(x.w) = 1 AND starts_with(r, x.w)))[1]"
+    words = f"list_transform(list_sort(list_transform({target}, lambda v : {{'n': -length(v), 'w': v}})), lambda v : {{'h': 0, 'free': []::VARCHAR[], 'w': v.w}})"
+    return f"""list_reduce(list_prepend({{'h': 0, 'free': {row}, 'w': ''}}, {words}), lambda a, x : {{'h': a.h + CASE WHEN list_contains({row}, x.w) OR {fits} IS NOT NULL THEN 1 ELSE 0 END,
+  'free': CASE WHEN list_contains({row}, x.w) THEN list_filter(a.free, lambda y : y <> x.w) ELSE list_filter(a.free, lambda y : y IS DISTINCT FROM {fits}) END, 'w': ''}})"""
+
+
 ORACLES = {
     "n21_model_answers": r"""WITH o AS (SELECT o_orderkey AS k, o_custkey % 30 AS page, '{"fir_no":"' || (o_orderkey % 90) || '/2020","description":"d","sections":"' || o_orderpriority || '","confidence":0.' || (60 + o_orderkey % 20) || '}' AS one FROM orders),
 b AS (SELECT k, page, CASE WHEN k % 7 = 0 THEN '{"pending":null,"convictions":[' || one || ']}' ELSE '{"pending":[' || one || ',{"description":""},{"fir_no":"","description":"only words"}],"convictions":[]}' END AS body FROM o),
@@ -188,10 +201,24 @@ u AS (SELECT *, CASE WHEN abs(d) < 60 THEN 1 WHEN abs(d) < 3600 THEN 60 WHEN abs
 SELECT event_id, CAST(floor(d / s + 0.5) AS BIGINT) AS amount, CASE s WHEN 1 THEN 'second' WHEN 60 THEN 'minute' WHEN 3600 THEN 'hour' WHEN 86400 THEN 'day' WHEN 604800 THEN 'week' WHEN 2592000 THEN 'month' ELSE 'year' END AS unit, -d > 7200 AS stale FROM u""",
     "f7_review_queue": """WITH c AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'convictions' ELSE 'pending' END AS bucket, l_linenumber AS n, l_partkey || '/2021' AS fir_no, l_suppkey % 3 = 0 AS review FROM lineitem),
 p AS (SELECT *, row_number() OVER (PARTITION BY id, bucket ORDER BY n, fir_no, review) - 1 AS pos FROM c) SELECT id, bucket, pos, fir_no FROM p WHERE review""",
-    "j13_filings_weak": rf"""WITH {FOLK}, p AS (SELECT *, id % {SEATS} AS seat FROM folk WHERE id <= 6000),
+    "j13_filings_weak": rf"""WITH {FOLK}, p AS (SELECT *, id % {SEATS} AS seat FROM folk),
 r AS (SELECT seat, id AS pos, CASE id % 3 WHEN 0 THEN name || ' Longword' WHEN 1 THEN regexp_replace(name, '(\w)\w+ (\w+)$', '\1 \2') ELSE name END AS line, CASE WHEN id % 4 <> 0 THEN lower('Party : ' || coalesce(party, 'none')) END AS said FROM p),
-a AS (SELECT seat, pos, said, {_WORDS.format('line')} AS a FROM r), c AS (SELECT id, seat, lower(party) AS party, {_WORDS.format('name')} AS b FROM p WHERE id <= 600)
+a AS (SELECT seat, pos, said, {_WORDS.format('line')} AS a FROM r), c AS (SELECT id, seat, lower(party) AS party, {_WORDS.format('name')} AS b FROM p)
 SELECT id, 'S' || c.seat AS seat, min(pos) AS pos FROM a JOIN c ON a.seat = c.seat WHERE list_has_any(a, b) AND contains(said, party) GROUP BY id, c.seat""",
+    "j12_filings": rf"""WITH {FOLK}, p AS (SELECT *, 'S' || (id % {SEATS}) AS seat FROM folk),
+r AS (SELECT seat, id AS pos, CASE id % 3 WHEN 0 THEN name || ' Longword' WHEN 1 THEN regexp_replace(name, '(\w)\w+ (\w+)$', '\1 \2') ELSE name END AS line, CASE WHEN id % 4 <> 0 THEN lower('Party : ' || coalesce(party, 'none')) END AS said,
+  ['accepted', 'Rejected', 'accepted', 'withdrawn by own', ''][id % 5 + 1] AS status FROM p),
+a AS (SELECT seat, pos, said, {_SET.format('line')} AS own, {_SET.format('said')} AS side FROM r WHERE NOT regexp_matches(lower(status), 'rejected|withdrawn')),
+c AS (SELECT id, seat, party, {_SET.format('party')} AS code, unnest(list_filter([name, CASE WHEN id % 5 = 0 THEN 'Gil' END], lambda x : x IS NOT NULL)) AS who FROM p),
+w AS (SELECT *, {_SET.format('who')} AS ws FROM c),
+m AS (SELECT id, w.seat, pos, party, said, ws, own, code, side, {_given('ws', 'own')} AS g FROM w JOIN a ON a.seat = w.seat),
+f AS (SELECT *, g.h / len(ws) * 100 AS score FROM m WHERE len(ws) > 0 AND len(own) > 0 AND g.h / len(ws) * 100 >= 50 AND {_FOREIGN} = 0),
+q AS (SELECT * REPLACE (CASE WHEN said IS NOT NULL AND len(code) > 0 AND len(side) > 0 THEN {_given('code', 'side')} END AS g), {_SQUASH.format('said')} AS sq, {_SQUASH.format('party')} AS pq FROM f),
+k AS (SELECT * FROM q WHERE said IS NULL OR ((coalesce(g.h / len(code) * 100 >= 50 AND {_FOREIGN} = 0, false) OR contains(sq, pq)
+    OR (pq = 'tdp' AND contains(said, 'telugu desam')) OR (pq = 'ysrcp' AND (contains(said, 'yuvajana') OR contains(said, 'ysr'))) OR (pq = 'bjp' AND contains(said, 'bharatiya janata'))
+    OR (pq = 'jsp' AND contains(said, 'janasena')) OR (pq = 'inc' AND contains(said, 'indian national congress')))
+  AND NOT (contains(sq, 'jatiyajanasena') AND NOT contains(pq, 'jatiya')))),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos, score DESC) AS nth FROM k) SELECT id, seat, pos, score FROM n WHERE nth = 1""",
     "j14_identity": rf"""WITH {FOLK}, d AS (SELECT o_custkey AS key, min_by({_at(DEPONENTS, f'(o_orderkey % {len(DEPONENTS)})')}, o_orderkey) AS text FROM orders GROUP BY 1),
 j AS (SELECT key, {_PERSON.format('text')} AS t, list_distinct(list_filter(string_split({_PERSON.format('name')}, ' '), lambda w : w <> '')) AS ws FROM d JOIN folk ON id = key),
 s AS (SELECT *, list_filter(regexp_split_to_array(coalesce(nullif(coalesce(nullif(regexp_extract(t, '^(i|l)\s+([a-z\s]{{3,100}}?)\s+(son|daughter|wife|slo|dlo|wlo)\s+of', 2), ''), regexp_extract(t, 'deponent\s+([a-z\s]{{3,100}})', 1)), ''), ''), '\s+'), lambda w : w <> '') AS said FROM j),

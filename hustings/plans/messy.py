@@ -17,6 +17,13 @@ NAMES = (
     "  Gil\tHart  ", "LEE", "Quill|Bel D/O Quill", "Dr Dr. Ivo K.R. Ames", "अशा Verran",
 )
 SEATS = ("Northvale (SC)", "NORTHVALE", " south  vale (ST) ", "Southvale(SC) East", "Eastmere", "East", "", "Westmere (x) (y)")
+#: Parts of which hundreds of further names and seats are made.
+TITLE, GIVEN, FAMILY = ("", "Dr. ", "SRI ", "Smt ", "Adv. ", "Late Hon ", "Mr. "), (
+    "Asha", "BEL", "Cor-Anne", "Emil", "Ivo", "m.", "Gil", "Fen", "Tarn", "Lee", "Oda", "Pell", "Quin", "Rhea", "Sun", "Tova", "Uli",
+), ("Verran", "Quill", "O'Dell", "Ruiz", "Hart", "Ames", "Tarn", "LEE", "Northcote", "Vale", "K. Rao", "Marsh", "Stone")
+TAIL = ("", " S/O Old Verran", " (alias Bello)", " @ Corrie", ", B.A", "", " W/o Ames", "", " junior")
+SIDE, PLACE = ("North", "SOUTH", "east", "West", "Upper", "New "), ("vale", "mere", "field", "ford", "bridge", " Hill", "marsh", "ham", "stead", "port", "wick")
+SUFFIX = ("", " (SC)", " (ST)", "(SC) East", " rural", "", " (x)")
 PARTIES = ("Telugu Desam", "Bharatiya Janata Party", "Independent", "Some Front", "INC", "Janasena Party", "")
 
 
@@ -31,8 +38,10 @@ def _pick(values, by, step: int = 1):
 def folk(spark, sf_dir):
     """People with untidy names, seats and parties, some of them missing."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
+    name = F.when(F.col("id") % 2 == 0, _pick(NAMES, "id", 2)).otherwise(F.concat(_pick(TITLE, "id", 3), _pick(GIVEN, "id", 2), F.lit(" "), _pick(FAMILY, "id", 5), _pick(TAIL, "id")))
+    seat = F.when(F.col("id") % 3 == 0, _pick(SEATS, "id", 5)).otherwise(F.concat(_pick(SIDE, "id"), _pick(PLACE, "id", 7), _pick(SUFFIX, "id", 2)))
     return c.select(
-        "id", F.col("id").alias("pos"), F.when(F.col("id") % 29 != 0, _pick(NAMES, "id")).alias("name"), F.when(F.col("id") % 31 != 0, _pick(SEATS, "id", 5)).alias("constituency"),
+        "id", F.col("id").alias("pos"), F.when(F.col("id") % 29 != 0, name).alias("name"), F.when(F.col("id") % 31 != 0, seat).alias("constituency"),
         F.when(F.col("id") % 23 != 0, _pick(PARTIES, "id", 3)).alias("party"),
     )
 
@@ -41,9 +50,14 @@ def _at(values, expr: str) -> str:
     return f"{_sql_list(values)}[{expr} + 1]"
 
 
-FOLK = f"""folk AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 29 <> 0 THEN {_at(NAMES, f'(c_custkey % {len(NAMES)})')} END AS name,
-  CASE WHEN c_custkey % 31 <> 0 THEN {_at(SEATS, f'((c_custkey // 5) % {len(SEATS)})')} END AS constituency,
-  CASE WHEN c_custkey % 23 <> 0 THEN {_at(PARTIES, f'((c_custkey // 3) % {len(PARTIES)})')} END AS party FROM customer)"""
+def _nth(values, step: int = 1) -> str:
+    return _at(values, f"((c_custkey // {step}) % {len(values)})")
+
+
+FOLK = f"""folk AS (SELECT c_custkey AS id,
+  CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN {_nth(NAMES, 2)} ELSE {_nth(TITLE, 3)} || {_nth(GIVEN, 2)} || ' ' || {_nth(FAMILY, 5)} || {_nth(TAIL)} END AS name,
+  CASE WHEN c_custkey % 31 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN {_nth(SEATS, 5)} ELSE {_nth(SIDE)} || {_nth(PLACE, 7)} || {_nth(SUFFIX, 2)} END AS constituency,
+  CASE WHEN c_custkey % 23 <> 0 THEN {_nth(PARTIES, 3)} END AS party FROM customer)"""
 
 
 def n_names_untidy(spark, sf_dir):
@@ -84,13 +98,13 @@ def j11_files_by_containment(spark, sf_dir):
     p = folk(spark, sf_dir).where("name is not null")
     key = N.clean_key("name")
     name = F.when(F.col("id") % 3 == 0, key).when(F.col("id") % 3 == 1, F.concat(F.lit("scan_"), key, F.lit("_2"))).otherwise(F.substring(key, 2, 6))
-    files = p.where("id % 4 = 0").select(F.concat(name, F.lit(".pdf")).alias("file")).distinct()
+    files = p.where("id % 4 = 1").select(F.concat(name, F.lit(".pdf")).alias("file")).distinct()
     return linkage.link_files(files, p.where("id % 5 <> 0"))
 
 
 def j15_closest_seat(spark, sf_dir):
     p = folk(spark, sf_dir).where("constituency is not null")
-    options = p.where("id <= 200").select("pos", F.concat("constituency", F.when(F.col("id") % 3 == 0, " (SC)").when(F.col("id") % 3 == 1, " rural").otherwise("")).alias("option"))
+    options = p.select("pos", F.concat("constituency", F.when(F.col("id") % 3 == 0, " (SC)").when(F.col("id") % 3 == 1, " rural").otherwise("")).alias("option"))
     return linkage.closest_option(p.select(F.col("constituency").alias("key")).distinct(), options)
 
 
@@ -102,7 +116,7 @@ def j16_files_not_stored(spark, sf_dir):
 
 def j18_labels(spark, sf_dir):
     p = folk(spark, sf_dir)
-    labels = p.where("id <= 400 and constituency is not null").select(F.upper("constituency").alias("label")).distinct()
+    labels = p.where("constituency is not null").select(F.upper("constituency").alias("label")).distinct()
     return linkage.lookup_seat(labels, p.where("constituency is not null"))
 
 
@@ -278,18 +292,18 @@ SELECT id FROM t WHERE contains(t, 'roads') AND contains(t, 'verran') AND contai
 SELECT id FROM mins, q WHERE contains(lower(coalesce(name, '')), q) OR contains(lower(coalesce(constituency, '')), q) OR contains(lower(coalesce(party, '')), q)
   OR len(list_filter(coalesce(ministries, []), lambda m : contains(lower(m), q))) > 0""",
     "j11_files_by_containment": f"""WITH {FOLK}, k AS (SELECT id, {_KEY} AS k FROM folk WHERE name IS NOT NULL), c AS (SELECT * FROM k WHERE id % 5 <> 0 AND k <> ''),
-f AS (SELECT DISTINCT CASE id % 3 WHEN 0 THEN k WHEN 1 THEN 'scan_' || k || '_2' ELSE substr(k, 2, 6) END AS f FROM k WHERE id % 4 = 0),
+f AS (SELECT DISTINCT CASE id % 3 WHEN 0 THEN k WHEN 1 THEN 'scan_' || k || '_2' ELSE substr(k, 2, 6) END AS f FROM k WHERE id % 4 = 1),
 e AS (SELECT f, max(id) AS id FROM f JOIN c ON f = k GROUP BY f),
 l AS (SELECT f, min(id) AS id FROM f JOIN c ON contains(f, k) OR contains(k, f) WHERE f NOT IN (SELECT f FROM e) GROUP BY f)
 SELECT f || '.pdf' AS file, id, 'exact' AS how FROM e UNION ALL SELECT f || '.pdf', id, 'contained' FROM l""",
     "j15_closest_seat": f"""WITH {FOLK}, k AS (SELECT DISTINCT constituency AS key, {_PLAIN.format('constituency')} AS k FROM folk WHERE constituency IS NOT NULL),
-o AS (SELECT id, option, {_PLAIN.format('option')} AS o FROM (SELECT id, constituency || CASE id % 3 WHEN 0 THEN ' (SC)' WHEN 1 THEN ' rural' ELSE '' END AS option FROM folk WHERE constituency IS NOT NULL AND id <= 200)),
+o AS (SELECT id, option, {_PLAIN.format('option')} AS o FROM (SELECT id, constituency || CASE id % 3 WHEN 0 THEN ' (SC)' WHEN 1 THEN ' rural' ELSE '' END AS option FROM folk WHERE constituency IS NOT NULL)),
 r AS (SELECT key, option, row_number() OVER (PARTITION BY key ORDER BY abs(length(o) - length(k)), id) AS nth FROM k JOIN o ON contains(o, k) OR contains(k, o))
 SELECT key, option FROM r WHERE nth = 1""",
     "j16_files_not_stored": rf"""WITH {FOLK}, k AS (SELECT *, lower(regexp_replace(name, '[^\p{{L}}\p{{N}}]', '_', 'g')) AS k FROM folk)
 SELECT id, name FROM k WHERE k IS NULL OR k NOT IN (SELECT k FROM k WHERE id % 2 = 0 AND k IS NOT NULL)""",
     "j18_labels": f"""WITH {FOLK}, s AS (SELECT id, upper(trim(constituency)) AS cu, {_BARE.format('constituency')} AS cb FROM folk WHERE constituency IS NOT NULL),
-l AS (SELECT label, upper(trim(label)) AS u, {_BARE.format('label')} AS b FROM (SELECT DISTINCT upper(constituency) AS label FROM folk WHERE id <= 400 AND constituency IS NOT NULL)),
+l AS (SELECT label, upper(trim(label)) AS u, {_BARE.format('label')} AS b FROM (SELECT DISTINCT upper(constituency) AS label FROM folk WHERE constituency IS NOT NULL)),
 h AS (SELECT label, id, CASE WHEN u = cu THEN 0 WHEN b = cu THEN 1 WHEN u = cb THEN 2 ELSE 3 END AS rule FROM l JOIN s ON u = cu OR b = cu OR u = cb OR b = cb)
 SELECT label, id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY rule, id) AS nth FROM h) WHERE nth = 1""",
     "j21_relevance_untidy": rf"""WITH {FOLK}, a AS (SELECT event_id AS pos, user_id AS id, ['Verran speaks on water', 'people of northvale wait', 'the TELUGU DESAM says', 'nothing at all', 'Quill_Bel and asha', 'Ames, Tarn; Hart!'][event_id % 6 + 1] AS title,

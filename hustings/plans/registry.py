@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that have QUERIES and ORACLES.
-MODULES = ["contests", "people", "facts", "feeds", "more", "messy", "intake", "filings"]
+MODULES = ["contests", "people", "facts", "feeds", "more", "messy", "intake", "filings", "deeper"]
 
 
 def queries():

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hustings.operators.linkage import first_by
+from hustings.sources.shared import shared_folder
 
 CASE = "struct<fir_no:string,description:string,sections:string,page:int,method:string,raw_text:string,category:string,confidence:double,needs_review:boolean>"
 CANDIDATES = (
@@ -23,14 +23,8 @@ FAILURES = "id int, name string, reason string, timestamp string"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        folder = tempfile.gettempdir()
-    return f"{folder}/hustings-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/hustings-{uuid.uuid4().hex}"
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -63,9 +57,13 @@ def read_electors_csv(spark: SparkSession, path: str, year: int) -> DataFrame:
 
 
 def consolidate_failures(spark: SparkSession, path: str) -> DataFrame:
-    """The last failure of each id of an append log; malformed lines go."""
+    """The last failure of each id of an append log; malformed lines go.
+
+    Of failures of one time the last by name and then by reason stays.
+    """
     log = spark.read.schema(FAILURES).json(path, mode="DROPMALFORMED").where("id is not null")
-    return log.groupBy("id").agg(F.max_by(F.struct("name", "reason", "timestamp"), "timestamp").alias("last")).select("id", "last.*")
+    last = log.groupBy("id").agg(F.max(F.struct("timestamp", "name", "reason")).alias("last"))
+    return last.select("id", "last.name", "last.reason", "last.timestamp")
 
 
 ITEM = "title string, link string, description string, pubDate string, source struct<_VALUE:string,_url:string>"

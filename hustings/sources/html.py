@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hustings.functions.numbers import to_float, to_int
@@ -63,29 +64,52 @@ class _Tables(HTMLParser):
                 top["cell"].append(data.strip())
 
 
-def _rows(html: str | None):
+def _tables(html: str | None):
+    """(caption, rows of cells) of each table in order; caption None where there is none."""
     parser = _Tables()
     parser.feed(html or "")
     parser.close()
-    for t, table in enumerate(parser.tables):
+    for table in parser.tables:
         caption = None if table["caption"] is None else " ".join(table["caption"])
-        if caption and not table["rows"]:
-            yield t, caption, -1, []  # a caption alone says something too
-        for r, row in enumerate(table["rows"]):
-            yield t, caption, r, [" ".join(" ".join(c).split()) for c in row]
+        yield caption, [[" ".join(" ".join(c).split()) for c in row] for row in table["rows"]]
 
 
 def table_cells(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """All table rows of all pages: page_id, table, caption, row, cells."""
 
+    def rows_of(html):
+        for t, (caption, rows) in enumerate(_tables(html)):
+            if caption and not rows:
+                yield t, caption, -1, []  # a caption alone says something too
+            for r, row in enumerate(rows):
+                yield t, caption, r, row
+
     def parse(batches):
         for pdf in batches:
-            out = [(i, *x) for i, html in zip(pdf["id"], pdf["html"], strict=True) for x in _rows(html)]
+            out = [(i, *x) for i, html in zip(pdf["id"], pdf["html"], strict=True) for x in rows_of(html)]
             yield pd.DataFrame(out, columns=["page_id", "table", "caption", "row", "cells"])
 
     return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(parse, "page_id long, table int, caption string, row int, cells array<string>")
 
 
+def chosen_tables(pages: DataFrame, wanted, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
+    """The first table of each page for which ``wanted`` (caption, rows) gives the row above its content:
+    (page_id, caption, head, rows below).  Pages without one go; only this table leaves the task."""
+
+    def parse(batches):
+        for pdf in batches:
+            out = []
+            for i, html in zip(pdf["id"], pdf["html"], strict=True):
+                for caption, rows in _tables(html):
+                    head = wanted(caption, rows)
+                    if head is not None:
+                        out.append((i, caption, head, rows[head + 1 :]))
+                        break
+            yield pd.DataFrame(out, columns=["page_id", "caption", "head", "rows"])
+
+    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(parse, "page_id long, caption string, head int, rows array<array<string>>")
+
+
 def html_table_rows(pages: DataFrame, header_words, min_cells: int, header_anywhere: bool = False, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """Rows below the header of the first table whose header row holds all words.
 
@@ -93,18 +117,17 @@ def html_table_rows(pages: DataFrame, header_words, min_cells: int, header_anywh
     (``header_anywhere``); rows with fewer cells go, and with ``header_anywhere`` rows
     without party and votes too.
     """
-    cells = table_cells(pages, html_col, id_col)
-    text = F.array_join("cells", " | ")
-    is_header = F.lit(True) if header_anywhere else F.col("row") == 0
-    for w in header_words:
-        is_header = is_header & F.contains(text, F.lit(w))
-    page = Window.partitionBy("page_id")
-    head = F.min(F.when(is_header, F.struct("table", "row"))).over(page)
-    below = cells.withColumn("head", head).where((F.col("table") == F.col("head.table")) & (F.col("row") > F.col("head.row")) & (F.size("cells") >= min_cells))
+    words = tuple(header_words)
+
+    def header(_, rows):
+        return next((r for r, row in enumerate(rows if header_anywhere else rows[:1]) if all(w in " | ".join(row) for w in words)), None)
+
+    chosen = chosen_tables(pages, header, html_col, id_col).select("page_id", "head", F.posexplode("rows").alias("at", "cells"))
+    below = chosen.where(F.size("cells") >= min_cells)
     if header_anywhere:
         blank = (F.coalesce(F.get("cells", F.lit(2)), F.lit("")) == "") & (to_int(F.get("cells", F.lit(5)), 0) == 0)
         below = below.where(~blank)
-    return below.select("page_id", "row", "cells")
+    return below.select("page_id", (F.col("head") + 1 + F.col("at")).alias("row"), "cells")
 
 
 def vote_rows(rows: DataFrame) -> DataFrame:
@@ -122,28 +145,28 @@ VOTE_LABELS = ("turnout", "total votes polled", "votes polled", "total valid vot
 
 
 def labelled_table_facts(pages: DataFrame, caption_pattern: str, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """Electors, votes, percent of the first table whose caption matches.
+    """Electors, votes, percent of the first table whose caption matches (``re.search``).
 
     Electors are the last whole number of the first row with such a label, else the
     number in brackets that ends the caption; votes are the first whole number, the
     percent the first decimal from 0 to 100.
     """
-    cells = table_cells(pages, html_col, id_col).where(F.col("caption").rlike(caption_pattern))
-    first = Window.partitionBy("page_id")
-    own = cells.withColumn("__t", F.min("table").over(first)).where(F.col("table") == F.col("__t"))
-    label = F.lower(F.array_join(F.slice("cells", 1, 3), " "))
-    ints = F.array_compact(F.transform("cells", lambda c: to_int(c)))
-    decimals = F.filter(F.transform(F.filter("cells", lambda c: F.contains(c, F.lit("."))), lambda c: to_float(c)), lambda x: x.between(0, 100))
-    has = lambda labels: F.coalesce(*(F.when(F.contains(label, F.lit(w)), w) for w in labels))
-    rows = own.select("page_id", "caption", "row", has(ELECTOR_LABELS).alias("e"), has(VOTE_LABELS).alias("v"), ints.alias("ints"), decimals.alias("decimals"))
-    some = F.size("ints") > 0
-    pick = lambda c, on: F.min_by(c, F.when(on, F.col("row")))
-    facts = rows.groupBy("page_id").agg(
-        F.first("caption").alias("caption"),
-        pick(F.try_element_at("ints", F.lit(-1)), F.col("e").isNotNull() & some).alias("in_row"),
-        pick(F.get("ints", F.lit(0)), F.col("v").isNotNull() & some).alias("votes"),
-        pick(F.col("v"), F.col("v").isNotNull() & some).alias("votes_source"),
-        pick(F.get("decimals", F.lit(0)), F.col("v").isNotNull() & (F.size("decimals") > 0)).alias("percent"),
-    )
+    pattern = re.compile(caption_pattern)
+    own = chosen_tables(pages, lambda caption, rows: -1 if caption and pattern.search(caption) else None, html_col, id_col)
+
+    def facts(cells: Column) -> Column:
+        label = F.lower(F.array_join(F.slice(cells, 1, 3), " "))
+        has = lambda labels: F.coalesce(*(F.when(F.contains(label, F.lit(w)), w) for w in labels))
+        decimals = F.filter(F.transform(F.filter(cells, lambda c: F.contains(c, F.lit("."))), lambda c: to_float(c)), lambda x: x.between(0, 100))
+        return F.struct(has(ELECTOR_LABELS).alias("e"), has(VOTE_LABELS).alias("v"), F.array_compact(F.transform(cells, lambda c: to_int(c))).alias("ints"), decimals.alias("decimals"))
+
+    first = lambda on: F.get(F.filter("facts", on), F.lit(0))
+    rows = own.select("page_id", "caption", F.transform("rows", facts).alias("facts")).select(
+        "page_id", "caption", first(lambda x: x["e"].isNotNull() & (F.size(x["ints"]) > 0)).alias("electors_row"),
+        first(lambda x: x["v"].isNotNull() & (F.size(x["ints"]) > 0)).alias("votes_row"), first(lambda x: x["v"].isNotNull() & (F.size(x["decimals"]) > 0)).alias("percent_row"),
+    )
     in_caption = to_int(F.nullif(F.regexp_extract("caption", r"\(([0-9,]+)\)\s*$", 1), F.lit("")))
-    return facts.withColumn("electors", F.coalesce("in_row", in_caption)).drop("in_row")
+    return rows.select(
+        "page_id", "caption", F.get("votes_row.ints", F.lit(0)).alias("votes"), F.col("votes_row.v").alias("votes_source"), F.get("percent_row.decimals", F.lit(0)).alias("percent"),
+        F.coalesce(F.try_element_at("electors_row.ints", F.lit(-1)), in_caption).alias("electors"),
+    )

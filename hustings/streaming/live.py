@@ -11,38 +11,76 @@ from hustings.operators.engagement import REACTIONS
 from hustings.sources.files import FAILURES
 
 
-class ToggleFold(StatefulProcessor):
-    """R1 as a stream: keeps a user's reaction to an item; emits what each click changes.
+def _folded(start: str | None, clicks) -> str | None:
+    """The reaction after ``clicks`` in order: the same one again clears it, another one replaces it."""
+    for reaction in clicks:
+        start = None if reaction == start else reaction
+    return start
+
 
-    Clicks of a batch are taken in order of time and event id.
+class ToggleFold(StatefulProcessor):
+    """R1 as a stream: what a user's reaction to an item changes in its counters, also by late clicks.
+
+    Clicks count in order of time and event id, in whatever order they come: those that
+    the watermark hasn't passed are kept, and each batch folds them anew behind the
+    reaction that older ones have left.  What the outcome differs from the last one told
+    is told, so counters are right after every batch.  A timer at the oldest kept click
+    wakes the state once the watermark passes it; then it joins what is settled, and a
+    state that neither waits nor reacts is forgotten.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "reaction string")
+        self.handle = handle
+        self.base = handle.getValueState("base", "reaction string, told string")
+        self.open = handle.getListState("open", "ts long, event_id long, reaction string")
+
+    def _state(self):
+        base, told = self.base.get() if self.base.exists() else (None, None)
+        return base, told, sorted(tuple(x) for x in self.open.get()) if self.open.exists() else []
+
+    def _settle(self, base, told, clicks, watermark: int) -> None:
+        """Clicks up to the watermark (milliseconds) join the base; the others wait."""
+        done = [c for c in clicks if c[0] // 1000 < watermark]
+        base, waiting = _folded(base, [c[2] for c in done]), clicks[len(done) :]
+        for at in self.handle.listTimers():
+            self.handle.deleteTimer(at)
+        if waiting:
+            self.open.put(waiting)
+            self.handle.registerTimer(waiting[0][0] // 1000 + 1)
+        else:
+            self.open.clear()
+        if waiting or base is not None or told is not None:
+            self.base.update((base, told))
+        else:
+            self.base.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        clicks = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        now = self.now.get()[0] if self.now.exists() else None
-        out = []
-        for event, reaction in zip(clicks["event_id"], clicks["reaction"], strict=True):
-            new = None if reaction == now else reaction
-            out.append([key[0], key[1], int(event), *(int(new == r) - int(now == r) for r in REACTIONS)])
-            now = new
-        if now is None:
-            self.now.clear()
-        else:
-            self.now.update((now,))
-        yield pd.DataFrame(out, columns=["uid", "item_id", "event_id", *REACTIONS])
+        base, told, clicks = self._state()
+        for pdf in rows:
+            stamps = pdf["ts"].astype("datetime64[us]").astype("int64")
+            clicks += zip(map(int, stamps), map(int, pdf["event_id"]), pdf["reaction"], strict=True)
+        clicks.sort()
+        now = _folded(base, [c[2] for c in clicks])
+        self._settle(base, now, clicks, timerValues.getCurrentWatermarkInMs())
+        if now != told:
+            yield pd.DataFrame([[*key, *(int(now == r) - int(told == r) for r in REACTIONS)]], columns=["uid", "item_id", *REACTIONS])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._settle(*self._state(), timerValues.getCurrentWatermarkInMs())
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def live_deltas(events: DataFrame) -> DataFrame:
-    """Counter deltas of a stream of clicks (event_id, uid, item_id, reaction, ts)."""
-    schema = "uid string, item_id string, event_id long, " + ", ".join(f"{r} int" for r in REACTIONS)
-    known = events.where(F.col("reaction").isin(*REACTIONS))
-    return known.groupBy("uid", "item_id").transformWithStateInPandas(ToggleFold(), schema, "Append", "None")
+def live_deltas(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """What each batch of clicks (event_id, uid, item_id, reaction, ts) changes in the counters.
+
+    Clicks may come up to ``late`` after newer ones; later ones are left out.
+    """
+    schema = "uid string, item_id string, " + ", ".join(f"{r} int" for r in REACTIONS)
+    known = events.where(F.col("reaction").isin(*REACTIONS)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return known.groupBy("uid", "item_id").transformWithStateInPandas(ToggleFold(), schema, "Append", "EventTime")
 
 
 def live_counts(deltas: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hustings.functions import names as N
@@ -22,6 +22,11 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work that is heavy for its bytes, where partitions must not be put together by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def first_by(df: DataFrame, keys, *order, only: Column | None = None) -> DataFrame:
     """The first row of each key in the given order, of those for which ``only`` holds."""
     first = df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1")
@@ -73,15 +78,17 @@ KEPT_NAMES = 5000
 
 
 def letter_counts(c: Column) -> Column:
-    """How often each of ``LETTERS`` stands in a text, and last how many other characters."""
-    own = F.array(*(F.length(c) - F.length(F.replace(c, F.lit(x))) for x in LETTERS))
-    return F.concat(own, F.array(F.length(c) - F.aggregate(own, F.lit(0), lambda n, x: n + x)))
+    """How often each of ``LETTERS`` stands in a text, how many other characters, and all (a struct of numbers, so that sums of them are compiled)."""
+    own = [F.length(c) - F.length(F.replace(c, F.lit(x))) for x in LETTERS]
+    return F.struct(*(n.alias(f"n{k}") for k, n in enumerate(own)), (F.length(c) - sum(own[1:], own[0])).alias("other"), F.length(c).alias("all"))
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
     """No ratio is above twice the letters (``letter_counts``) that two texts have in common over all letters."""
-    total = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x)
-    return 2 * total(F.zip_with(a, b, lambda x, y: F.least(x, y))) / F.nullif(total(a) + total(b), F.lit(0))
+    common = F.least(a["other"], b["other"])
+    for k in range(len(LETTERS)):
+        common = common + F.least(a[f"n{k}"], b[f"n{k}"])
+    return 2 * common / F.nullif(a["all"] + b["all"], F.lit(0))
 
 
 def name_ratio(kept: dict, a: str, b: str) -> float:
@@ -138,10 +145,10 @@ def match_ground_truth(cands: DataFrame, truth: DataFrame, above: float = 0.70)
     right = truth.select("pos", F.col("name").alias("truth_name"), N.normalize_name("name").alias("r_name"), N.normalize_constituency("constituency").alias("r_seat"), "cases")
     seats = left.select("l_seat").where("l_seat <> ''").distinct()
     pairs = containment_pairs(seats, "l_seat", right.select("r_seat").distinct(), "r_seat")
-    blocked = left.withColumn("l_count", letter_counts(F.col("l_name"))).join(pairs, "l_seat").join(right.withColumn("r_count", letter_counts(F.col("r_name"))), "r_seat")
+    # Dealt by candidate beforehand: where the other side is small enough to be sent, this is what the tasks of the join are.
+    blocked = left.repartition(tasks(spark), "id").withColumn("l_count", letter_counts(F.col("l_name"))).join(small(pairs), "l_seat").join(small(right.withColumn("r_count", letter_counts(F.col("r_name")))), "r_seat")
     open_ = blocked.select("id", "l_name", "r_name", "pos", "truth_name", "cases", ratio_bound(F.col("l_count"), F.col("r_count")).alias("bound")).where(F.col("bound") > above)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = open_.repartition(parts, "id").sortWithinPartitions("id", F.desc("bound"), "pos")
+    dealt = open_.repartition(tasks(spark), "id").sortWithinPartitions("id", F.desc("bound"), "pos")
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
     best = dealt.mapInPandas(_best_first(above), ", ".join(f"{c} {kinds[c]}" for c in ("id", "pos", "truth_name", "cases")) + ", score double")
     return cands.join(best.withColumn("score", F.round("score", 3)), "id", "left")
@@ -337,17 +344,23 @@ def link_filings(rows: DataFrame, cands: DataFrame) -> DataFrame:
     listed = (
         rows.where(~F.lower(F.coalesce("status", F.lit(""))).rlike("rejected|withdrawn"))
         .select("seat", "pos", N.name_tokens("name_line").alias("row_words"), F.lower("party_line").alias("p_row"))
+        .groupBy("seat", "row_words", "p_row").agg(F.min("pos").alias("pos"))  # of equal rows the first wins
+        .withColumn("long", F.filter("row_words", lambda w: (F.length(w) > 3) & ~w.isin(*FILING_WORDS)))
         .withColumn("held", F.array_distinct(F.concat("row_words", F.transform(F.filter("row_words", lambda w: F.length(w) == 1), initial), F.transform("row_words", lambda w: starts(first(w))))))
         .withColumn("key", F.explode("held"))
     )
     wanted = (
         cands.select("id", "seat", F.explode(F.array_compact(F.array("name", "alias"))).alias("who"), F.col("party").alias("p")).withColumn("words", N.name_tokens("who"))
+        .withColumn("initials", F.size(F.filter("words", lambda w: F.length(w) == 1)))
         .withColumn("probe", F.slice(by_length(F.col("words")), F.lit(1), F.floor(F.size("words") / 2).cast("int") + 1))
         .withColumn("asked", F.array_distinct(F.flatten(F.transform("probe", lambda w: F.concat(F.array(w, initial(first(w))), F.when(F.length(w) == 1, F.array(starts(w))).otherwise(F.array().cast("array<string>")))))))
         .withColumn("key", F.explode("asked"))
+        .repartition(tasks(cands.sparkSession), "id", "key")
     )
-    met = listed.join(wanted, ["seat", "key"]).where(_first_shared(F.col("asked"), F.col("held"), F.col("key")))
-    fits = met.withColumn("s", token_score(F.col("words"), F.col("row_words"))).where("s.score >= 50 and s.left = 0")
+    # Long words of a row are left over unless the name has them, or an initial for each.
+    could = F.size(F.array_except("long", "words")) <= F.col("initials")
+    met = listed.join(wanted, ["seat", "key"]).where(could & _first_shared(F.col("asked"), F.col("held"), F.col("key"))).drop("held", "asked", "probe", "long", "key")
+    fits = met.repartition(tasks(cands.sparkSession), "id", "pos").withColumn("s", token_score(F.col("words"), F.col("row_words"))).where("s.score >= 50 and s.left = 0")
     party = fits.withColumn("ps", token_score(N.name_tokens("p"), N.name_tokens("p_row")))
     known = F.lit(False)
     for code, signs in FILING_PARTY.items():

@@ -146,12 +146,14 @@ def discover_full_names(items: DataFrame, cands: DataFrame) -> DataFrame:
     others are checked where it is found.  So no article meets a candidate by a common
     word, unless the name has no other.  ``item_id`` has to tell articles apart.
     """
-    text = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "snippet")), "[^a-z0-9_]+"))
     own = _name_words(cands)
-    read = items.select("item_id", text.alias("held"))
-    spread = read.select("item_id", F.explode("held").alias("word"))
-    counts = spread.join(own.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    text = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "snippet")), "[^a-z0-9_]+"))
+    spread = items.select("item_id", F.explode(text).alias("word")).join(own.select("word").distinct(), "word", "left_semi").distinct()
+    counts = spread.groupBy("word").agg(F.count("*").alias("n"))
     by_name = own.join(counts, "word", "left").groupBy("candidate_id").agg(F.collect_set("word").alias("words"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word"))).alias("rarest"))
-    anchored = by_name.where("rarest.n > 0").select("candidate_id", "words", F.col("rarest.word").alias("word"))
-    hits = spread.join(anchored, "word").select("item_id", "candidate_id", "words")
-    return hits.join(read, "item_id").where(F.size(F.array_except("words", "held")) == 0).select("item_id", "candidate_id", F.size("words").alias("words"))
+    anchored = by_name.where("rarest.n > 0").select("candidate_id", F.size("words").alias("n_words"), F.array_remove(F.col("words"), F.col("rarest.word")).alias("others"), F.col("rarest.word").alias("word"))
+    hits = spread.join(anchored, "word").select("item_id", "candidate_id", "n_words", "others")
+    whole = hits.where("n_words = 1").select("item_id", "candidate_id", "n_words")
+    asked = hits.where("n_words > 1").select("item_id", "candidate_id", "n_words", F.explode("others").alias("word"))
+    met = asked.join(spread, ["item_id", "word"]).groupBy("item_id", "candidate_id").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"))
+    return whole.union(met.where("n = n_words - 1").select("item_id", "candidate_id", "n_words")).withColumnRenamed("n_words", "words")

@@ -44,11 +44,12 @@ def j5_untidy_winners(spark, sf_dir):
 
 
 def _read(spark, sf_dir):
-    """Documents as articles, and people named by words of them: a common one and a rarer one."""
+    """Documents as articles, and people named by four words of each, common and rare ones."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("title"), F.col("source").alias("snippet"))
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9_]+"), lambda w: w.rlike("^[a-z0-9]{4,}$"))
     own = _t(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) > 1")
-    who = own.select(F.col("doc_id").alias("candidate_id"), F.concat(F.lit("Dr "), F.get("w", F.lit(0)), F.lit(" "), F.get("w", F.size("w") - 1), F.lit(" S/O Theirs")).alias("name"))
+    at = lambda k: F.get("w", F.floor((F.size("w") - 1) * k / 3).cast("int"))
+    who = own.select(F.col("doc_id").alias("candidate_id"), F.concat(F.lit("Dr "), F.concat_ws(" ", *(at(k) for k in range(4))), F.lit(" S/O Theirs")).alias("name"))
     return docs, who
 
 
@@ -145,7 +146,7 @@ def _words(c: str) -> str:
 _SHORT = "CASE {0} WHEN 'Telugu Desam' THEN 'TDP' WHEN 'Bharatiya Janata Party' THEN 'BJP' WHEN 'Independent' THEN 'IND' ELSE {0} END"
 _NAMED = r"""it AS (SELECT doc_id AS item_id, regexp_split_to_array(lower(concat_ws(' ', text, source)), '[^a-z0-9_]+') AS held FROM documents),
 ow AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9_]+'), lambda w : regexp_full_match(w, '[a-z0-9]{4,}')) AS w FROM documents),
-wh AS (SELECT doc_id AS candidate_id, list_distinct([w[1], w[-1]]) AS words FROM ow WHERE len(w) > 1),
+wh AS (SELECT doc_id AS candidate_id, list_distinct([w[1 + (len(w) - 1) * 0 // 3], w[1 + (len(w) - 1) * 1 // 3], w[1 + (len(w) - 1) * 2 // 3], w[1 + (len(w) - 1) * 3 // 3]]) AS words FROM ow WHERE len(w) > 1),
 wo AS (SELECT DISTINCT unnest(words) AS word FROM wh), iw AS (SELECT DISTINCT item_id, unnest(held) AS word FROM it)"""
 
 

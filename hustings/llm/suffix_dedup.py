@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm import shingles as S
-from hustings.llm.common import narrow, read, settled, shuffle_parts
+from hustings.llm.common import narrow, read, released, settled, shuffle_parts
 from hustings.llm.suffix_groups import suffix_order
 
 #: Bytes of the seed of a window, then of the longer seeds that split hot groups; the
@@ -132,7 +132,7 @@ def repeated_windows(parts: list[tuple[bytes, int, int]], window: int) -> list[n
     are aligned to it, each block is a symbol, and the suffixes of all contexts in
     one string are sorted.  Neighbours that agree in as many blocks as any window
     must hold form intervals; inside them the windows that end in the blocks' gaps
-    are compared byte by byte, through 64-bit hashes of their whole content.
+    are compared by 64-bit hashes of their whole content.
     """
     need = (window - BLOCK + 1) // BLOCK
     starts, pieces, owner, begin = [], [], [], []
@@ -311,52 +311,103 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
 
 #: Words to a passage, and to the stretches that are sampled of it.
 PASSAGE, STRETCH = 50, 25
-
-
-def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, n_passages: sampled stretches of a text that other documents hold too.
-
-    Passages of more than fifty words may be shorter than the window in which bytes
-    are removed; this tells which documents hold some.  Of each ``PASSAGE`` words in a
-    row the stretch of ``STRETCH`` words with the least hash is sampled, so whatever
-    passage of that length two documents share, they share a sample of it.  Words are
-    lower-cased and split at white space.  Texts without shared samples have no row,
-    nor have null, empty and shorter ones; rows that repeat a text under one id are
-    one document; an empty table gives no rows.
+#: Characters that stand for a word where passages are put in suffix order, and what they are made of.
+CODE = 8
+_DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+
+
+def _codes(h: np.ndarray) -> bytes:
+    """``CODE`` characters for each 64-bit hash, side by side."""
+    shifts = np.arange(CODE, dtype=np.uint64) * np.uint64(6)
+    return _DIGITS[((h[:, None] >> shifts) & np.uint64(63)).astype(np.int64)].tobytes()
+
+
+def _sampled(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the stretches sampled of some texts' words: of each ``PASSAGE`` words in a row that with the least hash."""
+    left = np.searchsorted(text, text, "right") - np.arange(len(words))  # words to the end of the text
+    full = np.flatnonzero(left >= PASSAGE)
+    if not len(full):
+        return full, np.zeros(0, np.uint64)
+    c = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * S.powers(len(words))[0], out=c[1:])
+    h = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
+    begin = np.flatnonzero(left >= STRETCH)
+    h[begin] = S.span_hashes(c, begin, begin + STRETCH)
+    place = np.unique(_least_places(h, PASSAGE - STRETCH + 1)[full])
+    return place, h[place]
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_passages: maximal runs of a text that 50 words in a row cover which also start anywhere else.
+
+    Passages of more than fifty words may be shorter than the window in which bytes are
+    removed; these are they, judged in the same way: overlaps count, and so do repeats
+    inside one text.  Words are lower-cased and split at white space.
+
+    Where no sampled stretch of 25 words (one of each 50 in a row, picked by hash)
+    occurs twice, nothing can repeat.  What lies around the others, up to 50 words from
+    their beginnings, is written with eight characters a word, so that a passage has as
+    many bytes as the window, and goes through ``repeated_spans``: the same seeds and
+    suffix order decide, and nothing but whole passages that are equal counts.
+
+    Texts without repeated passages have no row, nor have null, empty and shorter ones;
+    rows that repeat an id are apart by their text's hash; a very long text is read in
+    one batch; an empty table gives no rows.
     """
     texts = narrow(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
     def sample(batches):
         for batch in batches:
             texts = [t.encode() for t in batch.column(2).to_pylist()]
-            at, found = [], []
+            at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for part in S.chunks(texts):
                 words, text = S.words(texts[part])
-                left = np.searchsorted(text, text, "right") - np.arange(len(words))  # words to the end of the text
-                full = np.flatnonzero(left >= PASSAGE)
-                if not len(full):
-                    continue
-                c = np.zeros(len(words) + 1, np.uint64)
-                np.cumsum(words * S.powers(len(words))[0], out=c[1:])
-                h = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
-                begin = np.flatnonzero(left >= STRETCH)
-                h[begin] = S.span_hashes(c, begin, begin + STRETCH)
-                place = np.unique(_least_places(h, PASSAGE - STRETCH + 1)[full])
+                place, h = _sampled(words, text)
                 at.append(text[place] + part.start)
-                found.append(h[place])
-            rows = pa.array(np.concatenate([np.zeros(0, np.int64), *at]))
-            grams = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams)], ["doc_id", "text_hash", "gram"])
+                found.append(h)
+            rows = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "text_hash", "gram"])
+
+    samples = texts.mapInArrow(sample, "doc_id long, text_hash long, gram long")
+    again = settled(samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    wanted = settled(samples.join(again, "gram", "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("gram").alias("grams")))
+    asked = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
 
-    samples = texts.mapInArrow(sample, "doc_id long, text_hash long, gram long").select("gram", F.struct("doc_id", "text_hash").alias("who"))
-    # Least and greatest holder differ where there are two: partial sums, whatever holds a sample.
-    shared = settled(samples.groupBy("gram").agg(F.min("who").alias("a"), F.max("who").alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("gram"))
-    return samples.join(shared, "gram", "left_semi").groupBy("who").agg(F.count("*").alias("n_passages")).select("who.*", "n_passages")
+    def around(batches):
+        for batch in batches:
+            out = []
+            for doc, text, grams in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                words, owner = S.words([text.encode()])
+                place, h = _sampled(words, owner)
+                place = place[np.isin(h.view(np.int64), np.array(grams, np.int64))]
+                pieces, stop = [], -1
+                for lo, hi in zip(np.maximum(place - (PASSAGE - STRETCH), 0).tolist(), np.minimum(place + PASSAGE, len(words)).tolist(), strict=True):
+                    if lo > stop and pieces:  # no passage runs from one stretch of the text into another
+                        pieces.append(S.mix(np.array([(hash((doc, lo, len(words))) & (1 << 63) - 1) ^ int(words[lo])], np.uint64)))
+                    pieces.append(words[max(lo, stop) : hi])
+                    stop = max(hi, stop)
+                out.append(_codes(np.concatenate([np.zeros(0, np.uint64), *pieces])).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["doc_id", "text_hash", "text"])
+
+    coded = settled(asked.select("doc_id", "text_hash", "text", "grams").mapInArrow(around, "doc_id long, text_hash long, text string"))
+    spans = repeated_spans(coded, PASSAGE * CODE)
+    runs = F.aggregate(
+        F.sort_array("spans"), F.struct(F.lit(0).alias("n"), F.lit(-1).alias("stop")),
+        lambda s, x: F.struct((s["n"] + (x["start"] > s["stop"]).cast("int")).alias("n"), F.greatest(s["stop"], x["stop"]).alias("stop")), lambda s: s["n"],
+    )
+    # The spans name the coded text; rows of one id and coded text are the same stretches of equal words.
+    named = coded.select("doc_id", "text_hash", F.xxhash64("text").alias("coded"))
+    found = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__coded"), runs.cast("long").alias("n_passages"))
+    return named.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("coded") == F.col("__coded"))).select("doc_id", "text_hash", "n_passages").distinct()
 
 
 def query(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = remove_spans(docs, repeated_spans(docs)).select("doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    passages = shared_passages(docs).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n_passages")
+    # Written, so that the contexts can go before the passages are looked for.
+    spans = settled(repeated_spans(docs))
+    released(spark)
+    passages = settled(repeated_passages(docs)).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n_passages")
+    released(spark)
+    kept = remove_spans(docs, spans).select("doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     both = kept.join(passages, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     return both.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))

@@ -337,12 +337,14 @@ def _sampled(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place, h[place]
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_passages: maximal runs of a text that 50 words in a row cover which also start anywhere else.
 
     Passages of more than fifty words may be shorter than the window in which bytes are
     removed; these are they, judged in the same way: overlaps count, and so do repeats
-    inside one text.  Words are lower-cased and split at white space.
+    inside one text.  Words are lower-cased and split at white space.  Only rows that are
+    not ``known`` (doc_id, text_hash: those that lose bytes anyway) are asked about;
+    whatever they share a passage with is looked at in all.
 
     Where no sampled stretch of 25 words (one of each 50 in a row, picked by hash)
     occurs twice, nothing can repeat.  What lies around the others, up to 50 words from
@@ -366,10 +368,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 at.append(text[place] + part.start)
                 found.append(h)
             rows = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "text_hash", "gram"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(found).view(np.int64)), batch.column(3).take(rows)], ["doc_id", "text_hash", "gram", "lost"])
 
-    samples = texts.mapInArrow(sample, "doc_id long, text_hash long, gram long")
-    again = settled(samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    lost = known.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct().withColumn("lost", F.lit(True))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    flagged = texts.join(lost.hint("shuffle_hash"), same, "left").select("doc_id", "text_hash", "text", "lost")
+    samples = settled(flagged.mapInArrow(sample, "doc_id long, text_hash long, gram long, lost boolean"))
+    again = samples.groupBy("gram").agg(F.count("*").alias("n"), F.count("lost").alias("n_lost")).where("n > 1 and n_lost < n").select("gram")
     wanted = settled(samples.join(again, "gram", "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("gram").alias("grams")))
     asked = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
 
@@ -396,7 +401,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         lambda s, x: F.struct((s["n"] + (x["start"] > s["stop"]).cast("int")).alias("n"), F.greatest(s["stop"], x["stop"]).alias("stop")), lambda s: s["n"],
     )
     # The spans name the coded text; rows of one id and coded text are the same stretches of equal words.
-    named = coded.select("doc_id", "text_hash", F.xxhash64("text").alias("coded"))
+    named = coded.join(lost, same, "left_anti").select("doc_id", "text_hash", F.xxhash64("text").alias("coded"))
     found = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__coded"), runs.cast("long").alias("n_passages"))
     return named.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("coded") == F.col("__coded"))).select("doc_id", "text_hash", "n_passages").distinct()
 
@@ -406,7 +411,7 @@ def query(spark, sf_dir):
     # Written, so that the contexts can go before the passages are looked for.
     spans = settled(repeated_spans(docs))
     released(spark)
-    passages = settled(repeated_passages(docs)).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n_passages")
+    passages = settled(repeated_passages(docs, spans)).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n_passages")
     released(spark)
     kept = remove_spans(docs, spans).select("doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     both = kept.join(passages, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")

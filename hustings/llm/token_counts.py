@@ -97,12 +97,19 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     Of all others a task hands on the documents they are in, a row for each pre-token
     of a block of documents.  Dealt and sorted by pre-token, all that belongs to one
     meets in one place, is encoded there once, and goes back to its documents as a
-    product of counts.  Repeated rows count one by one; an empty table gives no rows.
+    product of counts.  Repeated rows count one by one; an empty table gives no rows;
+    a very long text counts whole, its pre-tokens handed on block by block.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    often = [r.token for r in frequent_tokens(docs, text_col).select("token").collect()]
-    head = spark.sparkContext.broadcast(dict(zip(often, count_pieces(processor(model_file), often), strict=True)))
+
+    def encode(batches):
+        for batch in batches:
+            pieces = count_pieces(processor(model_file), batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.int64())], ["token", "pieces"])
+
+    often = frequent_tokens(docs, text_col).select("token").mapInArrow(encode, "token string, pieces long").collect()
+    head = spark.sparkContext.broadcast({r.token: r.pieces for r in often})
 
     def per_document(batches):
         known, codes, held, places, base = head.value, {}, [], [], None

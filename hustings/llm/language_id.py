@@ -137,25 +137,37 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return rows.mapInArrow(guess, f"{kinds}, lang_pred string, score double, margin double, n_grams long")
 
 
-#: A text of this many n-grams or more whose best cosine is lower is in no language that was learned:
-#: on the tables here real texts of that length begin at 0.45, single words said over and over end at 0.3.
-LONG, STRANGE = 200, 0.3
+#: A text of this many n-grams or more is in no language that was learned if its score is below
+#: such a share of what the texts that were held out from learning have in the middle.
+LONG, STRANGE = 200, 0.5
+
+
+def strange_below(found: DataFrame, lang: str, id_col: str = "doc_id") -> float:
+    """The score below which a long text is strange, from the held-out rows of ``found`` (see ``predict``) whose
+    language was found: ``STRANGE`` of their median.  0 if there are none."""
+    known = found.where(held_out(F.col(id_col)) & (F.col("n_grams") >= LONG) & (F.col("lang_pred") == F.col(lang)))
+    middle = known.agg(F.percentile_approx("score", 0.5, 10_000).alias("m")).first().m
+    return STRANGE * (middle or 0.0)
 
 
 def stage(spark, docs, sf_dir):
     """Keep the documents in which a language is found.
 
     Texts without letters go (null and empty ones too), and texts of ``LONG`` n-grams
-    or more that are less than ``STRANGE`` like every language.  Shorter texts stay
-    whatever their score, as a few words are like no prototype.  Rows that repeat a
+    or more that are as strange to every language as ``strange_below`` tells.  Shorter
+    texts stay whatever their score, as a few words are like no prototype.  Very long
+    texts are judged whole.  Rows that repeat a
     document share its fate, an empty table stays empty, columns can have any name.
     If nothing could be learned (no row has a language), all with letters stay.
     """
     model = collect_model(prototypes(docs.where(~held_out(F.col("doc_id")))))
     names = docs.columns
     places = {c: f"c{i}" for i, c in enumerate(names)}
-    found = predict(docs.toDF(*places.values()), model, places["doc_id"], places["text"], *(p for c, p in places.items() if c not in ("doc_id", "text")), with_text=True)
-    strange = (F.col("n_grams") >= LONG) & (F.col("score") < STRANGE)
+    renamed = docs.toDF(*places.values())
+    lang = places["lang"]
+    bound = strange_below(predict(renamed.where(F.col(lang).isNotNull() & held_out(F.col(places["doc_id"]))), model, places["doc_id"], places["text"], lang), lang)
+    found = predict(renamed, model, places["doc_id"], places["text"], *(p for c, p in places.items() if c not in ("doc_id", "text")), with_text=True)
+    strange = (F.col("n_grams") >= LONG) & (F.col("score") < bound)
     kept = found.where((F.col("n_grams") > 0) & ~(strange & F.lit(bool(model[0]))))
     return kept.select(*(F.col(c if c in ("doc_id", "text") else p).alias(c) for c, p in places.items()))
 

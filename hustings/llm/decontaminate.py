@@ -231,7 +231,8 @@ def stage(spark, docs, sf_dir):
     """Documents that hold a benchmark item go; other texts of the same id, or without one, stay.
 
     Null, empty and short texts stay, as do all where the benchmark is empty; rows that
-    repeat a document go or stay together; other columns can have any name.
+    repeat a document go or stay together; very long texts are searched whole; other
+    columns can have any name.
     """
     leaked = _matches(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
     same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (_text_key(F.col("row.text")) == F.col("text_key"))

@@ -330,12 +330,18 @@ FEATURES = (
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Dimensions, thumbnail hash and checksums of what the stored files hold."""
+    """Dimensions, thumbnail hash and checksums of what the stored files hold.
+
+    A null ``media`` has null features; rows that repeat a file have the same ones each;
+    very large files (many frames) are decoded in runs of bounded bytes; an empty table
+    gives no rows.
+    """
 
     def decode_batches(batches):
         for batch in batches:
+            held = batch.column(2).to_pylist()
             rows = []
-            for run in _chunks(batch.column(2).to_pylist(), len):
+            for run in _chunks([m for m in held if m is not None], len):
                 for m, frames in zip(run, thumbnails(run), strict=True):
                     image = frames[0][1] if len(frames) == 1 else np.concatenate([x for _, x in frames])
                     payload = image.tobytes()
@@ -343,6 +349,8 @@ def media_features(media: DataFrame) -> DataFrame:
                         len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(),
                         frames[0][0][0], sum(s[1] for s, _ in frames), f"{average_hash(image):016x}",
                     ))
+            full = iter(rows)
+            rows = [(None,) * 8 if m is None else next(full) for m in held]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], [x.split()[0] for x in FEATURES.split(", ")])

@@ -112,7 +112,8 @@ def stage(spark, docs, sf_dir):
     """Lines that another document holds already go from the text; documents stay.
 
     Null texts become empty, ``n_chars`` follows the text; rows that repeat an id are
-    one document, an empty table stays empty, columns can have any name.
+    one document, very long texts and lines count whole, an empty table stays empty,
+    columns can have any name.
     """
     rows = _applied(docs, keep_bitmaps(docs), "doc_id", "text")
     new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}

@@ -147,6 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
     Union-find inside tasks shrinks the edges to forests; large-star and small-star
     rounds over all edges then join what tasks could not see, until nothing changes,
     which takes as many rounds as the square of the logarithm of the longest chain.
+    Edges that repeat, or lead from an id to itself, change nothing; ids have no null;
+    ids without an edge to another one have no row, and no edges give none.
     """
     stars = settled(edges.select("a", "b").where("a <> b").mapInArrow(_union_find, "a long, b long").distinct())
     before = None
@@ -179,7 +181,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     lost, and no group is spread out into its pairs.  Links are confirmed on the full sets.
 
     Null and empty texts have no shingles and are linked with nothing; a null id is
-    linked with nothing; rows that repeat an id share its component.
+    linked with nothing; rows that repeat an id share its component; a very long text is
+    one set, read whole; an empty table gives no rows.
     """
     texts = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = settled(signatures(texts, n, bands, rows))
@@ -318,7 +321,8 @@ def stage(spark, docs, sf_dir):
     """One document of each group stays, the one with the least id.
 
     Null and empty texts stay, as do rows without an id; of rows that repeat an id
-    that stays all stay; an empty table stays empty; columns can have any name.
+    that stays all stay; very long texts are compared whole; an empty table stays empty;
+    columns can have any name.
     """
     groups = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     rows = boxed(docs)

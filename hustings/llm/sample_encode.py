@@ -439,7 +439,10 @@ def sample_encodings(docs: DataFrame, model_file: str, k: int = SAMPLES, seed: i
     A null or empty text has one segmentation, of no pieces; an empty table gives no
     rows; rows that repeat a document each have their rows, all alike.  A text with fewer than
     ``k`` segmentations gives them all.  A very long text takes time and memory in
-    proportion to its length, also where it is one word.  ``with_text`` adds ``text``, what the ids
+    proportion to its length, also where it is one word.  Branches whose probability is
+    below e^-60 of the largest one's (``ROUNDING``) are left out, as sums in doubles can't
+    tell them from nothing: a sample differs by that with a chance of 1 in 10^24 or so for
+    each such branch.  ``with_text`` adds ``text``, what the ids
     decode to, without a second pass through Python (see ``decode``).
     """
     schema = f"{SCHEMA}, text string" if with_text else SCHEMA

@@ -13,13 +13,15 @@ from hustings.functions.base import let
 from hustings.operators.contests import percent
 
 
-#: Rows of a side up to which it is sent to every task instead of being shuffled.
-SMALL = 200_000
+#: Rows, and bytes of them, up to which a side is sent to every task instead of being shuffled.
+SMALL, SMALL_BYTES = 200_000, 32 << 20
 
 
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """``df`` marked for broadcast if it is proven to have at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for broadcast if it is proven to have at most ``most`` rows of ``SMALL_BYTES`` in all (as JSON)."""
+    row = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    seen = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if seen.n <= most and seen.bytes <= SMALL_BYTES else df
 
 
 def tasks(spark: SparkSession) -> int:

@@ -32,9 +32,8 @@ sg AS (SELECT candidate_id, bucket, pos, fir_no, sections, raw_text, CASE WHEN n
   ELSE substr(regexp_replace(upper(concat(fir_no, sections)), '[^A-Z0-9]+', '', 'g'), 1, 80) END AS signature FROM sig),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, bucket, signature ORDER BY pos) AS nth FROM sg) WHERE nth = 1),
 cl AS (SELECT *, CASE WHEN sections = '' THEN NULL ELSE CAST(regexp_extract(sections, '([0-9]+)', 1) AS INTEGER) END AS num FROM firsts),
-cat AS (SELECT *, CASE WHEN num IN (302,304,307,323,324,325,326,332,354,363,364,365,366,376,379,380,392,395,396,411,452,506) THEN 'Serious/Violent'
-  WHEN num IN (120,406,409,420,467,468,471) THEN 'Corruption & Fraud' WHEN num BETWEEN 171 AND 179 THEN 'Election Offenses'
-  WHEN num IN (143,147,148,149,151,188,283,341,353) THEN 'Political/Protest' ELSE 'Minor/Other' END AS category FROM cl)"""
+cat AS (SELECT *, CASE WHEN num IN """ + str(tuple(C.SERIOUS)) + """ THEN 'Serious/Violent' WHEN num IN """ + str(tuple(C.CORRUPTION)) + """ THEN 'Corruption & Fraud'
+  WHEN num IN """ + str(tuple(C.ELECTION)) + """ THEN 'Election Offenses' WHEN num IN """ + str(tuple(C.POLITICAL)) + """ THEN 'Political/Protest' ELSE 'Minor/Other' END AS category FROM cl)"""
 
 
 def w1_dedupe_cases(spark, sf_dir):
@@ -261,8 +260,7 @@ SELECT doc, count(DISTINCT CAST(n AS INTEGER)) AS style3_count FROM n GROUP BY d
 SELECT *, CASE WHEN abstract_count > 0 THEN abstract_count WHEN style3_count >= 2 AND style3_count > extracted_count THEN style3_count ELSE extracted_count END AS num_criminal_cases,
   CASE WHEN abstract_count > 0 THEN 'stated_total' WHEN style3_count >= 2 AND style3_count > extracted_count THEN 'case_headers' ELSE 'extracted' END AS count_source FROM n""",
     "w9_disclosure": f"""WITH {CASES}, v AS (SELECT *, CASE WHEN sections = '' THEN NULL ELSE CAST(regexp_extract(sections, '([0-9]+)', 1) AS INTEGER) END AS num FROM cases WHERE fir_no <> 'NIL'),
-c AS (SELECT *, CASE WHEN num IN (302,304,307,323,324,325,326,332,354,363,364,365,366,376,379,380,392,395,396,411,452,506) THEN 1
-  WHEN num IN (120,406,409,420,467,468,471) THEN 2 WHEN num BETWEEN 171 AND 179 THEN 3 WHEN num IN (143,147,148,149,151,188,283,341,353) THEN 4 ELSE 5 END AS k FROM v)
+c AS (SELECT *, CASE WHEN num IN {tuple(C.SERIOUS)} THEN 1 WHEN num IN {tuple(C.CORRUPTION)} THEN 2 WHEN num IN {tuple(C.ELECTION)} THEN 3 WHEN num IN {tuple(C.POLITICAL)} THEN 4 ELSE 5 END AS k FROM v)
 SELECT candidate_id, bucket, pos, row_number() OVER (PARTITION BY candidate_id ORDER BY bucket = 'pending' DESC, CASE WHEN bucket = 'pending' THEN k END, pos) AS place FROM c""",
     "a5_validation_summary": f"""WITH {_GAPS} SELECT count(*) AS total, count(diff) AS matched, count(*) FILTER (WHERE diff = 0) AS exact, count(*) FILTER (WHERE abs(diff) <= 2) AS within_2,
   count(*) FILTER (WHERE diff <> 0) AS discrepancies, count(*) FILTER (WHERE diff > 0) AS overcounts, count(*) FILTER (WHERE diff < 0) AS undercounts,

@@ -18,7 +18,7 @@ def _t(spark, sf_dir, name):
 def people(spark, sf_dir):
     """Candidates: decorated customer names, nation names as seats, segments as parties."""
     nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.upper("n_name").alias("seat"))
-    c = _t(spark, sf_dir, "customer").join(F.broadcast(nations), "c_nationkey")
+    c = _t(spark, sf_dir, "customer").join(nations, "c_nationkey")
     return c.select(
         F.col("c_custkey").alias("id"),
         F.col("c_custkey").alias("pos"),
@@ -81,7 +81,7 @@ def n29_contacts(spark, sf_dir):
 
 def j1_ground_truth(spark, sf_dir):
     nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("constituency"))
-    truth = _t(spark, sf_dir, "supplier").join(F.broadcast(nations), "s_nationkey").select(
+    truth = _t(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(
         F.col("s_suppkey").alias("pos"), F.replace("s_name", F.lit("Supplier#"), F.lit("Customer ")).alias("name"), "constituency", (F.col("s_suppkey") % 5).alias("cases")
     )
     return linkage.match_ground_truth(people(spark, sf_dir).select("id", "name", "constituency"), truth)
@@ -89,7 +89,7 @@ def j1_ground_truth(spark, sf_dir):
 
 def _results(spark, sf_dir):
     nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return _t(spark, sf_dir, "supplier").join(F.broadcast(nations), "s_nationkey").select(
+    return _t(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(
         F.col("s_suppkey").alias("contest"), F.concat("n_name", F.lit(" (ST)")).alias("seat"), F.concat(F.lit("Hon "), F.replace("s_name", F.lit("Supplier#000"), F.lit("Customer 000"))).alias("winner")
     )
 
@@ -130,7 +130,7 @@ def j16_missing_files(spark, sf_dir):
 
 
 def j17_districts(spark, sf_dir):
-    nations = _t(spark, sf_dir, "nation").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    nations = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     dim = nations.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("constituency"), F.col("r_name").alias("district"))
     return linkage.attach_district(people(spark, sf_dir), dim).select("id", "district")
 

@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm import shingles as S
-from hustings.llm.common import narrow, read, settled, shuffle_parts
+from hustings.llm.common import narrow, read, released, settled, shuffle_parts
 from hustings.llm.suffix_groups import suffix_order
 
-#: Bytes of the seed of a window, then of the longer seeds that split hot groups; the
-#: last is the window itself, at which every group has one member.
-SEEDS = (128, 264, 332, 400)
-#: Bytes that make one symbol of the sorted string.
-BLOCK = 16
+
+
+class Unit(NamedTuple):
+    """What windows are made of: places that hold ``size`` bytes each."""
+
+    size: int
+    #: Places of the seed of a window, then of the longer seeds that split hot groups; the
+    #: last is the window itself, at which every group has one member.
+    seeds: tuple[int, ...]
+    #: Places that make one symbol of the sorted string.
+    block: int
+
+    def places(self, content: bytes) -> np.ndarray:
+        return np.frombuffer(content, np.uint8 if self.size == 1 else np.uint64)
+
+
+#: Words to a passage, and to the stretches that are sampled of it.
+PASSAGE, STRETCH = 50, 25
+#: Windows of 400 bytes, and of 50 words that are written as a 64-bit hash each.
+BYTES, WORDS = Unit(1, (128, 264, 332, 400), 16), Unit(8, (STRETCH, 33, 41, PASSAGE), 2)
 #: Different contexts of a seed beyond which it is split by longer seeds.
 HOT = 512
 #: Symbols that are sorted as one string.
@@ -54,17 +71,17 @@ def windows_by_seed(data: np.ndarray, window: int, seed: int):
     return h[place[lo]], place[lo], lo, hi, c
 
 
-def _contexts(texts: DataFrame, window: int) -> DataFrame:
+def _contexts(texts: DataFrame, window: int, unit: Unit) -> DataFrame:
     """A row for each run of windows of each text: its place, seed and whole content, hashed."""
 
     def cut(batches):
         for batch in batches:
             row, los, his, seeds, contexts = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                data = np.frombuffer(text.encode(), np.uint8)
+                data = unit.places(text)
                 if len(data) < window:
                     continue
-                seed, place, lo, hi, c = windows_by_seed(data, window, SEEDS[0])
+                seed, place, lo, hi, c = windows_by_seed(data, window, unit.seeds[0])
                 row.append(np.full(len(lo), i))
                 los.append(lo)
                 his.append(hi)
@@ -81,7 +98,7 @@ def _contexts(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _content(c, lo, hi, place, window):
-    """Hash of all bytes of the windows lo..hi, and of where the seed is in them."""
+    """Hash of all that the windows lo..hi hold, and of where the seed is in them."""
     return S.mix(S.span_hashes(c, lo, hi + window) ^ S.mix((place - lo).astype(np.uint64) + S.BASE))
 
 
@@ -106,7 +123,7 @@ def _weighed(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeated, open_rows
 
 
-def _with_bytes(texts: DataFrame, rows: DataFrame, window: int) -> DataFrame:
+def _with_bytes(texts: DataFrame, rows: DataFrame, window: int, unit: Unit) -> DataFrame:
     """``rows`` with ``bytes``, the content of their windows, cut from the texts once."""
     wanted = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("lo", "hi", "seed", "copies", "kinds")).alias("wanted"))
     joined = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
@@ -115,9 +132,8 @@ def _with_bytes(texts: DataFrame, rows: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for doc, mark, text, spans in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                data = text.encode()
                 for s in {(s["lo"], s["hi"], s["seed"], s["copies"], s["kinds"]) for s in spans}:
-                    for column, x in zip(out, (doc, mark, *s, data[s[0] : s[1] + window]), strict=True):
+                    for column, x in zip(out, (doc, mark, *s, text[s[0] * unit.size : (s[1] + window) * unit.size]), strict=True):
                         column.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "text_hash", "lo", "hi", "seed", "copies", "kinds", "bytes"])
@@ -125,7 +141,7 @@ def _with_bytes(texts: DataFrame, rows: DataFrame, window: int) -> DataFrame:
     return joined.select("doc_id", "text_hash", "text", "wanted").mapInArrow(cut, "doc_id long, text_hash long, lo int, hi int, seed long, copies long, kinds long, bytes binary")
 
 
-def repeated_windows(parts: list[tuple[bytes, int, int]], window: int) -> list[np.ndarray]:
+def repeated_windows(parts: list[tuple[bytes, int, int]], window: int, unit: Unit) -> list[np.ndarray]:
     """For contexts (bytes, place of the seed, copies): which of their windows occur again among them.
 
     Equal windows stand alike to their seed, so contexts are cut into blocks that
@@ -134,22 +150,23 @@ def repeated_windows(parts: list[tuple[bytes, int, int]], window: int) -> list[n
     must hold form intervals; inside them the windows that end in the blocks' gaps
     are compared by 64-bit hashes of their whole content.
     """
-    need = (window - BLOCK + 1) // BLOCK
+    width = unit.block
+    need = (window - width + 1) // width
     starts, pieces, owner, begin = [], [], [], []
-    joined = b"".join(p[0] for p in parts)
-    data = np.frombuffer(joined, np.uint8)
+    data = unit.places(b"".join(p[0] for p in parts))
+    size = np.array([len(p[0]) // unit.size for p in parts])
     at = 0
-    for k, (content, place, _) in enumerate(parts):
-        off = place % BLOCK
-        n = (len(content) - off) // BLOCK
+    for k, (length, (_, place, _)) in enumerate(zip(size.tolist(), parts, strict=True)):
+        off = place % width
+        n = (length - off) // width
         starts.append(at)
-        begin.append(at + off + BLOCK * np.arange(n))
+        begin.append(at + off + width * np.arange(n))
         pieces.append(n)
         owner.append(np.full(n, k))
-        at += len(content)
+        at += length
     starts, begin, owner = np.array(starts), np.concatenate(begin), np.concatenate(owner)
     c = S.prefix_hashes(data)
-    _, ranks = np.unique(S.span_hashes(c, begin, begin + BLOCK), return_inverse=True)
+    _, ranks = np.unique(S.span_hashes(c, begin, begin + width), return_inverse=True)
     # One string; each context ends in a symbol of its own, which matches nothing.
     string = np.zeros(len(begin) + len(parts), np.int64)
     to = np.arange(len(begin)) + owner
@@ -165,12 +182,11 @@ def repeated_windows(parts: list[tuple[bytes, int, int]], window: int) -> list[n
     back = np.full(len(string), -1)
     back[to] = np.arange(len(begin))
     block = back[order[inside]]
-    size = np.array([len(p[0]) for p in parts])
     who = owner[block]
-    gap = np.arange(BLOCK)
+    gap = np.arange(width)
     first = begin[block][:, None] - gap  # of the windows whose first whole block this is
     fits = (first >= starts[who][:, None]) & (first + window <= (starts + size)[who][:, None])
-    first, who = first[fits], np.repeat(who, BLOCK)[fits.ravel()]
+    first, who = first[fits], np.repeat(who, width)[fits.ravel()]
     copies = np.array([p[2] for p in parts])
     content = S.span_hashes(c, first, first + window)
     _, same = np.unique(content, return_inverse=True)
@@ -187,7 +203,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _sorted_groups(rows: DataFrame, window: int) -> DataFrame:
+def _sorted_groups(rows: DataFrame, window: int, unit: Unit) -> DataFrame:
     """Spans of the windows of single contexts that occur again in their seed's group.
 
     Groups are bounded (``HOT`` contexts); a task streams past them in order of the
@@ -200,7 +216,7 @@ def _sorted_groups(rows: DataFrame, window: int) -> DataFrame:
 
         def flush():
             out: list[list] = [[], [], [], []]
-            found = repeated_windows([(r[3], _seed_place(r[3], window), r[4]) for r in held], window)
+            found = repeated_windows([(r[3], _seed_place(r[3], window, unit), r[4]) for r in held], window, unit)
             for (doc, mark, lo, _, copies), flags in zip(held, found, strict=True):
                 if copies == 1:
                     for a, b in _runs(flags):
@@ -215,7 +231,7 @@ def _sorted_groups(rows: DataFrame, window: int) -> DataFrame:
                     yield flush()
                     held, symbols = [], 0
                 held.append((doc, mark, lo, content, copies))
-                symbols += len(content) // BLOCK + 1
+                symbols += len(content) // (unit.size * unit.block) + 1
                 last = seed
         if held:
             yield flush()
@@ -224,22 +240,22 @@ def _sorted_groups(rows: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(sort, "doc_id long, text_hash long, start int, stop int")
 
 
-def _seed_place(content: bytes, window: int) -> int:
+def _seed_place(content: bytes, window: int, unit: Unit) -> int:
     """Where the seed is that all windows of a context share."""
-    return int(windows_by_seed(np.frombuffer(content, np.uint8), window, SEEDS[0])[1][0])
+    return int(windows_by_seed(unit.places(content), window, unit.seeds[0])[1][0])
 
 
-def _split(rows: DataFrame, window: int, seed_size: int) -> DataFrame:
+def _split(rows: DataFrame, window: int, unit: Unit, seed_size: int) -> DataFrame:
     """The contexts of hot groups cut anew, by longer seeds; they carry their bytes along."""
 
     def cut(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for doc, mark, lo, copies, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seed, place, a, b, c = windows_by_seed(np.frombuffer(content, np.uint8), window, seed_size)
+                seed, place, a, b, c = windows_by_seed(unit.places(content), window, seed_size)
                 whole = _content(c, a, b, place, window).view(np.int64).tolist()
                 for s, x, y, w in zip(seed.view(np.int64).tolist(), a.tolist(), b.tolist(), whole, strict=True):
-                    for column, v in zip(out, (doc, mark, lo + x, lo + y, s, w, copies, content[x : y + window]), strict=True):
+                    for column, v in zip(out, (doc, mark, lo + x, lo + y, s, w, copies, content[x * unit.size : (y + window) * unit.size]), strict=True):
                         column.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "text_hash", "lo", "hi", "seed", "context", "copies", "bytes"])
@@ -262,18 +278,23 @@ def repeated_spans(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     seed by seed.  A seed with many different contexts is split by longer seeds
     until its groups are small, at the latest when the seed is the whole window.
     """
-    texts = narrow(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    contexts = settled(_contexts(texts, window)).withColumn("copies", F.lit(1).cast("long"))
+    texts = narrow(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return _spans(texts, window, BYTES)
+
+
+def _spans(texts: DataFrame, window: int, unit: Unit) -> DataFrame:
+    """``repeated_spans`` of texts that are written in ``unit``; places are counted in it."""
+    contexts = settled(_contexts(texts, window, unit)).withColumn("copies", F.lit(1).cast("long"))
     repeated, rest = _weighed(contexts)
     spans = lambda rows: rows.select("doc_id", "text_hash", F.col("lo").alias("start"), (F.col("hi") + window).alias("stop"))
     found = spans(repeated)
-    rest = settled(_with_bytes(texts, rest, window))
-    for seed_size in SEEDS[1:]:
-        found = found.union(_sorted_groups(rest.where(F.col("kinds") <= HOT), window))
+    rest = settled(_with_bytes(texts, rest, window, unit))
+    for seed_size in unit.seeds[1:]:
+        found = found.union(_sorted_groups(rest.where(F.col("kinds") <= HOT), window, unit))
         hot = rest.where(F.col("kinds") > HOT)
         if hot.isEmpty():
             break
-        again, rest = _weighed(settled(_split(hot, window, seed_size)))
+        again, rest = _weighed(settled(_split(hot, window, unit, seed_size)))
         found = found.union(spans(again))
         rest = settled(rest)
     return found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
@@ -309,19 +330,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     return joined.select("doc_id", "text_hash", "text", "spans").mapInArrow(cut, "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-#: Words to a passage, and to the stretches that are sampled of it.
-PASSAGE, STRETCH = 50, 25
-#: Characters that stand for a word where passages are put in suffix order, and what they are made of.
-CODE = 8
-_DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-
-
-def _codes(h: np.ndarray) -> bytes:
-    """``CODE`` characters for each 64-bit hash, side by side."""
-    shifts = np.arange(CODE, dtype=np.uint64) * np.uint64(6)
-    return _DIGITS[((h[:, None] >> shifts) & np.uint64(63)).astype(np.int64)].tobytes()
-
-
 def _sampled(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, hash) of the stretches sampled of some texts' words: of each ``PASSAGE`` words in a row that with the least hash."""
     left = np.searchsorted(text, text, "right") - np.arange(len(words))  # words to the end of the text
@@ -348,9 +356,9 @@ def repeated_passages(docs: DataFrame, known: DataFrame, id_col: str = "doc_id",
 
     Where no sampled stretch of 25 words (one of each 50 in a row, picked by hash)
     occurs twice, nothing can repeat.  What lies around the others, up to 50 words from
-    their beginnings, is written with eight characters a word, so that a passage has as
-    many bytes as the window, and goes through ``repeated_spans``: the same seeds and
-    suffix order decide, and nothing but whole passages that are equal counts.
+    their beginnings, is written as one 64-bit hash a word and goes the way of
+    ``repeated_spans``: the same seeds and suffix order decide, over words instead of
+    bytes, and nothing but whole passages that are equal counts.
 
     Texts without repeated passages have no row, nor have null, empty and shorter ones;
     rows that repeat an id are apart by their text's hash; a very long text is read in
@@ -367,45 +375,69 @@ def repeated_passages(docs: DataFrame, known: DataFrame, id_col: str = "doc_id",
                 place, h = _sampled(words, text)
                 at.append(text[place] + part.start)
                 found.append(h)
-            rows = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(found).view(np.int64)), batch.column(3).take(rows)], ["doc_id", "text_hash", "gram", "lost"])
-
+            row, h = np.concatenate(at), np.concatenate(found)
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            # Two of a text's equal stretches say that they repeat; said over and over, each of its words begins one.
+            keep = np.ones(len(row), bool)
+            keep[2:] = (row[2:] != row[:-2]) | (h[2:] != h[:-2])
+            counts = np.bincount(row[keep], minlength=len(texts))
+            some = pa.array(np.flatnonzero(counts))
+            grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[counts > 0])]).astype(np.int32)), pa.array(h[keep].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), grams], ["doc_id", "text_hash", "grams"])
+
+    # A row for each text, with all its stretches, so that no text is dealt to say which rows are known.
     lost = known.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct().withColumn("lost", F.lit(True))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    flagged = texts.join(lost.hint("shuffle_hash"), same, "left").select("doc_id", "text_hash", "text", "lost")
-    samples = settled(flagged.mapInArrow(sample, "doc_id long, text_hash long, gram long, lost boolean"))
-    again = samples.groupBy("gram").agg(F.count("*").alias("n"), F.count("lost").alias("n_lost")).where("n > 1 and n_lost < n").select("gram")
-    wanted = settled(samples.join(again, "gram", "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("gram").alias("grams")))
-    asked = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    sampled = texts.select("doc_id", "text_hash", "text").mapInArrow(sample, "doc_id long, text_hash long, grams array<long>")
+    samples = settled(sampled.join(lost.hint("shuffle_hash"), same, "left").select("doc_id", "text_hash", "grams", "lost"))
+    again = settled(samples.select(F.explode("grams").alias("gram"), "lost").groupBy("gram").agg(F.count("*").alias("n"), F.count("lost").alias("n_lost")).where("n > 1 and n_lost < n").select("gram"))
+    grams = samples.select("doc_id", "text_hash", F.explode("grams").alias("gram"))
+    wanted = settled(grams.join(again, "gram", "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("gram").alias("grams")))
+    del sampled, samples, again, grams
+    released(docs.sparkSession)
+    asked = texts.join(wanted.hint("shuffle_hash"), same)
 
     def around(batches):
         for batch in batches:
             out = []
-            for doc, text, grams in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+            for doc, mark, text, grams in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words, owner = S.words([text.encode()])
                 place, h = _sampled(words, owner)
                 place = place[np.isin(h.view(np.int64), np.array(grams, np.int64))]
-                pieces, stop = [], -1
+                pieces, stop = [np.zeros(0, np.uint64)], -1
                 for lo, hi in zip(np.maximum(place - (PASSAGE - STRETCH), 0).tolist(), np.minimum(place + PASSAGE, len(words)).tolist(), strict=True):
-                    if lo > stop and pieces:  # no passage runs from one stretch of the text into another
-                        pieces.append(S.mix(np.array([(hash((doc, lo, len(words))) & (1 << 63) - 1) ^ int(words[lo])], np.uint64)))
+                    if lo > stop >= 0:  # no passage runs from one stretch of the text into another
+                        pieces.append(S.mix(np.array([hash((doc, mark, lo)) & (1 << 63) - 1], np.uint64)))
                     pieces.append(words[max(lo, stop) : hi])
                     stop = max(hi, stop)
-                out.append(_codes(np.concatenate([np.zeros(0, np.uint64), *pieces])).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["doc_id", "text_hash", "text"])
+                out.append(np.concatenate(pieces).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "text_hash", "words"])
 
-    coded = settled(asked.select("doc_id", "text_hash", "text", "grams").mapInArrow(around, "doc_id long, text_hash long, text string"))
-    spans = repeated_spans(coded, PASSAGE * CODE)
+    coded = settled(asked.select("doc_id", "text_hash", "text", "grams").mapInArrow(around, "doc_id long, text_hash long, words binary"))
+    released(docs.sparkSession)
+    spans = _spans(coded.select("doc_id", "text_hash", F.col("words").alias("text")), PASSAGE, WORDS)
     runs = F.aggregate(
         F.sort_array("spans"), F.struct(F.lit(0).alias("n"), F.lit(-1).alias("stop")),
         lambda s, x: F.struct((s["n"] + (x["start"] > s["stop"]).cast("int")).alias("n"), F.greatest(s["stop"], x["stop"]).alias("stop")), lambda s: s["n"],
     )
-    # The spans name the coded text; rows of one id and coded text are the same stretches of equal words.
-    named = coded.join(lost, same, "left_anti").select("doc_id", "text_hash", F.xxhash64("text").alias("coded"))
-    found = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__coded"), runs.cast("long").alias("n_passages"))
-    return named.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("coded") == F.col("__coded"))).select("doc_id", "text_hash", "n_passages").distinct()
+    return spans.select("doc_id", "text_hash", runs.cast("long").alias("n_passages")).join(lost, same, "left_anti")
 
 
 def query(spark, sf_dir):
+    """The columns of the contract, then ``n_passages`` and ``n_repeats``.
+
+    ``n_passages`` counts the repeated passages of fifty words of documents that lose no
+    byte (they are shorter than 400 bytes); ``n_repeats`` is the sum of it and
+    ``n_spans``, so it is above 0 where a document holds a repeat of either measure.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_spans(docs, repeated_spans(docs)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # Written, so that the contexts can go before the passages are looked for.
+    spans = settled(repeated_spans(docs))
+    released(spark)
+    kept = settled(remove_spans(docs, spans).select("doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+    del spans
+    released(spark)
+    passages = repeated_passages(docs, kept.where("n_removed > 0")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n_passages")
+    both = kept.join(passages, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").withColumn("n_passages", F.coalesce("n_passages", F.lit(0)))
+    return both.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", (F.col("n_spans") + F.col("n_passages")).alias("n_repeats"))

@@ -331,6 +331,29 @@ def test_repeated_passages(spark, docs, empty):
     assert suffix_dedup.repeated_passages(empty, none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [512, 2])
+def test_short_passages_are_told_from_clean_documents(spark, tmp_path, monkeypatch, hot):
+    """Passages of over fifty words that are shorter than 400 bytes mark all their documents, and nothing else is marked."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 2: groups of words are split by longer seeds
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 9999, n)]
+    planted, long, clean = {}, {}, {i: " ".join(draw(30 + 5 * i)) for i in range(20)}
+    for i in range(8):
+        passage = draw(51 + i % 3)
+        for j in range(2 + 2 * (i % 3)):
+            planted[100 + 10 * i + j] = " ".join(draw(7 * j) + passage + draw(40 - 5 * j))
+    shared = " ".join(draw(90))
+    long |= {300: shared + " " + " ".join(draw(60)), 301: " ".join(draw(60)) + " " + shared}
+    clean[400], clean[401] = (" ".join(draw(20) + x) for x in [draw(48)] * 2)  # two words too few
+    spark.createDataFrame([*(planted | long | clean).items(), (500, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(planted) + len(long) + len(clean) + 1
+    assert {i for i, r in got.items() if r.n_passages} == set(planted)
+    assert all(got[i].n_removed == 0 and got[i].n_passages == 1 for i in planted)
+    assert {i for i, r in got.items() if r.n_removed} == set(long)
+    assert {i for i, r in got.items() if r.n_repeats} == set(planted) | set(long)
+
+
 def _near_brute(texts, n, percent):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []

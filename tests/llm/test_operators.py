@@ -568,6 +568,27 @@ def test_samples_of_one_very_long_word(monkeypatch):
     table.clear()
 
 
+def test_lattices_share_the_ends_of_words(monkeypatch):
+    table = sample_encode.lattice(MODEL)
+    table.clear()
+    words = [f" {a}{b}" for a in ("walk", "talk", "stalk", "chalk") for b in ("ing", "ed", "er", "s")]
+    starts = table.states_of(words)
+    ends = {w[i:] for w in words for i in range(len(w))}
+    assert len(set(starts.tolist())) == len(words) and table.states == len(ends)  # a state for each character of each word before
+    texts = ["".join(words), "ends of walking, \n\n \u2581 talk\u00e9 \U0001f600ing\x00 ", "", " ", "\n", "x" * 70 + "alking " + "y" * 70 + "alking"]
+    points, sizes, lanes = sample_encode.split(texts)
+    want = [token_counts.pre_tokens(t) for t in texts]
+    assert lanes.tolist() == list(map(len, want)) and sizes.tolist() == [len(t) for row in want for t in row]
+    assert "".join(map(chr, points.tolist())) == "".join(t for row in want for t in row).replace(" ", "\u2581")
+    take = lambda: [[(f[0].tolist(), f[1], f[2]) for f in found] for found, _ in sample_encode.top_k(texts, np.arange(len(texts), dtype=np.uint64), table, 2)]
+    beside = take()
+    for bound, size in (("SHARED", 0), ("SHARED", 3), ("MOST_EDGES", -1)):  # nothing shared, short ends, tables made anew
+        table.clear()
+        monkeypatch.setattr(sample_encode, bound, size)
+        assert take() == beside
+    table.clear()
+
+
 def test_samples_have_the_lattice_probabilities():
     table = sample_encode.lattice(MODEL)
     text = "their a"

@@ -426,6 +426,32 @@ def test_components(spark):
     assert {r.id: r.label for r in got} == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    """Edges of many tasks: as many tasks as the edges fill, and no round that deals all out again; the same groups in rounds."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (700, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000)]
+    up = {x: x for e in edges for x in e}
+    for _ in range(len(up)):
+        changed = [(max(up[a], up[b]), min(up[a], up[b])) for a, b in edges if up[a] != up[b]]
+        if not changed:
+            break
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    want = sorted((x, up[x]) for x in linked)
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(16)
+    group = "components of few edges"
+    spark.sparkContext.setJobGroup(group, group)
+    found = minhash.components(rows).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    track = spark.sparkContext.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup(group) for s in track.getJobInfo(j).stageIds]
+    assert sorted((r.id, r.label) for r in found) == want
+    assert sum(s.numCompletedTasks for s in stages if s) <= 100
+    assert sorted((r.id, r.label) for r in minhash.components(rows, per_task=100).collect()) == want
+    assert minhash.components(rows.where("false")).count() == 0
+
+
 def test_decontamination(spark, docs, empty):
     item = "A train leaves Paris at 9 and drives 120 km to Lyon while another leaves Lyon at 10 and meets it on the way"
     items = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, "what is the boiling point of pure water at sea level in the open air")], "item_id long, text string")

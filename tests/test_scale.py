@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hustings.functions import articles as A
 from hustings.operators import engagement, linkage, news, order
+from hustings.operators.ratios import best_ratios
 from hustings.sources import html
 from hustings.streaming import live
 
@@ -142,6 +143,33 @@ def test_ground_truth_against_all_pairs(spark):
         assert (r.pos, r.score) == ((best[1], round(-best[0], 3)) if best else (None, None))
 
 
+@pytest.mark.parametrize("most", [12, 80, 300])
+def test_best_ratios_against_all_pairs(most):
+    """Short names, names longer than a word of bits, and names long enough for difflib to leave frequent letters out."""
+    rng = random.Random(most)
+    word = lambda: "".join(rng.choice("abcd é") for _ in range(rng.randrange(1, most)))
+    first, second = [word() for _ in range(60)] + ["zz"], sorted({word() for _ in range(40)}, key=lambda w: (len(w) % 3, w))
+    for head in ("", "mr "):  # also where all begin alike
+        a, b = [head + w for w in first], [head + w for w in second]
+        at, top = best_ratios(a, b, 0.5)
+        for k, name in enumerate(a):
+            best = max((SequenceMatcher(None, name, w).ratio(), -n) for n, w in enumerate(b))
+            assert (top[k], at[k]) == ((best[0], -best[1]) if best[0] > 0.5 else (0.5, -1))
+
+
+def test_ground_truth_of_one_large_seat(spark):
+    """All pairs would be 120 million rows; names that repeat are searched for once."""
+    cands = spark.range(40_000).select("id", F.format_string("Customer %09d", F.col("id") % 30_000 * 7).alias("name"), F.lit("N").alias("constituency"))
+    truth = spark.range(4000).select(F.col("id").alias("pos"), F.format_string("Customer %09d", F.col("id") % 3999 * 5).alias("name"), F.lit("N (SC)").alias("constituency"), (F.col("id") % 5).alias("cases"))
+    began = time.time()
+    got = {r.id: r for r in linkage.match_ground_truth(cands, truth).collect()}
+    assert time.time() - began < 60 and len(got) == 40_000
+    names = [f"customer {k * 5:09d}" for k in range(3999)]
+    for i in (0, 5, 17, 29_999, 30_005, 39_999):
+        best = max((SequenceMatcher(None, f"customer {i % 30_000 * 7:09d}", w).ratio(), -n) for n, w in enumerate(names))
+        assert (got[i].pos, got[i].score, got[i].cases) == (-best[1], round(best[0], 3), -best[1] % 5)
+
+
 def _given(target, row):
     """The rule for one name and one row, word by word."""
     free, hits = sorted(row), 0

@@ -170,6 +170,20 @@ def test_ground_truth_of_one_large_seat(spark):
         assert (got[i].pos, got[i].score, got[i].cases) == (-best[1], round(best[0], 3), -best[1] % 5)
 
 
+def test_ground_truth_searches_for_a_name_once_for_all_seats(spark):
+    """2000 names of 60 seats against the 2000 records that every seat meets."""
+    word = lambda k: F.concat(F.conv(k * 7919 + 46656, 10, 36), F.lit(" verran"))
+    cands = spark.range(120_000).select("id", F.lower(word(F.col("id") % 2000)).alias("name"), F.concat(F.lit("S"), (F.col("id") % 60).cast("string"), F.lit("X")).alias("constituency"))
+    truth = spark.range(2000).select(F.col("id").alias("pos"), F.lower(word(F.col("id") % 1990 + 3)).alias("name"), F.lit("").alias("constituency"), F.lit(1).alias("cases"))
+    began = time.time()
+    got = {r.id: r for r in linkage.match_ground_truth(cands, truth).collect()}
+    assert time.time() - began < 60 and len(got) == 120_000
+    records = [r.name for r in truth.orderBy("pos").collect()]
+    for i in (0, 3, 1999, 60_007, 119_999):
+        best = max((SequenceMatcher(None, got[i].name, w).ratio(), -n) for n, w in enumerate(records))
+        assert (got[i].pos, got[i].score) == (-best[1], round(best[0], 3))
+
+
 def _given(target, row):
     """The rule for one name and one row, word by word."""
     free, hits = sorted(row), 0

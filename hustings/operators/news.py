@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hustings.functions import articles as A
 from hustings.functions import names as N
-from hustings.operators.linkage import first_by, small
+from hustings.operators.linkage import first_by, small, tasks
 
 
 def recent(df: DataFrame, now, days: int = 90, at: str = "published_at") -> DataFrame:
@@ -139,21 +142,69 @@ def named_words(items: DataFrame, cands: DataFrame) -> DataFrame:
     return items.select("item_id", F.explode(text).alias("word")).join(_name_words(cands).select("word").distinct(), "word", "left_semi").distinct()
 
 
+#: Articles that are looked through together, and the share of them from which a word's articles are kept as a row of flags.
+BLOCK_ITEMS, FREQUENT = 32_768, 64
+
+
+def _held_in_block(items: pa.Table, names: pa.Table) -> pa.Table:
+    """(item_id, candidate_id, words): articles of one block that hold all words of a name.
+
+    Each word's articles are a sorted list; a name's lists are met from the shortest on.
+    """
+    ids = items["item_id"].combine_chunks().dictionary_encode()
+    words = items["words"].combine_chunks()
+    flat = words.flatten().dictionary_encode()
+    n_items, n_words = len(ids.dictionary), len(flat.dictionary)
+    of = np.repeat(ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.value_lengths().to_numpy(zero_copy_only=False))
+    met = np.sort(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n_items + of)
+    met = met[np.diff(met, prepend=-1) > 0]
+    ends = np.searchsorted(met, np.arange(n_words + 1) * n_items)
+    starts, sizes, at = ends[:-1].tolist(), np.diff(ends), (met % max(n_items, 1)).astype(np.int32)
+    asked = names["words"].combine_chunks()
+    codes = pc.index_in(asked.flatten(), value_set=flat.dictionary).fill_null(-1).to_numpy(zero_copy_only=False).tolist()
+    lengths, size, flags = asked.value_lengths().to_numpy(zero_copy_only=False).tolist(), sizes.tolist(), {}
+    found, who, first = [], [], 0
+    for k, n in enumerate(lengths):
+        own = codes[first : first + n]
+        first += n
+        if min(own) < 0:
+            continue
+        own.sort(key=size.__getitem__)
+        hits = at[starts[own[0]] : starts[own[0]] + size[own[0]]]
+        for w in own[1:]:
+            if size[w] * FREQUENT > n_items:
+                if w not in flags:
+                    flags[w] = np.zeros(n_items, dtype=bool)
+                    flags[w][at[starts[w] : starts[w] + size[w]]] = True
+                hits = hits[flags[w][hits]]
+            else:
+                held = at[starts[w] : starts[w] + size[w]]
+                hits = hits[held[np.minimum(np.searchsorted(held, hits), len(held) - 1)] == hits]
+            if not len(hits):
+                break
+        else:
+            found.append(hits)
+            who.append(k)
+    rows = np.repeat(np.array(who, dtype=np.int64), [len(x) for x in found])
+    docs = np.concatenate([*found, np.empty(0, np.int32)])
+    return pa.table({"item_id": ids.dictionary.take(pa.array(docs)), "candidate_id": names["candidate_id"].take(pa.array(rows)), "words": pa.array(np.array(lengths, dtype=np.int32)[rows])})
+
+
 def discover_full_names(items: DataFrame, cands: DataFrame) -> DataFrame:
     """J21, strictly: (item_id, candidate_id, words) of articles that hold all words (four letters or more) of a name.
 
-    Each name is looked up by that of its words that the fewest articles hold; the
-    others are checked where it is found.  So no article meets a candidate by a common
-    word, unless the name has no other.  ``item_id`` has to tell articles apart.
+    Articles are dealt into blocks as their words, once each; every block meets all
+    names, whose words' articles are intersected there.  So neither an article and a
+    name that share a word, nor a word of an article, is a row anywhere; names are sent
+    out once for each block.  ``item_id`` has to tell articles apart.
     """
-    own = _name_words(cands)
-    text = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "snippet")), "[^a-z0-9_]+"))
-    spread = items.select("item_id", F.explode(text).alias("word")).join(own.select("word").distinct(), "word", "left_semi").distinct()
-    counts = spread.groupBy("word").agg(F.count("*").alias("n"))
-    by_name = own.join(counts, "word", "left").groupBy("candidate_id").agg(F.collect_set("word").alias("words"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word").alias("word"))).alias("rarest"))
-    anchored = by_name.where("rarest.n > 0").select("candidate_id", F.size("words").alias("n_words"), F.array_remove(F.col("words"), F.col("rarest.word")).alias("others"), F.col("rarest.word").alias("word"))
-    hits = spread.join(anchored, "word").select("item_id", "candidate_id", "n_words", "others")
-    whole = hits.where("n_words = 1").select("item_id", "candidate_id", "n_words")
-    asked = hits.where("n_words > 1").select("item_id", "candidate_id", "n_words", F.explode("others").alias("word"))
-    met = asked.join(spread, ["item_id", "word"]).groupBy("item_id", "candidate_id").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"))
-    return whole.union(met.where("n = n_words - 1").select("item_id", "candidate_id", "n_words")).withColumnRenamed("n_words", "words")
+    spark = items.sparkSession
+    n = max(-(-items.count() // BLOCK_ITEMS), 1)
+    text = F.filter(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "snippet")), "[^a-z0-9_]+")), lambda w: F.length(w) >= 4)
+    blocks = items.where("item_id is not null").select("item_id", text.alias("words"), F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int").alias("block"))
+    own = _name_words(cands).groupBy("candidate_id").agg(F.collect_list("word").alias("words"))
+    sent = own.select("candidate_id", "words", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((items, "item_id"), (cands, "candidate_id"))}
+    parts = max(n, tasks(spark))
+    met = blocks.repartition(parts, "block").groupBy("block").cogroup(sent.repartition(parts, "block").groupBy("block"))
+    return met.applyInArrow(_held_in_block, f"item_id {kinds['item_id']}, candidate_id {kinds['candidate_id']}, words int")

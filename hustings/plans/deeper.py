@@ -46,8 +46,9 @@ def j5_untidy_winners(spark, sf_dir):
 def _read(spark, sf_dir):
     """Documents as articles, and people named by four words of each, common and rare ones."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("title"), F.col("source").alias("snippet"))
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9_]+"), lambda w: w.rlike("^[a-z0-9]{4,}$"))
-    own = _t(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) > 1")
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9_]+"), lambda w: (F.length(w) >= 4) & ~F.contains(w, F.lit("_")))
+    # Exploded from one list, so that the filter doesn't work the words out once more.
+    own = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(words)).alias("w")).where("size(w) > 1")
     at = lambda k: F.get("w", F.floor((F.size("w") - 1) * k / 3).cast("int"))
     who = own.select(F.col("doc_id").alias("candidate_id"), F.concat(F.lit("Dr "), F.concat_ws(" ", *(at(k) for k in range(4))), F.lit(" S/O Theirs")).alias("name"))
     return docs, who

@@ -305,3 +305,13 @@ def test_names_are_found_by_their_rarest_word(spark):
     got = {(r.item_id, r.candidate_id) for r in news.discover_full_names(i, c).collect()}
     assert got == {(k, 1) for k in range(0, 100, 20)} | {(k, 2) for k in range(0, 100, 10)} | {(k, 6) for k in range(100)}
     assert (0, 3) in {(r.item_id, r.candidate_id) for r in news.discover(i, c).collect()}
+
+
+def test_names_of_common_words_are_no_rows(spark):
+    """Each article lacks one of four words that 20,000 articles and 5000 names share: 75 million pairs by any one word."""
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.array_join(F.array_remove(F.array(*map(F.lit, ("alpha", "beta", "gamma", "delta"))), F.get(F.array(*map(F.lit, ("alpha", "beta", "gamma", "delta"))), (F.col("id") % 4).cast("int"))), " ").alias("title"), F.when(F.col("id") == 7, "delta").alias("snippet"))
+    cands = spark.range(5000).select(F.col("id").alias("candidate_id"), F.lit("Alpha Beta Gamma Delta").alias("name")).union(spark.createDataFrame([(6000, "Beta x Gamma")], "candidate_id long, name string"))
+    began = time.time()
+    got = news.discover_full_names(items, cands)
+    assert got.where("candidate_id < 5000").groupBy("item_id", "words").count().collect() == [(7, 4, 5000)] and time.time() - began < 40
+    assert got.where("candidate_id = 6000").count() == 10_000

@@ -288,6 +288,17 @@ def test_places_and_far_pages(spark):
     assert order.placed(rows.where("false"), F.asc("id")).count() == 0 and order.page_of(rows, 9999, 20, F.asc("id")).count() == 0
 
 
+def test_filings_of_names_that_many_bear(spark):
+    """60,000 candidates of 40 names against 2000 rows of their seat, which all fit by half a name: 120 million pairs."""
+    cands = spark.range(60_000).select("id", F.format_string("g%d Verran", F.col("id") % 40).alias("name"), F.lit(None).cast("string").alias("alias"), F.lit("N").alias("seat"), F.when(F.col("id") % 3 != 0, "TDP").alias("party"))
+    rows = spark.range(2000).select(F.lit("N").alias("seat"), F.col("id").alias("pos"), F.format_string("g%d Verran", F.col("id") % 39 + 1).alias("name_line"), F.when(F.col("id") < 5, "Some Front").otherwise(F.format_string("Telugu Desam %d", F.floor(F.col("id") / 40))).alias("party_line"), F.lit("accepted").alias("status"))
+    began = time.time()
+    got = {r.id: (r.seat, r.pos, r.score) for r in linkage.link_filings(rows, cands).collect()}
+    assert time.time() - began < 60
+    first = {True: lambda k: ("N", 0, 100.0 if k == 1 else 50.0), False: lambda k: ("N", 5, 100.0 if k == 6 else 50.0)}
+    assert got == {i: first[i % 3 == 0](i % 40) for i in range(60_000)}
+
+
 def test_tables_are_chosen_without_an_exchange(spark):
     page = "<table><tr><td>x</td></tr></table><table><caption>2024: (1,200)</caption><tr><th>Candidate</th><th>Total Votes</th></tr><tr><td>a</td><td>1</td></tr></table>"
     df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<table><caption>2024 (7)</caption></table>")], "page_id long, html string")

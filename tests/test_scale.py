@@ -326,3 +326,12 @@ def test_names_of_common_words_are_no_rows(spark):
     got = news.discover_full_names(items, cands)
     assert got.where("candidate_id < 5000").groupBy("item_id", "words").count().collect() == [(7, 4, 5000)] and time.time() - began < 40
     assert got.where("candidate_id = 6000").count() == 10_000
+
+
+def test_weak_links_of_a_common_word_are_no_pairs(spark):
+    """20,000 candidates and 20,000 rows of one seat share a word: 400 million pairs."""
+    cands = spark.range(20_000).select("id", F.format_string("g%d Verran", F.col("id")).alias("name"), F.lit("N").alias("seat"), F.when(F.col("id") % 5 != 0, "TDP").alias("party"))
+    rows = spark.range(20_000).select(F.lit("N").alias("seat"), F.col("id").alias("pos"), F.format_string("h%d Verran", F.col("id")).alias("name_line"), F.when(F.col("id") >= 3, "of TDP").when(F.col("id") == 1, "none").alias("party_line"))
+    began = time.time()
+    assert {(r.id, r.seat, r.pos) for r in linkage.link_filings_weak(rows, cands).collect()} == {(i, "N", 3) for i in range(20_000) if i % 5}
+    assert time.time() - began < 20

@@ -328,6 +328,18 @@ def test_names_of_common_words_are_no_rows(spark):
     assert got.where("candidate_id = 6000").count() == 10_000
 
 
+def test_results_of_large_seats_are_no_pairs(spark):
+    """20,000 contests and 20,000 candidates of one stem: 400 million pairs; each winner holds one name, or one name holds it."""
+    cands = spark.range(20_000).select("id", F.format_string("Cand %06d x", F.col("id") * 3).alias("name"), F.lit("N (SC)").alias("constituency"))
+    won = F.when(F.col("id") % 2 == 0, F.format_string("Hon Cand %06d X Y", F.col("id") * 3)).otherwise(F.format_string("%06d", F.col("id") * 3))
+    results = spark.range(20_000).select(F.col("id").alias("contest"), F.lit("N").alias("seat"), won.alias("winner"))
+    began = time.time()
+    got = linkage.link_results(cands, results.union(spark.createDataFrame([(30_000, "N", ""), (30_001, "N", "Cand"), (30_002, "M", "x")], "contest long, seat string, winner string")))
+    rows = {r.contest: (r.target, r.reason) for r in got.collect()}
+    assert time.time() - began < 60
+    assert rows == {i: (i, None) for i in range(20_000)} | {30_000: (None, "ambiguous"), 30_001: (None, "ambiguous"), 30_002: (None, "no candidate")}
+
+
 def test_weak_links_of_a_common_word_are_no_pairs(spark):
     """20,000 candidates and 20,000 rows of one seat share a word: 400 million pairs."""
     cands = spark.range(20_000).select("id", F.format_string("g%d Verran", F.col("id")).alias("name"), F.lit("N").alias("seat"), F.when(F.col("id") % 5 != 0, "TDP").alias("party"))

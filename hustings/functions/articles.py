@@ -21,12 +21,15 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def strip_html(c) -> Column:
+def strip_html(c, closed: bool = False) -> Column:
     """Tags out, entities as characters, white space squeezed.
 
     Only texts with an ampersand can hold an entity; the others stay out of Python.
+    With ``closed`` an entity needs its semicolon: what a cut text left of one stays.
     """
     bare = F.regexp_replace(F.coalesce(col(c), F.lit("")), "<[^>]+>", " ")
+    if closed:
+        bare = F.regexp_replace(bare, "&(?!(?:[0-9A-Za-z]+|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
     return squeeze(F.when(F.contains(bare, F.lit("&")), _unescape(bare)).otherwise(bare))
 
 

@@ -121,3 +121,13 @@ def test_relative_age(spark):
     df = spark.sql("select '2024-01-01T00:00:00Z' as t, timestamp'2024-01-01 03:00:00' as now")
     r = df.select(A.relative_age("t", F.col("now")).alias("a")).first().a
     assert (r.amount, r.unit, r.stale) == (-3, "hour", True)
+
+
+def test_entities_that_a_cut_text_left_open(spark):
+    """``closed``: the rule of the queries' SQL; without it, the reader's, for which a semicolon isn't needed."""
+    texts = ["st&amp and &amp; b", "a &copy; &copy b &#233; &#xE9; &#233", "x & y && &", "&amp;amp; &amp;copy", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.orderBy("i").select(A.strip_html("t", closed=True).alias("closed"), A.strip_html("t").alias("open"))
+    rows = got.collect()
+    assert [r.closed for r in rows] == ["st&amp and & b", "a © &copy b é é &#233", "x & y && &", "&amp; &copy", ""]
+    assert [r.open for r in rows] == ["st& and & b", "a © © b é é é", "x & y && &", "&amp; &copy", ""]

@@ -195,3 +195,24 @@ def test_disputed_values(spark):
     fields = {"education": "", "profession": "farmer", "criminal_cases": "3", "age": "1970-01-01", "ministries": "A, B", "social_media": "a / b", "party": "", None: ""}
     got = linkage.report_context(spark.createDataFrame([(1, f) for f in fields] + [(2, "age")], "candidate_id int, field string"), cands).collect()
     assert {(r.candidate_id, r.field): r.disputed for r in got} == {**{(1, f): v for f, v in fields.items()}, (2, "age"): ""}
+
+
+def test_cases_of_one_position_keep_the_first_stored(spark, tmp_path):
+    """Lines of an order that share number, position and signature: the category is that of the first in the file, or in the first file."""
+    from hustings.plans import facts
+
+    day = dt.datetime(1996, 1, 1)
+    line = lambda order, supplier: (order, 8, supplier, 1, 1.0, "N", day)
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp"
+    rows = [line(k, s) for s in (302, 420, 171, 143, 9) for k in range(300)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/one/lineitem.parquet")
+    for k, part in enumerate((rows[:300], rows[300:], rows[300:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/raw{k}")
+    (tmp_path / "two" / "lineitem.parquet").mkdir(parents=True)
+    for k in range(3):
+        (file,) = (tmp_path / f"raw{k}").glob("*.parquet")
+        (tmp_path / "two" / "lineitem.parquet" / f"part-{k}.parquet").write_bytes(file.read_bytes())
+    for folder in ("one", "two"):
+        shown = facts.n23_categories(spark, f"{tmp_path}/{folder}")
+        assert {(r.candidate_id, r.category) for r in shown.collect()} == {(k, "Serious/Violent") for k in range(300)}
+        assert "stored_row" in shown._jdf.queryExecution().analyzed().toString()

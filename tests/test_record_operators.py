@@ -216,3 +216,4 @@ def test_cases_of_one_position_keep_the_first_stored(spark, tmp_path):
         shown = facts.n23_categories(spark, f"{tmp_path}/{folder}")
         assert {(r.candidate_id, r.category) for r in shown.collect()} == {(k, "Serious/Violent") for k in range(300)}
         assert "stored_row" in shown._jdf.queryExecution().analyzed().toString()
+        assert all((r.serious, r.minor) == (1, 0) for r in facts.a2_category_counts(spark, f"{tmp_path}/{folder}").collect())

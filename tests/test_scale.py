@@ -347,3 +347,13 @@ def test_weak_links_of_a_common_word_are_no_pairs(spark):
     began = time.time()
     assert {(r.id, r.seat, r.pos) for r in linkage.link_filings_weak(rows, cands).collect()} == {(i, "N", 3) for i in range(20_000) if i % 5}
     assert time.time() - began < 20
+
+
+def test_leftovers_of_large_seats(spark):
+    """J4 over 20,000 contests and 30,000 candidates of one stem, of whom each contest takes one."""
+    cands = spark.range(30_000).select("id", F.format_string("Cand %06d x", F.col("id")).alias("name"), F.lit("N").alias("constituency"))
+    results = spark.range(20_000).select(F.col("id").alias("contest"), F.lit("N (ST)").alias("seat"), F.format_string("Hon Cand %06d X", F.when(F.col("id") < 19_990, F.col("id")).otherwise(F.col("id") + 50_000)).alias("winner"))
+    began = time.time()
+    rows = {(r.side, r.key): r.reason for r in linkage.unmatched(linkage.link_results(cands, results), cands).collect()}
+    assert time.time() - began < 60
+    assert rows == {("contest", str(k)): "ambiguous" for k in range(19_990, 20_000)} | {("candidate", str(k)): "no contest" for k in range(19_990, 30_000)}
